@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, common, exact_dedup, huffman, minhash, packing, quality, token_counts, toxicity
+from . import bpe, common, exact_dedup, huffman, lm, minhash, packing, quality, token_counts, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -31,6 +31,10 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(common.read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.train_and_score(common.read_table(spark, sf_dir, "documents"))
+
+
 def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(common.read_table(spark, sf_dir, "documents"), common.read_table(spark, sf_dir, "labels"))
 
@@ -100,6 +104,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_minmax_near_duplicates": op4_minmax_near_duplicates,
     "op5_bpe_round_trip": op5_bpe_round_trip,
+    "op6_elias_fano_lm": op6_elias_fano_lm,
     "op7_pairwise_quality": op7_pairwise_quality,
     "op8_huffman_token_files": op8_huffman_token_files,
     "op9_exact_dedup": op9_exact_dedup,
