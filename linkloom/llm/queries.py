@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, common, exact_dedup, huffman, lm, minhash, packing, quality, token_counts, toxicity
+from . import bpe, common, exact_dedup, fingerprint, huffman, lm, minhash, packing, quality, token_counts, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -15,6 +15,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_paragraph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(common.read_table(spark, sf_dir, "documents"))
+
+
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(common.read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
@@ -100,6 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_paragraph_fingerprints": op1_paragraph_fingerprints,
     "op2_harmonic_packing": op2_harmonic_packing,
     "op3_toxicity": op3_toxicity,
     "op4_minmax_near_duplicates": op4_minmax_near_duplicates,
