@@ -9,14 +9,16 @@ probability below ``MISS``.  Links are confirmed on the full shingle sets.
 1. Documents with equal shingle sets form a class, represented by its smallest doc_id.
 2. Classes that share a band meet that bucket's smallest class, the pivot; the exact
    similarity to the pivot is computed for each.  Links give first components.
-3. What else shares a pivot can link only across components, and by the triangle inequality of the Jaccard
-   distance only if the distances to the pivot differ by at most 1 - similarity.  Those
-   pairs are tested too, after comparing sizes and 128-bit sketches of the signatures (a
-   linked pair falls below the sketch bound with probability of about 1e-9).
+3. What else shares a pivot can link only across components. Under one order of a pivot's
+   shingles (those the pivot lacks first, then by hash) two linked sets share one of their first
+   n - ceil(similarity * n) + 1 shingles, at places that leave room for the overlap they need.
+   Members outside the pivot's component are joined with all members on these
+   shingles; near variants mostly have shingles of their own there, so few pairs are left, and none is lost.
 4. Components are joined from all confirmed links.
 
 So a bucket of m classes emits m - 1 pairs, and pairs within it only where neither the components nor
-these bounds settle them.  Nothing is capped.
+the prefixes settle them.  Nothing is capped.  Shingles are compared by 40 bits of their
+hash (a chance of 1e-6 that two sets of a thousand seem to share one more than they do).
 
 Defined results: null text is empty; an empty set has size 0, is linked with nothing and is its own
 component; a text of fewer words than a shingle has one shingle, the whole sequence; equal
@@ -38,11 +40,13 @@ from .shingles import WORDS, mix, odd, shingle_set
 
 ROWS = 5
 MISS = 2e-7
-SKETCH = 128
 #: The similarity of near-duplicate stages that no contract sets, in hundredths.
 SIMILARITY = 80
 _SEED = 20240502
-_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>, s0 long, s1 long"
+_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
+#: Bytes of a shingle's hash in a set that is sent to be compared.
+WIDTH = 5
+_TESTED = "a long, b long, linked boolean, n long, prefix array<long>"
 
 
 class MinMax:
@@ -50,7 +54,7 @@ class MinMax:
 
     def __init__(self, percent: int, rows: int = ROWS, miss: float = MISS):
         share = (percent / 100) ** rows
-        self.bands = max(math.ceil(SKETCH / rows), math.ceil(math.log(miss) / math.log1p(-share)) if share < 1 else 1)
+        self.bands = math.ceil(math.log(miss) / math.log1p(-share)) if share < 1 else 1
         self.rows, self.functions = rows, -(-self.bands * rows // 2)
         rng = np.random.default_rng(_SEED)
         self.factors = odd(self.functions, rng)[:, None]
@@ -69,17 +73,6 @@ class MinMax:
         grid = signature[: self.bands * self.rows].reshape(self.bands, self.rows)
         return mix((grid * self.places).sum(1) + self.salts).view(np.int64)
 
-    def sketch(self, signature: np.ndarray) -> np.ndarray:
-        """One bit of each of the first 128 values."""
-        bits = (mix(signature[:SKETCH]) & np.uint64(1)).astype(np.uint8)
-        return np.packbits(bits).view(np.int64)
-
-
-def sketch_bound(percent: int) -> int:
-    """Differing bits that a linked pair has at most: its mean plus six standard deviations."""
-    agree = (1 + percent / 100) / 2
-    return math.ceil(SKETCH * (1 - agree) + 6 * math.sqrt(SKETCH * agree * (1 - agree)))
-
 
 def _signed(batches: Iterator[pa.RecordBatch], percent: int, words: int) -> Iterator[pa.RecordBatch]:
     import xxhash
@@ -88,7 +81,7 @@ def _signed(batches: Iterator[pa.RecordBatch], percent: int, words: int) -> Iter
     for given in batches:
         for low in range(0, given.num_rows, 1024):
             part = given.slice(low, 1024)
-            sizes, digests, bands, sketches = [], [], [], []
+            sizes, digests, bands = [], [], []
             for text in part.column(1):
                 shingles = shingle_set(text.as_py(), words)
                 sizes.append(len(shingles))
@@ -96,29 +89,66 @@ def _signed(batches: Iterator[pa.RecordBatch], percent: int, words: int) -> Iter
                     signature = hashes.signature(shingles)
                     digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
                     bands.append(hashes.keys(signature))
-                    sketches.append(hashes.sketch(signature))
                 else:
                     digests.append(None)
                     bands.append(np.zeros(0, np.int64))
-                    sketches.append(np.zeros(2, np.int64))
-            both = np.array(sketches)
-            yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["doc_id", "n_shingles", "digest", "bands", "s0", "s1"])
+            yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
+
+
+def packed(shingles: np.ndarray) -> bytes:
+    """The sorted set as WIDTH bytes each, most significant part of the hash."""
+    return (shingles >> np.uint64(64 - 8 * WIDTH)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    cells = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    out = np.zeros((len(cells), 8), np.uint8)
+    out[:, 8 - WIDTH :] = cells
+    return out.reshape(-1).view(">u8").astype(np.int64)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for given in batches:
         for low in range(0, given.num_rows, 1024):
             part = given.slice(low, 1024)
-            sets = [shingle_set(t.as_py(), words).view(np.int64) for t in part.column(1)]
-            yield pa.record_batch([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            sets = [packed(shingle_set(t.as_py(), words)) for t in part.column(1)]
+            yield pa.record_batch([part.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+
+def prefix(own: np.ndarray, pivot: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in its pivot's order that a linked set must share one of."""
+    lacking = ~np.isin(own, pivot, assume_unique=True)
+    length = len(own) - -(-percent * len(own) // 100) + 1
+    return np.concatenate([own[lacking][:length], own[~lacking][: max(0, length - int(lacking.sum()))]])
+
+
+def _tested(batches: Iterator[pa.RecordBatch], percent: int, with_prefix: bool) -> Iterator[pa.RecordBatch]:
+    for given in batches:
+        if not given.num_rows:
+            continue
+        linked, sizes, firsts = [], [], []
+        for x, y in zip(given.column(2), given.column(3)):
+            one, two = unpacked(x.as_py()), unpacked(y.as_py())
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            linked.append(100 * both >= percent * (len(one) + len(two) - both))
+            sizes.append(len(two))
+            firsts.append(prefix(two, one, percent) if with_prefix else np.zeros(0, np.int64))
+        yield pa.record_batch([given.column(0), given.column(1), pa.array(linked), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["a", "b", "linked", "n", "prefix"])
+
+
+def _test(pairs: DataFrame, sets: DataFrame, percent: int, with_prefix: bool) -> DataFrame:
+    """(a, b, linked, n, prefix) of pairs (a, b) on full sets; n and prefix are b's, the prefix in a's order."""
+
+    def test(batches):
+        from linkloom.llm.minhash import _tested
 
+        return _tested(batches, percent, with_prefix)
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, n_a, n_b) of pairs on full sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"), F.size("set_a").cast("long").alias("n_a"), F.size("set_b").cast("long").alias("n_b"))
+    # no bound is known for any side, so none is broadcast
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")).hint("merge")
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")).hint("merge")
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
+    return common.persist_table(joined.mapInArrow(test, _TESTED))
 
 
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, words: int = WORDS) -> DataFrame:
@@ -134,7 +164,7 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, words: int = WOR
 
     signed = common.persist_table(rows.mapInArrow(sign, _SIGNED))
     linkable = F.col("digest").isNotNull() & F.col("doc_id").isNotNull()
-    classes = signed.where(linkable).groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
+    classes = signed.where(linkable).groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     classes = common.persist_table(classes)
 
     entries = classes.select("id", F.explode("bands").alias("band"))
@@ -149,32 +179,28 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, words: int = WOR
         return _sets(batches, words)
 
     texts = rows.join(members, rows["doc_id"] == members["id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = common.persist_table(texts.mapInArrow(to_sets, "id long, shingles array<long>"))
+    sets = common.persist_table(texts.mapInArrow(to_sets, "id long, shingles binary"))
 
-    union = F.col("n_a") + F.col("n_b") - F.col("common")
-    linked = 100 * F.col("common") >= percent * union
-    tested = common.persist_table(_confirmed(star, sets).select("a", "b", linked.alias("linked"), (1 - F.col("common") / union).alias("far")))
+    tested = _test(star, sets, percent, True)
     links = tested.where("linked").select("a", "b")
     labels = components(links)
 
-    known = classes.join(members, "id", "left_semi").select("id", "n", "s0", "s1").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    spoke = tested.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "far").join(known, "id")
-    # pivots all of whose members are one component are settled
-    open_pivots = spoke.groupBy("pivot").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("pivot")
-    spoke = common.persist_table(spoke.join(open_pivots, "pivot", "left_semi"))
-    x, y = spoke.alias("x"), spoke.alias("y")
-    apart = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
+    named = labels.select(F.col("id").alias("b"), F.col("label").alias("label_b"))
+    pivots = labels.select(F.col("id").alias("a"), F.col("label").alias("label_a"))
+    spokes = tested.where(F.size("prefix") > 0).join(named, "b", "left").join(pivots, "a", "left")
+    spokes = spokes.select("a", "b", "n", "prefix", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label"))
+    entries = spokes.select("a", "b", "n", "label", (F.col("label") != F.col("label_a")).alias("outside"), F.posexplode("prefix").alias("at", "shingle"))
+    x, y = entries.where("outside").alias("x"), entries.alias("y")
+    need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent) - 1e-9)
     may_link = (
-        (F.col("x.pivot") == F.col("y.pivot"))
-        & (F.col("x.id") < F.col("y.id"))
+        (F.col("x.a") == F.col("y.a"))
+        & (F.col("x.shingle") == F.col("y.shingle"))
         & (F.col("x.label") != F.col("y.label"))
         & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-        & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - percent / 100 + 1e-9)
-        & (apart <= sketch_bound(percent))
+        & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need)
     )
-    rest = x.join(y, may_link).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = _confirmed(rest, sets).where(linked).select("a", "b")
-    more = common.persist_table(more)
+    rest = x.join(y, may_link).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
+    more = _test(rest, sets, percent, False).where("linked").select("a", "b")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
