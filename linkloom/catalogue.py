@@ -1,9 +1,27 @@
-"""The registered queries."""
+"""The registered queries, their SQL, and the flagship."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
+from importlib import import_module
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+MODULES = ("links", "classify")
+
+
+def _modules():
+    return [import_module(f"linkloom.plans.{name}") for name in MODULES]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: run for m in _modules() for name, run in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in _modules() for name, sql in m.SQL.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links deduplicated and counted by domain."""
+    return queries()["domain_stats_top20"](spark, sf_dir)

@@ -1,0 +1,161 @@
+"""Scoring of records against a rule taxonomy, and the decisions that follow.
+
+Rules are driver-side data, so they become one projection over each record (no join): an array
+with a struct for each rule, of which those with a score are exploded.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions import lexicon, text, urls
+
+
+@dataclass(frozen=True)
+class Rule:
+    category: str
+    domains: tuple[str, ...] = ()
+    keywords: tuple[str, ...] = ()
+    title_patterns: tuple[str, ...] = ()
+
+
+def scores(record_domain: Column, titles: Column, keyword_text: Column, content: Column, rule: Rule) -> dict[str, Column]:
+    """The four sub-scores of a rule: domain 0 or 100, 20 for each keyword up to 100, title 0 or 80, 10 for each keyword in the content up to 80."""
+    title = F.lit(False)
+    for pattern in rule.title_patterns:
+        title = title | titles.rlike("(?i)" + pattern)
+    return {
+        "domain": F.when(urls.has_any_suffix(record_domain, rule.domains), 100).otherwise(0),
+        "keyword": F.least(F.lit(100), 20 * text.keyword_hits(keyword_text, rule.keywords)),
+        "title": F.when(title, 80).otherwise(0),
+        "content": F.least(F.lit(80), 10 * text.keyword_hits(content, rule.keywords)),
+    }
+
+
+def score_rules(records: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(id, ord, category, domain, keyword, title, content, total) of each record and rule with a score.
+
+    Records have id, domain, title and body.
+    """
+    cells = []
+    for n, rule in enumerate(rules):
+        s = scores(F.col("domain"), F.col("title"), F.col("title"), F.concat_ws(" ", "title", "body"), rule)
+        total = sum((s[k] * lexicon.WEIGHTS[k] for k in s), F.lit(0.0))
+        cells.append(F.struct(F.lit(n).alias("ord"), F.lit(rule.category).alias("category"), *[v.cast("int").alias(k) for k, v in s.items()], F.round(total, 2).alias("total")))
+    found = records.select("id", F.explode(F.filter(F.array(*cells), lambda c: c["total"] > 0)).alias("c"))
+    return found.select("id", "c.*")
+
+
+def ranked(scored: DataFrame) -> DataFrame:
+    """Rules of each record by falling total, ties in rule order; at most as many rows a record as there are rules."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("total").desc(), "ord")))
+
+
+def confidence(top: Column, margin: Column, strong: Column, has_evidence: Column) -> Column:
+    raw = 0.55 * F.least(top / 25.0, F.lit(1.0)) + 0.25 * F.least(margin / 20.0, F.lit(1.0)) + F.when(strong, 0.2).otherwise(0.0)
+    return F.round(F.when(has_evidence, raw).otherwise(F.least(raw, F.lit(0.35))), 3)
+
+
+def best(scored: DataFrame) -> DataFrame:
+    """One row for each record: the two best rules, their margin and the confidence in the best."""
+    tops = ranked(scored).where("rank <= 2").groupBy("id").agg(
+        F.max_by("category", -F.col("rank")).alias("category"), F.max("total").alias("top"),
+        F.max(F.when(F.col("rank") == 2, F.col("total"))).alias("second"), F.max(F.when(F.col("rank") == 2, F.col("category"))).alias("second_category"),
+        F.max(F.when(F.col("rank") == 1, F.greatest("domain", "title", "keyword"))).alias("strength"),
+    )
+    tops = tops.withColumn("second", F.coalesce("second", F.lit(0.0)))
+    margin = F.round(F.col("top") - F.col("second"), 2)
+    strong = F.col("strength") >= 40
+    return tops.withColumns({"margin": margin, "strong": strong}).withColumn("confidence", confidence(F.col("top"), F.col("margin"), F.col("strong"), F.lit(True))).drop("strength")
+
+
+def root_support(scored: DataFrame) -> DataFrame:
+    """Totals by root over a record's eight best rules of at least max(10, 0.7 * MIN_SCORE), and each root's share of them."""
+    kept = ranked(scored).where((F.col("rank") <= 8) & (F.col("total") >= max(10, 0.7 * lexicon.MIN_SCORE)))
+    roots = kept.groupBy("id", text.category_root(F.col("category")).alias("root")).agg(F.round(F.sum("total"), 2).alias("total"))
+    share = F.col("total") / F.sum("total").over(Window.partitionBy("id"))
+    return roots.withColumn("support", F.round(share, 4))
+
+
+def decide(records: DataFrame, found: DataFrame) -> DataFrame:
+    """The category of each record after review caps, ambiguity between roots and the confidence floor, why it needs confirmation, and its bucket.
+
+    Records have id and review_required; ``found`` is what `best` returns.
+    """
+    rows = records.select("id", "review_required").join(found, "id", "left")
+    top, raw = F.coalesce("top", F.lit(0.0)), F.coalesce("confidence", F.lit(0.0))
+    strong = F.coalesce("strong", F.lit(False))
+    preserved = F.col("review_required") & (raw >= lexicon.AUTO_CONFIDENCE) & (top >= lexicon.CONFIRM_THRESHOLD) & strong
+    capped = F.when(F.col("review_required") & ~preserved, F.least(raw, F.lit(0.45))).otherwise(raw)
+    ambiguous = (
+        (text.category_root(F.col("category")) != text.category_root(F.col("second_category")))
+        & (F.col("margin") <= lexicon.ROOT_MARGIN) & (F.col("second") >= lexicon.MIN_SCORE)
+    )
+    ambiguous = F.coalesce(ambiguous, F.lit(False))
+    final = F.when(ambiguous, F.least(capped, F.lit(0.54))).otherwise(capped)
+    rows = rows.withColumns({"ambiguous": ambiguous, "final_confidence": F.round(final, 3), "topped": top, "strong": strong})
+    category = F.when(F.col("final_confidence") < lexicon.AUTO_CONFIDENCE, F.lit(lexicon.DEFAULT_CATEGORY)).otherwise(F.col("category"))
+    reasons = F.array_compact(F.array(
+        F.when(F.col("topped") == 0, F.lit("no_rule_match")), F.when((F.col("topped") > 0) & (F.col("topped") < lexicon.CONFIRM_THRESHOLD), F.lit("low_score")),
+        F.when((F.col("topped") > 0) & ~F.col("strong"), F.lit("weak_evidence")), F.when(F.col("ambiguous"), F.lit("cross_root_ambiguity")),
+        F.when(F.col("review_required"), F.lit("review_required")),
+    ))
+    bucket = F.when(F.col("review_required"), "fetch_blocked").when(F.col("topped") == 0, "rule_gap").otherwise("low_confidence")
+    return rows.select("id", category.alias("category"), "final_confidence", "ambiguous", F.array_join(reasons, ",").alias("reasons"), bucket.alias("bucket"))
+
+
+def override(decided: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Assignments (id, category, confidence) replace the category; the higher confidence stays."""
+    given = assignments.select("id", F.col("category").alias("__category"), F.col("confidence").alias("__confidence"))
+    both = decided.join(given, "id", "left").withColumn("assigned", F.col("__category").isNotNull())
+    return both.withColumns({"category": F.coalesce("__category", "category"), "final_confidence": F.greatest("final_confidence", "__confidence")}).drop("__category", "__confidence")
+
+
+def resource_type(records: DataFrame) -> DataFrame:
+    """The resource type with the most points, ties by first listed; 未知 without points.
+
+    Records have id, url, title and body.
+    """
+    host, path = urls.host(F.col("url")), F.lower(urls.part(F.trim("url"), 3))
+    text_all = F.lower(F.concat_ws(" ", "title", "body", "url"))
+    cells = []
+    for n, (kind, (domains, paths, keywords, titles)) in enumerate(lexicon.RESOURCE_RULES.items()):
+        points = F.lit(0)
+        if kind != "仓库":
+            hits = [F.when(urls.has_suffix(host, d), 4).otherwise(0) for d in domains]
+            hits += [F.when(path.rlike(p), 3).otherwise(0) for p in paths]
+            hits += [F.when(text.has_keyword(text_all, k), 2).otherwise(0) for k in keywords]
+            hits += [F.when(F.col("title").rlike("(?i)" + t), 2).otherwise(0) for t in titles]
+            points = sum(hits[1:], hits[0])
+        else:
+            hits = [F.when(text.has_keyword(text_all, k), 2).otherwise(0) for k in keywords] + [F.when(F.col("title").rlike("(?i)" + t), 2).otherwise(0) for t in titles]
+            points = F.when(urls.repository(F.col("url")), 6 + sum(hits[1:], hits[0])).otherwise(0)
+        if kind == "论文":
+            points = points + F.when(path.endswith(".pdf"), 3).otherwise(0)
+        cells.append(F.struct(points.alias("points"), F.lit(-n).alias("first"), F.lit(kind).alias("kind")))
+    top = F.array_max(F.array(*cells))
+    return records.select("id", F.when(top["points"] > 0, top["kind"]).otherwise("未知").alias("resource_type"), top["points"].alias("points"))
+
+
+def labels(records: DataFrame) -> DataFrame:
+    """Intent labels and community or official signals by keywords; records have id, domain and body."""
+    intents = F.array_compact(F.array(*[F.when(text.keyword_hits(F.col("body"), words) > 0, F.lit(name)) for name, words in lexicon.INTENT_RULES.items()]))
+    signals = F.array_compact(F.array(*[F.when(urls.has_any_suffix(F.col("domain"), domains) | (text.keyword_hits(F.col("body"), words) > 0), F.lit(name)) for name, (domains, words) in lexicon.QUALITY_RULES.items()]))
+    return records.select("id", F.array_join(intents, ",").alias("intents"), F.array_join(F.array_sort(signals), ",").alias("signals"))
+
+
+def open_topics(records: DataFrame, known: tuple[str, ...], limit: int = 8) -> DataFrame:
+    """Topics that no rule names: tokens of title (2 points each) and body (1 point), the best ``limit`` by record.
+
+    Points fall, topics rise; records have id, title and body.  Counts are combined before the
+    shuffle by record and token, so long texts send each token once.
+    """
+    weighted = F.concat(F.transform(text.topic_tokens(F.col("title")), lambda t: F.struct(t.alias("t"), F.lit(2).alias("w"))), F.transform(text.topic_tokens(F.col("body")), lambda t: F.struct(t.alias("t"), F.lit(1).alias("w"))))
+    rows = records.select("id", F.explode(weighted).alias("x")).select("id", F.lower(F.trim(F.col("x.t"), F.lit("-_."))).alias("topic"), "x.w")
+    rows = rows.where((F.length("topic") >= 4) & ~F.col("topic").isin(*lexicon.TOPIC_STOPWORDS, *known))
+    sums = rows.groupBy("id", "topic").agg(F.sum("w").alias("score"))
+    sums = sums.where(~text.noisy(F.col("topic")) & ~text.weak(F.col("topic")))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "topic"))
+    return sums.withColumn("rank", rank).where(F.col("rank") <= limit)
