@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-CACHED_CHUNKS = 200_000
-CACHED_PIECES = 600_000
+CACHED_CHUNKS = 400_000
+CACHED_PIECES = 1_600_000
 CACHED_PAIRS = 300_000
 LONGEST_CACHED = 64
 _LINES = re.compile(r"\n(?=\S)")
