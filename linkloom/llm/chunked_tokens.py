@@ -11,6 +11,8 @@ younger one is full, which bounds memory and changes no result.
 
 from __future__ import annotations
 
+import bisect
+import contextlib
 import json
 import re
 from array import array
@@ -18,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_200_000
 LONGEST_CACHED = 64
 #: Marks the first chunk of a line; no text holds a lone surrogate.
 _FIRST = "\ud800"
@@ -31,7 +33,7 @@ class ChunkEncoder:
     """``encode(texts)`` gives for each text the little-endian ids as bytes (``dtype``)."""
 
     def __init__(self, path: str, dtype: str = "<u4"):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -49,6 +51,19 @@ class ChunkEncoder:
         #: Their strings end a piece wherever they stand, so texts that hold one are not cut.
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.tails = {c: self._raw([c])[0] for c in _TAILS}
+        # for chunks of letters: the model with the byte alphabet alone, lines as pieces
+        self.lower = '"Lowercase"' in json.dumps(spec.get("normalizer") or {})
+        self.plain = re.compile("[a-zß-öø-ÿ]+" if self.lower else "[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+        self.space = "" if self.lower else " "
+        self.lean = Tokenizer.from_file(path)
+        self.lean.no_truncation()
+        self.lean.no_padding()
+        if self.lower:
+            self.lean.normalizer = None
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        line = self.lean.encode("\n", add_special_tokens=False).ids
+        self.by_chunk = self.by_chunk and len(line) == 1
+        self.line = line[0]
         self.line_end = self._raw(["\n"])[0]
         self.young: dict[str, bytes] = {"\n": self.line_end}
         self.old: dict[str, bytes] = {}
@@ -56,57 +71,72 @@ class ChunkEncoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain_words(self, words: list[str]) -> list[bytes]:
+        """Ids of chunks of letters only, from a text with one on each line: the library's own model, without its splitting."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 4000):
+            ids = np.array(self.lean.encode_batch_fast(["\n".join(words[i : i + 4000])], add_special_tokens=False)[0].ids, self.dtype)
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            ends = (np.append(np.flatnonzero(ids == self.line), len(ids)) * width).tolist()
+            starts = [0, *(e + width for e in ends[:-1])]
+            out += [raw[x:y] for x, y in zip(starts, ends)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self._raw(texts)
-        young, found, cut = self.young, [], []
-        missing: set[str] = set()
-        for text in texts:
-            chunks: list[str] = []
+        young, whole, at = self.young, {}, [0]
+        chunks: list[str] = []
+        for n, text in enumerate(texts):
             if any(special in text for special in self.specials):
-                cut.append(None)
-                found.append(self._raw([text]))
-                continue
-            if text:
+                whole[n] = self._raw([text])[0]
+            elif text:
+                if self.lower and text.isascii():
+                    text = text.lower()
                 for line in text.split("\n"):
                     parts = line.split(" ")
                     parts[0] += _FIRST  # no space stands before the first chunk of a line
                     chunks += parts
                     chunks.append("\n")
                 chunks.pop()
-            ids = list(map(young.get, chunks))
-            if None in ids:
-                unseen = [c for c, known in zip(chunks, ids) if known is None]
-                if any(not c or c[0].isspace() or c == _FIRST for c in unseen):
-                    # white space before white space, which is never cut there nor stored
-                    chunks = []
-                    for line in _LINES.split(text):
-                        parts = _WORDS.split(line)
-                        parts[0] += _FIRST
-                        chunks += parts
-                        chunks.append("\n")
-                    chunks.pop()
-                    ids, unseen = None, [c for c in chunks if c not in young]
-                missing.update(unseen)
-            cut.append(chunks)
-            found.append(ids)
-        if not missing:
-            return [b"".join(ids) for ids in found]
-        fresh = self._look_up(missing)
-        out = []
-        for chunks, ids in zip(cut, found):
-            if ids is None:
-                out.append(b"".join([fresh[c] if c in fresh else young[c] for c in chunks]))
-            elif None in ids:
-                out.append(b"".join([fresh[c] if known is None else known for c, known in zip(chunks, ids)]))
-            else:
-                out.append(b"".join(ids))
-        for c, ids in fresh.items():
-            if len(c) <= LONGEST_CACHED and c and not c[0].isspace() and c != _FIRST:
-                if len(self.young) >= CACHE_ENTRIES // 2:
-                    self.old, self.young = self.young, {"\n": self.line_end}
-                self.young[c] = ids
-        return out
+            at.append(len(chunks))
+        ids = list(map(young.get, chunks))
+        unseen, n = [], -1
+        with contextlib.suppress(ValueError):
+            while True:
+                n = ids.index(None, n + 1)
+                unseen.append(n)
+        if unseen:
+            missing = {chunks[n] for n in unseen}
+            uncut = {c for c in missing if not c or c[0].isspace() or c == _FIRST}
+            if uncut:
+                # white space before white space, which is never cut there: such texts are cut more carefully
+                docs = {bisect.bisect_right(at, n) - 1 for n in unseen if chunks[n] in uncut}
+                whole.update(zip(sorted(docs), self._carefully([texts[d] for d in sorted(docs)])))
+                unseen = [n for n in unseen if chunks[n] not in uncut]
+            fresh = self._look_up(missing - uncut)
+            for n in unseen:
+                ids[n] = fresh[chunks[n]]
+            for c, known in fresh.items():
+                if len(c) <= LONGEST_CACHED:
+                    if len(self.young) >= CACHE_ENTRIES // 2:
+                        self.old, self.young = self.young, {"\n": self.line_end}
+                    self.young[c] = known
+        return [whole[n] if n in whole else b"".join(ids[a:b]) for n, (a, b) in enumerate(zip(at, at[1:]))]
+
+    def _carefully(self, texts: list[str]) -> list[bytes]:
+        cut = []
+        for text in texts:
+            chunks: list[str] = []
+            for line in _LINES.split(text):
+                parts = _WORDS.split(line)
+                parts[0] += _FIRST
+                chunks += parts
+                chunks.append("\n")
+            cut.append(chunks[:-1])
+        young = self.young
+        fresh = self._look_up({c for chunks in cut for c in chunks if c not in young})
+        return [b"".join([fresh[c] if c in fresh else young[c] for c in chunks]) for chunks in cut]
 
     def _look_up(self, missing: set[str]) -> dict[str, bytes]:
         young, old = self.young, self.old
@@ -117,17 +147,20 @@ class ChunkEncoder:
             elif c[-1:] in _TAILS and c[-2:-1].isalpha():
                 # letters and a closing mark are two pieces: only the letters may be new
                 stems.append(c)
-                if c[:-1] not in young and c[:-1] not in old:
+                if c[:-1] in old:
+                    fresh[c[:-1]] = old[c[:-1]]
+                elif c[:-1] not in young:
                     new.add(c[:-1])
             else:
                 new.add(c)
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        plain = [c for c in new if self.plain(c)]
+        fresh.update(zip(plain, self._plain_words([self.space + c for c in plain])))
+        rest = [c for c in new if c not in fresh]
+        for i in range(0, len(rest), 20_000):
+            part = rest[i : i + 20_000]
             fresh.update(zip(part, self._raw([c[:-1] if c[-1:] == _FIRST else " " + c for c in part])))
         for c in stems:
-            stem = fresh.get(c[:-1]) or young.get(c[:-1]) or old[c[:-1]]
-            fresh[c] = stem + self.tails[c[-1]]
+            fresh[c] = (fresh[c[:-1]] if c[:-1] in fresh else young[c[:-1]]) + self.tails[c[-1]]
         return fresh
 
 
