@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 800_000
 LONGEST_CACHED = 64
 #: Marks the first chunk of a line; no text holds a lone surrogate.
 _FIRST = "\ud800"
@@ -55,11 +55,7 @@ class ChunkEncoder:
         self.lower = '"Lowercase"' in json.dumps(spec.get("normalizer") or {})
         self.plain = re.compile("[a-zß-öø-ÿ]+" if self.lower else "[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
         self.space = "" if self.lower else " "
-        self.lean = Tokenizer.from_file(path)
-        self.lean.no_truncation()
-        self.lean.no_padding()
-        if self.lower:
-            self.lean.normalizer = None
+        self.lean = Tokenizer(self.tokenizer.model)  # shares the vocabulary
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         line = self.lean.encode("\n", add_special_tokens=False).ids
         self.by_chunk = self.by_chunk and len(line) == 1
