@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("links", "classify")
+MODULES = ("links", "classify", "structure")
 
 
 def _modules():

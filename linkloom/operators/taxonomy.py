@@ -1,0 +1,101 @@
+"""The taxonomy loop: read an external response, check it, turn it into rules and assignments, merge rounds."""
+
+from __future__ import annotations
+
+import json
+import re
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import lexicon
+from .rules import Rule
+
+VERSION = "user_taxonomy_response/v1"
+CONFIDENCE = {"high": 0.95, "medium": 0.75, "low": 0.4}
+_FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.DOTALL)
+
+
+class InvalidTaxonomy(ValueError):
+    """What an external response got wrong."""
+
+
+def parse(text: str) -> dict:
+    """The response's JSON, fenced or plain, with its version checked."""
+    fenced = _FENCE.search(text)
+    payload = json.loads(fenced.group(1) if fenced else text)
+    if payload.get("schema_version") != VERSION:
+        raise InvalidTaxonomy(f"version {payload.get('schema_version')!r}, not {VERSION}")
+    return payload
+
+
+def categories(payload: dict) -> list[Rule]:
+    """Rules of the response: unique paths of one to three parts, no generic platform as a topic's domain, patterns that compile."""
+    out, seen = [], set()
+    for item in payload.get("categories", []):
+        parts = [p.strip() for p in item["path"].split("/")]
+        path = "/".join(parts)
+        if not 1 <= len(parts) <= 3 or not all(parts):
+            raise InvalidTaxonomy(f"path {item['path']!r}")
+        if path in seen:
+            raise InvalidTaxonomy(f"path {path!r} twice")
+        seen.add(path)
+        domains = tuple(d.strip().lower() for d in item.get("topic_domains", []))
+        for domain in domains:
+            if any(domain == g or domain.endswith("." + g) for g in lexicon.GENERIC_PLATFORM_DOMAINS):
+                raise InvalidTaxonomy(f"{domain} is a platform, not a topic")
+        patterns = []
+        for pattern in item.get("title_patterns", []):
+            if isinstance(pattern, dict) and "regex" in pattern:
+                try:
+                    re.compile(pattern["regex"])
+                except re.error as error:
+                    raise InvalidTaxonomy(f"pattern {pattern['regex']!r}: {error}") from None
+                patterns.append(pattern["regex"])
+            else:
+                patterns.append(literal(pattern["literal"] if isinstance(pattern, dict) else pattern))
+        out.append(Rule(path, domains, tuple(item.get("aliases", [])), tuple(patterns)))
+    return out
+
+
+def literal(text: str) -> str:
+    """A title pattern for literal text: plain ASCII words stand alone, other text anywhere."""
+    body = re.escape(text)
+    return rf"(^|[^A-Za-z0-9]){body}($|[^A-Za-z0-9])" if re.fullmatch(r"[A-Za-z0-9+.#/-]+", text) else body
+
+
+def root_groups(payload: dict) -> list[dict]:
+    """Named groups of known roots; without any, one group of all roots."""
+    roots = list(dict.fromkeys(r.category.split("/")[0] for r in categories(payload)))
+    groups = payload.get("root_groups") or [{"name": lexicon.MAIN_GROUP, "roots": roots}]
+    for group in groups:
+        unknown = [r for r in group["roots"] if r not in roots]
+        if unknown:
+            raise InvalidTaxonomy(f"group {group['name']!r} names {unknown}")
+    return groups
+
+
+def assignments(spark: SparkSession, payload: dict, targets: dict[str, list[str]]) -> DataFrame:
+    """(identity, category, confidence, cluster_id) for the records of each assigned cluster.
+
+    A response is a hand-made document, so its entries are checked on the driver.
+    """
+    known, rows = {r.category for r in categories(payload)}, []
+    for item in payload.get("cluster_assignments", []):
+        if item["cluster_id"] not in targets:
+            raise InvalidTaxonomy(f"no cluster {item['cluster_id']}")
+        if item["category"] not in known:
+            raise InvalidTaxonomy(f"no category {item['category']}")
+        rows += [(identity, item["category"], CONFIDENCE[item["confidence"]], item["cluster_id"]) for identity in targets[item["cluster_id"]]]
+    return spark.createDataFrame(rows, "identity string, category string, confidence double, cluster_id string")
+
+
+def merge(rounds: list[DataFrame], key: str = "id") -> DataFrame:
+    """One assignment for each key: the highest confidence, the latest round of equals.
+
+    A max over a struct, so it is combined before the shuffle.
+    """
+    tagged = [r.select(key, F.struct("confidence", F.lit(n).alias("round"), "category").alias("v")) for n, r in enumerate(rounds)]
+    all_rounds = tagged[0]
+    for r in tagged[1:]:
+        all_rounds = all_rounds.unionByName(r)
+    return all_rounds.groupBy(key).agg(F.max("v").alias("v")).select(key, "v.category", "v.confidence")

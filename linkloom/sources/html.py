@@ -1,0 +1,166 @@
+"""HTML in and out: link exports, page signals, the exported link tree.
+
+HTML is not a regular language, so pages are read with the standard library's parser in Arrow batches.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..functions import lexicon, text
+
+SAMPLE_EXPORT = """<!DOCTYPE NETSCAPE-Bookmark-file-1><DL><p><DT><H3>Bookmarks Bar</H3><DL><p>
+<DT><H3>Languages</H3><DL><p><DT><A HREF="https://a.example.org/x" ADD_DATE="1710000000">A page</A>
+<DT><H3>Deep</H3><DL><p><DT><A HREF="https://a.example.org/y" ADD_DATE="1710000001" DESCRIPTION="about y">Y</A></DL><p></DL><p>
+<DT><A HREF="javascript:void(0)">no link</A><DT><A HREF="https://b.example.org/">B</A></DL><p></DL>"""
+SAMPLE = """<html lang="en"><head><title>T</title><meta name="description" content="D"><meta property="og:title" content="OG"><link rel="canonical" href="/c">
+<meta name="generator" content="gen 1"><script type="application/ld+json">{"@graph": [{"@type": "TechArticle", "headline": "H", "author": {"name": "N"}}]}</script></head>
+<body><nav>a b</nav><h1>One</h1><h2>Two</h2><main>main  text</main><pre><code class="language-python">x</code></pre></body></html>"""
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class _Export(HTMLParser):
+    """Links with the folders whose lists are open around them; toolbar folders have no name."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows, self.folders, self.pending, self.into, self.link = [], [], None, None, None
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag == "h3":
+            self.into, self.pending = "h3", ""
+        elif tag == "dl":
+            self.folders.append(self.pending)
+            self.pending = None
+        elif tag == "a":
+            self.into, self.link = "a", {"url": a.get("href") or "", "name": "", "add_date": a.get("add_date") or "", "description": a.get("description") or a.get("desc") or "", "notes": a.get("notes") or ""}
+
+    def handle_endtag(self, tag):
+        if tag == "dl" and self.folders:
+            self.folders.pop()
+        elif tag == "a" and self.link is not None:
+            if self.link["url"] and not self.link["url"].startswith("javascript:"):
+                path = [f.strip() for f in self.folders if f and f.strip() not in lexicon.TOOLBAR_FOLDERS]
+                self.rows.append(self.link | {"name": self.link["name"].strip(), "folder_path": path})
+            self.link = None
+        if tag in ("a", "h3"):
+            self.into = None
+
+    def handle_data(self, data):
+        if self.into == "h3":
+            self.pending += data
+        elif self.into == "a" and self.link is not None:
+            self.link["name"] += data
+
+
+def parse_exports(files: DataFrame) -> DataFrame:
+    """Links of (file_id, text) export files in order: (file_id, ord, url, name, add_date, description, notes, folder_path)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for file_id, raw in zip(batch["file_id"], batch["text"]):
+                parser = _Export()
+                parser.feed(raw or "")
+                rows += [{"file_id": file_id, "ord": n, **row} for n, row in enumerate(parser.rows)]
+            yield pd.DataFrame(rows, columns=["file_id", "ord", "url", "name", "add_date", "description", "notes", "folder_path"])
+
+    return files.select("file_id", "text").mapInPandas(run, "file_id long, ord long, url string, name string, add_date string, description string, notes string, folder_path array<string>")
+
+
+class _Page(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.text, self.meta, self.lang, self.canonical, self.code, self.ld = [], {}, {}, "", "", [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        if tag == "html":
+            self.lang = a.get("lang", "")
+        elif tag == "meta":
+            self.meta.setdefault(a.get("property") or a.get("name") or "", a.get("content", ""))
+        elif tag == "link" and a.get("rel", "").lower() == "canonical":
+            self.canonical = a.get("href", "")
+        elif tag in ("code", "pre"):
+            self.code += [c.split("-", 1)[1] for c in a.get("class", "").split() if c.startswith(("language-", "lang-"))]
+        if tag not in _VOID:
+            self.open.append("ld" if tag == "script" and "ld+json" in a.get("type", "") else tag)
+
+    def handle_endtag(self, tag):
+        for n in range(len(self.open) - 1, -1, -1):
+            if self.open[n] == tag or (tag == "script" and self.open[n] == "ld"):
+                del self.open[n:]
+                break
+
+    def handle_data(self, data):
+        if self.open and self.open[-1] == "ld":
+            self.ld.append(data)
+        elif not {"script", "style"} & set(self.open):
+            for tag in set(self.open) & {"title", "h1", "h2", "nav", "main", "article", "body"}:
+                self.text.setdefault(tag, []).append(data)
+
+    def said(self, tag: str) -> str:
+        return " ".join(" ".join(self.text.get(tag, [])).split())
+
+
+def _nodes(value) -> Iterator[dict]:
+    """Every dictionary of a JSON value, at any depth."""
+    if isinstance(value, dict):
+        yield value
+        for v in value.values():
+            yield from _nodes(v)
+    elif isinstance(value, list):
+        for v in value:
+            yield from _nodes(v)
+
+
+def _page(url: str, raw: str) -> dict:
+    p = _Page()
+    p.feed(raw or "")
+    nodes = []
+    for block in p.ld:
+        try:
+            nodes += list(_nodes(json.loads(block)))
+        except ValueError:
+            continue
+    types = [t for n in nodes for t in (n.get("@type") if isinstance(n.get("@type"), list) else [n.get("@type")]) if isinstance(t, str)]
+    headline = next((n[k] for n in nodes for k in ("headline", "name", "title") if isinstance(n.get(k), str) and n[k]), "")
+    return {
+        "title": p.meta.get("og:title") or p.meta.get("twitter:title") or headline or p.said("title") or p.said("h1"),
+        "description": p.meta.get("og:description") or p.meta.get("twitter:description") or p.meta.get("description", ""),
+        "canonical_url": urljoin(url, p.canonical) if p.canonical else "", "lang": p.lang, "h1": p.said("h1"), "h2": p.said("h2"), "nav": p.said("nav"),
+        "main_text": (p.said("main") or p.said("article") or p.said("body"))[:1500], "generator": p.meta.get("generator", ""), "schema_types": types, "code_languages": list(dict.fromkeys(p.code)),
+    }
+
+
+def page_signals(pages: DataFrame) -> DataFrame:
+    """Signals of (page_id, url, html): titles, description, canonical link, headings, main text, structured data."""
+    fields = ("title", "description", "canonical_url", "lang", "h1", "h2", "nav", "main_text", "generator")
+    schema = "page_id long, " + ", ".join(f"{f} string" for f in fields) + ", schema_types array<string>, code_languages array<string>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([{"page_id": i, **_page(u, h)} for i, u, h in zip(batch["page_id"], batch["url"], batch["html"])], columns=["page_id", *fields, "schema_types", "code_languages"])
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, schema)
+
+
+def lines(links: DataFrame) -> DataFrame:
+    """The export's lines in order: (folder, place, line) of (id, url, name, folder); folders by falling size, links by name.
+
+    Lines carry their order, so a sorted write gives the file without gathering rows in one task.
+    """
+    w = Window.partitionBy("folder")
+    item = F.format_string('        <DT><A HREF="%s">%s</A>', text.escape_html(F.col("url")), text.escape_html(F.col("name")))
+    rows = links.withColumn("place", F.row_number().over(w.orderBy("name", "id"))).select("folder", "place", item.alias("line"))
+    sizes = links.groupBy("folder").agg(F.count(F.lit(1)).alias("size"))
+    head = sizes.select("folder", F.lit(0).alias("place"), F.format_string("    <DT><H3>%s (%d)</H3><DL><p>", text.escape_html(F.col("folder")), F.col("size")).alias("line"))
+    tail = sizes.select("folder", (F.col("size") + 1).cast("int").alias("place"), F.lit("    </DL><p>").alias("line"))
+    return head.unionByName(rows).unionByName(tail)
