@@ -5,7 +5,7 @@ which is not white space.  Neither vocabulary has a token that crosses such a pl
 byte-level pattern opens a new piece there, the word pattern drops white space
 altogether.  So the ids of a text are the ids of its chunks in order.  A chunk is looked up
 in a dictionary and the library is asked only for chunks not seen before.  The dictionary
-has two generations of ``CACHE_ENTRIES / 2`` chunks; the older one is dropped when the
+has two generations of half its ``entries``; the older one is dropped when the
 younger one is full, which bounds memory and changes no result.
 """
 
@@ -32,13 +32,14 @@ _WORDS = re.compile(r" (?=\S)")
 class ChunkEncoder:
     """``encode(texts)`` gives for each text the little-endian ids as bytes (``dtype``)."""
 
-    def __init__(self, path: str, dtype: str = "<u4"):
+    def __init__(self, path: str, dtype: str = "<u4", entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype(dtype)
+        self.entries = entries
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         if self.size > np.iinfo(self.dtype).max + 1:
@@ -115,7 +116,7 @@ class ChunkEncoder:
                 ids[n] = fresh[chunks[n]]
             for c, known in fresh.items():
                 if len(c) <= LONGEST_CACHED:
-                    if len(self.young) >= CACHE_ENTRIES // 2:
+                    if len(self.young) >= self.entries // 2:
                         self.old, self.young = self.young, {"\n": self.line_end}
                     self.young[c] = known
         return [whole[n] if n in whole else b"".join(ids[a:b]) for n, (a, b) in enumerate(zip(at, at[1:]))]
@@ -161,6 +162,6 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
+def encoder(path: str, dtype: str = "<u4", entries: int = CACHE_ENTRIES) -> ChunkEncoder:
     """One encoder for each file in a worker."""
-    return ChunkEncoder(path, dtype)
+    return ChunkEncoder(path, dtype, entries)

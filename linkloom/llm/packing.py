@@ -26,6 +26,8 @@ from . import common
 
 CAPACITY = 4096
 END_ID = 2
+#: Chunks that a worker remembers: about 400 MB; packing holds little else.
+CACHED_CHUNKS = 1_800_000
 _SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -90,7 +92,7 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, cap
         doc_ids, texts = given.column(0).to_pylist(), given.column(1)
         for low in range(0, len(doc_ids), 512):
             rows: list = []
-            ids_of = encoder(path).encode(texts.slice(low, 512).to_pylist())
+            ids_of = encoder(path, "<u4", CACHED_CHUNKS).encode(texts.slice(low, 512).to_pylist())
             for doc_id, raw in zip(doc_ids[low:], ids_of):
                 raw += end
                 total, at = len(raw) // 4, 0
