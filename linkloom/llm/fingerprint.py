@@ -40,20 +40,27 @@ _EXACT = LANES * LANE_BITS // 4
 _DIGITS = SIGN_BITS // 4
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: inside lambda functions an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _paragraphs(text: Column) -> Column:
-    return F.filter(F.split(text, "\n", -1), lambda _: F.length(text) > 0)
+    return F.when(F.length(text) > 0, F.split(text, "\n", -1)).otherwise(F.array().cast("array<string>"))
 
 
 def _lanes(paragraphs: Column) -> Column:
     """Lanes of a document as hexadecimal text."""
-    digests = F.transform(paragraphs, lambda p: F.sha2(p, 512))
     mask = F.lit((1 << LANE_BITS) - 1).cast("long")
 
-    def lane(k: Column) -> Column:
-        return F.aggregate(digests, F.lit(0).cast("long"), lambda acc, d: (acc + F.xxhash64(d, k).bitwiseAND(mask)).bitwiseAND(mask))
+    def lanes(digests: Column) -> Column:
+        def lane(k: Column) -> Column:
+            return F.aggregate(digests, F.lit(0).cast("long"), lambda acc, d: (acc + F.xxhash64(d, k).bitwiseAND(mask)).bitwiseAND(mask))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lane)
 
-    lanes = F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lane)
-    return F.array_join(F.transform(lanes, lambda v: F.lpad(F.lower(F.hex(v)), LANE_BITS // 4, "0")), "")
+    values = _bound(F.transform(paragraphs, lambda p: F.sha2(p, 512)), lanes)
+    return F.array_join(F.transform(values, lambda v: F.lpad(F.lower(F.hex(v)), LANE_BITS // 4, "0")), "")
 
 
 def _pairs(text: Column) -> Column:
@@ -61,7 +68,7 @@ def _pairs(text: Column) -> Column:
 
     def of(paragraph: Column) -> Column:
         words = F.filter(F.split(paragraph, common.SPACE_RUN), lambda w: F.length(w) > 0)
-        return F.transform(words, lambda w, n: F.xxhash64(w, F.get(words, n + 1)))
+        return _bound(words, lambda ws: F.transform(ws, lambda w, n: F.xxhash64(w, F.get(ws, n + 1))))
 
     return F.flatten(F.transform(_paragraphs(text), of))
 
