@@ -333,7 +333,7 @@ def train_and_score(docs: DataFrame) -> DataFrame:
 
         return _gather(table)
 
-    sums = rows.mapInArrow(bigrams, _BLOBS).repartition(shards, "shard").groupBy("shard").applyInArrow(shard, _SUMS)
+    sums = rows.mapInArrow(bigrams, _BLOBS).repartitionById(shards, F.col("shard")).groupBy("shard").applyInArrow(shard, _SUMS)
     out = sums.groupBy("chunk").applyInArrow(gather, _RESULT)
     base = F.col("base_sum") - F.col("n_tokens") * F.lit(float(np.log10(stats.z)))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(stats.trained).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
