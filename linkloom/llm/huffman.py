@@ -246,7 +246,7 @@ def write(docs: DataFrame, tokenizer_path: str, target: str, *, end_id: int = EN
         return _segments(batches)
 
     tokenized = rows.mapInArrow(tokenize, _TOKENIZED)
-    placed = tokenized.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "ids")
+    placed = tokenized.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
     segments = common.persist_table(placed.mapInArrow(segment, _SEGMENT))
 
     def histogram(batches):
