@@ -188,7 +188,8 @@ def edited(docs: DataFrame, *, docs_a_block: int = DOCS_A_BLOCK) -> DataFrame:
 
     (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
     """
-    placed = _blocks(common.id_text(docs), docs_a_block)
+    # The join below asks for blocks that aren't null on one side; said here, both sides read one exchange of the texts.
+    placed = _blocks(common.id_text(docs), docs_a_block).where(F.col("block").isNotNull())
     order = Window.partitionBy("block").orderBy("copy", F.col("doc_id").asc_nulls_first(), "text")
     rows = placed.select("block", "copy", "doc_id", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next"))
     size = F.length("text").cast("long")
