@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("links", "classify", "structure")
+MODULES = ("links", "classify", "structure", "reports")
 
 
 def _modules():
