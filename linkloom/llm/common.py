@@ -59,6 +59,16 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Whole rows of the documents whose id is among (doc_id), one for each id; rows without an id stay as they are.
+
+    One shuffle of the rows: those of an id meet where the join put them.
+    """
+    wanted = ids.select(F.col("doc_id").alias("__wanted")).where("__wanted is not null").distinct()
+    known = docs.join(wanted, docs["doc_id"] == wanted["__wanted"], "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.where(docs["doc_id"].isNull()))
+
+
 def crc_mod(id_col, modulus: int):
     """crc32 of the id's decimal text, modulo ``modulus``: the fold of a document (a null id counts as empty text)."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -92,7 +92,5 @@ def dedup(docs: DataFrame, index: DigestIndex, *, batches: int = 1) -> DataFrame
 
 
 def keep(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The documents that stay, all their columns, one row for each text."""
-    kept = dedup(docs, index).where("kept").select(F.col("doc_id").alias("__keep_id")).distinct()
-    mark = docs["doc_id"].cast("long").eqNullSafe(kept["__keep_id"])
-    return docs.join(kept, mark, "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stay, all their columns, one row for each text; rows without an id stay as they are."""
+    return common.with_ids(docs, dedup(docs, index).where("kept"))

@@ -211,6 +211,5 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, words: int = WOR
 
 
 def keep(docs: DataFrame, percent: int = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """The documents that stay, all their columns: one of each component, one row for each doc_id."""
-    kept = near_duplicates(docs, percent, words).where("kept").select(F.col("doc_id").alias("__keep_id")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__keep_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """The documents that stay, all their columns: one of each component, one row for each id; rows without an id stay as they are."""
+    return common.with_ids(docs, near_duplicates(docs, percent, words).where("kept"))
