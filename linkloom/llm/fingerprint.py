@@ -198,21 +198,26 @@ def edited(docs: DataFrame, *, docs_a_block: int = DOCS_A_BLOCK) -> DataFrame:
     rows = rows.withColumn("edit", F.when(~F.col("copy"), text).otherwise(""))
 
     key = ["block", "place"]
-    signs = _sketched(rows, key, {"own": "text", "edit": "edit"})
+    after = Window.partitionBy("block").orderBy("place")
+    # both sides below lie by block already, so the next row is found before the rows are dealt out by key
     none = F.array_repeat(F.lit(0).cast("long"), 6 * PLANES)
+    signs = _sketched(rows, key, {"own": "text", "edit": "edit"})
+    adjoining = F.lead("place").over(after) == F.col("place") + 1
+    signs = signs.withColumn("next_signs", F.when(adjoining, F.lead("own_signs").over(after)))
+    likely = signs.select(
+        *key, _sign_text(F.col("own_signs")).alias("own_text"), _sign_text(F.col("edit_signs")).alias("edit_text"),
+        _cosine(F.col("own_signs"), F.col("edit_signs")).alias("like_edit"), _cosine(F.col("own_signs"), F.coalesce("next_signs", none)).alias("like_next"),
+    )
     exact = rows.select(*key, "copy", "doc_id", size.alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), _lanes(_paragraphs(F.col("text"))).alias("lanes"), _lanes(_paragraphs(F.col("edit"))).alias("edit_lanes"))
-    both = exact.join(signs, key, "left")
-    both = both.withColumns({"own_signs": F.coalesce("own_signs", none), "edit_signs": F.coalesce("edit_signs", none)})
-    after = Window.partitionBy("block").orderBy("place")
-    both = both.withColumns({"next_signs": F.lead("own_signs").over(after), "next_lanes": F.lead("lanes").over(after)}).where("not copy")
+    exact = exact.withColumns({"same_edit": F.col("edit_lanes") == F.col("lanes"), "same_next": F.coalesce(F.lead("lanes").over(after) == F.col("lanes"), F.lit(False))}).where("not copy")
+    both = exact.join(likely, key, "left")
+    zero = F.lit("0" * (6 * PLANES * _DIGITS))
 
-    def near(signs: str, lanes: str) -> Column:
-        equal = (F.col(lanes) == F.col("lanes")) & (F.col(signs) == F.col("own_signs"))
-        return F.when(equal, F.lit(1.0)).otherwise(_cosine(F.col("own_signs"), F.coalesce(signs, none)))
+    def near(same: str, like: str) -> Column:
+        return F.when(F.col(same), F.lit(1.0)).otherwise(F.coalesce(like, F.lit(0.0)))
 
     return both.select(
         "doc_id", "n_chars", "edited_sha256",
-        F.concat("lanes", _sign_text(F.col("own_signs"))).alias("fingerprint"),
-        F.concat("edit_lanes", _sign_text(F.col("edit_signs"))).alias("edited_fingerprint"),
-        near("edit_signs", "edit_lanes").alias("near_edited"), near("next_signs", "next_lanes").alias("near_next"),
+        F.concat("lanes", F.coalesce("own_text", zero)).alias("fingerprint"), F.concat("edit_lanes", F.coalesce("edit_text", zero)).alias("edited_fingerprint"),
+        near("same_edit", "like_edit").alias("near_edited"), near("same_next", "like_next").alias("near_next"),
     )
