@@ -29,7 +29,7 @@ from .linear import minimize, sigmoid, softplus
 SIZES = (3, 4, 5)
 LEAST_TEXTS = 3
 SMOOTHING = 1.0
-RIDGE = 2.0
+RIDGE = 0.3
 THRESHOLD = 0.5
 #: Labelled rows to fit on, at most.
 SAMPLE_ROWS = 3000
