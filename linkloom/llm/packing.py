@@ -26,8 +26,8 @@ from . import common
 
 CAPACITY = 4096
 END_ID = 2
-#: Chunks that a worker remembers: about 400 MB; packing holds little else.
-CACHED_CHUNKS = 1_800_000
+#: Chunks that a worker remembers: about 200 MB.
+CACHED_CHUNKS = 900_000
 _SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
