@@ -46,7 +46,10 @@ _SEED = 20240502
 _SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
 #: Bytes of a shingle's hash in a set that is sent to be compared.
 WIDTH = 5
-_TESTED = "a long, b long, linked boolean, n long, prefix array<long>"
+_TESTED = "a long, b long, linked boolean"
+_PREFIXED = "a long, b long, n long, prefix array<long>"
+#: Bits of the map of ids whose sets are wanted; a bit that is set for another id only costs work.
+MAP_BITS = 1 << 24
 
 
 class MinMax:
@@ -107,42 +110,82 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view(">u8").astype(np.int64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _places(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(MAP_BITS)).astype(np.int64)
+
+
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The map of a partition's ids, compressed."""
+    import zstandard
+
+    bits = np.zeros(MAP_BITS, np.uint8)
     for given in batches:
+        bits[_places(given.column(0).to_numpy(zero_copy_only=False))] = 1
+    yield pa.record_batch([pa.array([zstandard.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], names=["map"])
+
+
+def _id_map(ids: DataFrame) -> np.ndarray:
+    """One map of all ids: MAP_BITS bits on the driver, whatever their number."""
+    import zstandard
+
+    whole = np.zeros(MAP_BITS // 8, np.uint8)
+
+    def run(batches):
+        from linkloom.llm.minhash import _maps
+
+        return _maps(batches)
+
+    for row in ids.select("id").mapInArrow(run, "map binary").toLocalIterator():
+        whole |= np.frombuffer(zstandard.decompress(row["map"]), np.uint8)
+    return whole
+
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int, wanted) -> Iterator[pa.RecordBatch]:
+    bits = np.unpackbits(wanted.value)
+    for given in batches:
+        ids = given.column(0)
+        keep = ids.is_valid().to_numpy(zero_copy_only=False)
+        keep[keep] = bits[_places(ids.drop_null().to_numpy(zero_copy_only=False))] > 0
+        given = given.filter(pa.array(keep))
         for low in range(0, given.num_rows, 1024):
             part = given.slice(low, 1024)
             sets = [packed(shingle_set(t.as_py(), words)) for t in part.column(1)]
             yield pa.record_batch([part.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
 
-def prefix(own: np.ndarray, pivot: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in its pivot's order that a linked set must share one of."""
-    lacking = ~np.isin(own, pivot, assume_unique=True)
-    length = len(own) - -(-percent * len(own) // 100) + 1
-    return np.concatenate([own[lacking][:length], own[~lacking][: max(0, length - int(lacking.sum()))]])
+def prefix(own: np.ndarray, references: list[np.ndarray], percent: int) -> np.ndarray:
+    """The first shingles of a set, those that fewest references hold first, that a linked set must share one of."""
+    held = sum((np.isin(own, r, assume_unique=True).astype(np.int8) for r in references), np.zeros(len(own), np.int8))
+    return own[np.lexsort((own, held))][: len(own) - -(-percent * len(own) // 100) + 1]
 
 
-def _tested(batches: Iterator[pa.RecordBatch], percent: int, with_prefix: bool) -> Iterator[pa.RecordBatch]:
+def _tested(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for given in batches:
-        if not given.num_rows:
-            continue
-        linked, sizes, firsts = [], [], []
+        linked = []
         for x, y in zip(given.column(2), given.column(3)):
             one, two = unpacked(x.as_py()), unpacked(y.as_py())
             both = len(np.intersect1d(one, two, assume_unique=True))
             linked.append(100 * both >= percent * (len(one) + len(two) - both))
-            sizes.append(len(two))
-            firsts.append(prefix(two, one, percent) if with_prefix else np.zeros(0, np.int64))
-        yield pa.record_batch([given.column(0), given.column(1), pa.array(linked), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["a", "b", "linked", "n", "prefix"])
+        yield pa.record_batch([given.column(0), given.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
 
+def _prefixed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for given in batches:
+        sizes, firsts = [], []
+        for own, references in zip(given.column(2), given.column(3)):
+            mine = unpacked(own.as_py())
+            sizes.append(len(mine))
+            firsts.append(prefix(mine, [unpacked(r) for r in references.as_py()], percent))
+        yield pa.record_batch([given.column(0), given.column(1), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["a", "b", "n", "prefix"])
 
-def _test(pairs: DataFrame, sets: DataFrame, percent: int, with_prefix: bool) -> DataFrame:
-    """(a, b, linked, n, prefix) of pairs (a, b) on full sets; n and prefix are b's, the prefix in a's order."""
+
+def _test(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) of pairs (a, b) on full sets."""
 
     def test(batches):
         from linkloom.llm.minhash import _tested
 
-        return _tested(batches, percent, with_prefix)
+        return _tested(batches, percent)
 
     # no bound is known for any side, so none is broadcast
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")).hint("merge")
@@ -151,6 +194,22 @@ def _test(pairs: DataFrame, sets: DataFrame, percent: int, with_prefix: bool) ->
     return common.persist_table(joined.mapInArrow(test, _TESTED))
 
 
+def _with_prefixes(spokes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n, prefix) of members b around pivots a, in the order of the pivot's references."""
+
+    def run(batches):
+        from linkloom.llm.minhash import _prefixed
+
+        return _prefixed(batches, percent)
+
+    others = spokes.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y"), F.min_by("b", F.xxhash64("b")).alias("z"))
+    chosen = others.select("a", F.explode(F.array_distinct(F.array("a", "x", "y", "z"))).alias("id"))
+    references = chosen.join(sets.hint("merge"), "id").groupBy("a").agg(F.collect_list("shingles").alias("references"))  # four at most
+    own = sets.select(F.col("id").alias("b"), F.col("shingles").alias("own")).hint("merge")
+    joined = spokes.select("a", "b").join(own, "b").join(references.hint("merge"), "a").select("a", "b", "own", "references")
+    return common.persist_table(joined.mapInArrow(run, _PREFIXED))
+
+
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; linked: 100 * common >= percent * union."""
     spark = docs.sparkSession
@@ -173,22 +232,29 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, words: int = WOR
 
     members = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
 
+    wanted = spark.sparkContext.broadcast(_id_map(members))
+
     def to_sets(batches):
         from linkloom.llm.minhash import _sets
 
-        return _sets(batches, words)
+        return _sets(batches, words, wanted)
 
-    texts = rows.join(members, rows["doc_id"] == members["id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = common.persist_table(texts.mapInArrow(to_sets, "id long, shingles binary"))
+    # texts don't move: sets are made where the texts are read, of the ids on the map
+    sets = rows.mapInArrow(to_sets, "id long, shingles binary").join(members.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    sets = common.persist_table(sets)
 
-    tested = _test(star, sets, percent, True)
+    tested = _test(star, sets, percent)
     links = tested.where("linked").select("a", "b")
     labels = components(links)
 
     named = labels.select(F.col("id").alias("b"), F.col("label").alias("label_b"))
     pivots = labels.select(F.col("id").alias("a"), F.col("label").alias("label_a"))
-    spokes = tested.where(F.size("prefix") > 0).join(named, "b", "left").join(pivots, "a", "left")
-    spokes = spokes.select("a", "b", "n", "prefix", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label"))
+    spokes = tested.select("a", "b").join(named, "b", "left").join(pivots, "a", "left")
+    spokes = spokes.select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label"))
+    # a pivot with one member outside its component, or none, is settled
+    open_pivots = spokes.groupBy("a").agg(F.count_if(F.col("label") != F.col("label_a")).alias("outside"), F.count(F.lit(1)).alias("size")).where("outside > 0 and size > 1").select("a")
+    spokes = common.persist_table(spokes.join(open_pivots, "a", "left_semi"))
+    spokes = _with_prefixes(spokes, sets, percent).join(spokes, ["a", "b"])
     entries = spokes.select("a", "b", "n", "label", (F.col("label") != F.col("label_a")).alias("outside"), F.posexplode("prefix").alias("at", "shingle"))
     x, y = entries.where("outside").alias("x"), entries.alias("y")
     need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent) - 1e-9)
@@ -200,7 +266,7 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, words: int = WOR
         & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need)
     )
     rest = x.join(y, may_link).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
-    more = _test(rest, sets, percent, False).where("linked").select("a", "b")
+    more = _test(rest, sets, percent).where("linked").select("a", "b")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 

@@ -245,7 +245,7 @@ def test_prefixes_of_linked_sets_meet():
         y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.06], rng.integers(0, 1 << 40, 6)]))
         shared = len(np.intersect1d(x, y))
         if 100 * shared >= 85 * (len(x) + len(y) - shared):
-            assert len(np.intersect1d(minhash.prefix(x, pivot, 85), minhash.prefix(y, pivot, 85)))
+            assert len(np.intersect1d(minhash.prefix(x, [pivot, pivot[:50]], 85), minhash.prefix(y, [pivot, pivot[:50]], 85)))
 
 
 def test_shingles(texts):
