@@ -240,6 +240,7 @@ def codec(path: str) -> ByteBpe:
 
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    common.take_over("bpe")
     bpe = codec(path)
     decimal = [str(n) for n in range(len(bpe.bytes_of))]
     for batch in batches:

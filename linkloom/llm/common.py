@@ -74,6 +74,32 @@ def crc_mod(id_col, modulus: int):
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+_owner: str | None = None
+
+
+def take_over(owner: str) -> None:
+    """Called in a Python worker when an operator's task begins: what another operator remembered there is dropped.
+
+    Workers are reused, and the dictionaries of one operator are dead weight beside the next.
+    """
+    global _owner
+    if _owner not in (None, owner):
+        import gc
+        import sys
+
+        for name, attribute in (("chunked_tokens", "encoder"), ("bpe", "codec")):
+            module = sys.modules.get(f"linkloom.llm.{name}")
+            if module:
+                getattr(module, attribute).cache_clear()
+        if "linkloom.llm.toxicity" in sys.modules:
+            sys.modules["linkloom.llm.toxicity"]._cache = {}
+        gc.collect()
+        pool = sys.modules["pyarrow"].default_memory_pool() if "pyarrow" in sys.modules else None
+        if pool:
+            pool.release_unused()
+    _owner = owner
+
+
 def schema(**kinds) -> StructType:
     named = {"long": LongType(), "string": StringType(), "binary": BinaryType()}
     return StructType([StructField(name, named.get(kind, kind)) for name, kind in kinds.items()])

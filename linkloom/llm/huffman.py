@@ -160,6 +160,8 @@ def _unplanes(raw: bytes) -> np.ndarray:
 def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bounds: list[int]) -> Iterator[pa.RecordBatch]:
     from .chunked_tokens import encoder
 
+    common.take_over("huffman")
+
     end, edges = end_id.to_bytes(2, "little"), np.array(bounds, np.int64)
     for given in batches:
         for low in range(0, given.num_rows, 512):

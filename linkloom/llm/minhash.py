@@ -80,6 +80,7 @@ class MinMax:
 def _signed(batches: Iterator[pa.RecordBatch], percent: int, words: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
+    common.take_over("minhash")
     hashes = MinMax(percent)
     for given in batches:
         for low in range(0, given.num_rows, 1024):

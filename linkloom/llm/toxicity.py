@@ -115,6 +115,7 @@ _cache: dict = {}
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     global _cache
+    common.take_over("toxicity")
     model = model.value
     if _cache.get("model") is not model:
         _cache = {"model": model, "words": {}}
