@@ -112,6 +112,16 @@ CACHE_SQL = f"""WITH c AS (SELECT user_id, status, event_id, status <> 'success'
   SELECT c_custkey AS user_id, status AS cached_status, CAST(priority AS INT) AS cached_priority, b.user_id IS NULL OR review_required AS pending FROM customer LEFT JOIN b ON c_custkey = b.user_id"""
 
 
+def cache_merge_all_attempts(spark, sf_dir) -> DataFrame:
+    """Users with the best of all their attempts; ``cache_merge_pending`` and its SQL read only those with an even event_id."""
+    tried = health.link_health(_attempts(spark, sf_dir)).withColumn("ord", F.col("event_id"))
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    return health.merge_cache(users, tried, "user_id")
+
+
+CACHE_ALL_SQL = CACHE_SQL.replace(" WHERE event_id % 2 = 0)", ")")
+
+
 def _halves(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     tried = health.link_health(_attempts(spark, sf_dir)).select(F.col("user_id").alias("domain"), "review_required", "event_id")
     return tried.where("event_id % 2 = 0"), tried.where("event_id % 2 = 1")
@@ -160,7 +170,7 @@ def review_mirror(spark, sf_dir) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     url_normalize, url_dedupe_first_wins, url_duplicates_report, url_signals, registrable_domain_variants, domain_stats_top20, http_reason_cascade,
-    trusted_policy_first_match, domain_override_longest_suffix, cache_merge_pending, two_pass_hotspots, fetch_stats, homepage_self_join, time_buckets,
+    trusted_policy_first_match, domain_override_longest_suffix, cache_merge_pending, cache_merge_all_attempts, two_pass_hotspots, fetch_stats, homepage_self_join, time_buckets,
     broken_link_reports, review_mirror,
 )}
 
@@ -193,6 +203,7 @@ SQL = {
     "domain_override_longest_suffix": f"""SELECT page_id, host, CASE WHEN host = 'ththre.example.com' OR suffix(host, '.ththre.example.com') THEN 'skip' WHEN host = 'example.com' OR suffix(host, '.example.com') THEN 'direct'
       WHEN host = 'example.org' OR suffix(host, '.example.org') THEN 'proxy' WHEN host = 'com' OR suffix(host, '.com') THEN 'slow' END AS setting FROM (SELECT page_id, {H} AS host FROM pages)""",
     "cache_merge_pending": CACHE_SQL,
+    "cache_merge_all_attempts": CACHE_ALL_SQL,
     "two_pass_hotspots": HOTSPOT_SQL,
     "fetch_stats": f"""SELECT status, reason_code, count(*) AS links, count_if(status = 'success') AS review_free, printf('%.1f%%', round(100.0 * count(*) / sum(count(*)) OVER (), 4)) AS share FROM ({REASON_SQL}) GROUP BY status, reason_code""",
     "homepage_self_join": rf"""WITH p AS (SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,

@@ -221,6 +221,14 @@ def assignment_merge_max_confidence(spark, sf_dir) -> DataFrame:
     return taxonomy.merge([first, second]).select("id", "category", F.round("confidence", 4).alias("confidence"))
 
 
+def assignment_merge_all_documents(spark, sf_dir) -> DataFrame:
+    """Both rounds over all documents; ``assignment_merge_max_confidence`` and its SQL leave out ids divisible by neither 2 nor 3."""
+    d = table(spark, sf_dir, "documents")
+    first = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("first/"), "lang").alias("category"), (0.4 + (F.col("doc_id") % 6) / 10).alias("confidence"))
+    second = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("second/"), "source").alias("category"), F.lit(0.75).alias("confidence"))
+    return taxonomy.merge([first, second]).select("id", "category", F.round("confidence", 4).alias("confidence"))
+
+
 def followup_bundles(spark, sf_dir) -> DataFrame:
     """Records that no rule settles, by first title token, kind and site; bundles of two or more."""
     decided = rules.decide(records(spark, sf_dir).withColumn("review_required", F.lit(False)), rules.best(rules.score_rules(records(spark, sf_dir), TAXONOMY)))
@@ -262,7 +270,7 @@ def incremental_foreach_batch(spark, sf_dir) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     blocking_pairs, pair_similarity, connected_components, cluster_consistency, cluster_split, cluster_merge_greedy, centroid, cluster_profile_shares, cluster_route,
     rule_suggestions, strong_category_split, representative_tokens, tree_rollup, tree_depth_limit, tree_small_leaf_merge, oversized_leaf_split, tree_quality,
-    display_conservation, tidy_bundles, taxonomy_import, assignment_merge_max_confidence, followup_bundles, export_html, page_jsonld_extract, parse_link_export,
+    display_conservation, tidy_bundles, taxonomy_import, assignment_merge_max_confidence, assignment_merge_all_documents, followup_bundles, export_html, page_jsonld_extract, parse_link_export,
     incremental_foreach_batch,
 )}
 R = "SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, source, lang FROM documents"
@@ -298,6 +306,9 @@ SQL = {
     "assignment_merge_max_confidence": """WITH a AS (SELECT doc_id AS id, 'first/' || lang AS category, 0.4::DOUBLE + (doc_id % 6) / 10.0::DOUBLE AS confidence, 0 AS o FROM documents WHERE doc_id % 3 = 0
       UNION ALL SELECT doc_id, 'second/' || source, 0.75::DOUBLE, 1 FROM documents WHERE doc_id % 2 = 0)
       SELECT id, category, round(confidence, 4) AS confidence FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence DESC, o DESC) = 1""",
+    "assignment_merge_all_documents": """WITH a AS (SELECT doc_id AS id, 'first/' || lang AS category, 0.4::DOUBLE + (doc_id % 6) / 10.0::DOUBLE AS confidence, 0 AS o FROM documents
+      UNION ALL SELECT doc_id, 'second/' || source, 0.75::DOUBLE, 1 FROM documents)
+      SELECT id, category, round(confidence, 4) AS confidence FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence DESC, o DESC) = 1""",
     "followup_bundles": f"""SELECT lower(coalesce(regexp_extract_all(title, '{TOKEN_RE}')[1], '')) AS topic, bucket, lang, count(*) AS support, min(id) AS sample
       FROM ({DECIDE_SQL.replace("coalesce(toxic = 1, false) AS review_required", "false AS review_required")}) JOIN ({R}) USING (id) WHERE category = '{lexicon.DEFAULT_CATEGORY}' GROUP BY 1, 2, 3 HAVING count(*) >= 2""",
 }

@@ -1,0 +1,17 @@
+"""Queries take in whole tables."""
+
+from linkloom import catalogue
+
+
+def test_cache_merge_reads_every_attempt(spark, tmp_path):
+    # user 1 succeeds only at an odd event_id, user 2 only at an even one, user 3 never; status goes by event_id % 7
+    events = [(7, 1), (11, 1), (14, 2), (18, 2), (21, 3), (15, 3)]
+    spark.createDataFrame([(e, u, 0) for e, u in events], "event_id long, user_id long, ts long").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(1,), (2,), (3,), (4,)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["user_id"]: (r["cached_status"], r["pending"]) for r in catalogue.queries()["cache_merge_all_attempts"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("success", False), 2: ("success", False), 3: ("broken", True), 4: (None, True)}
+
+
+def test_assignment_merge_takes_every_document(spark, sf):
+    got = [r["id"] for r in catalogue.queries()["assignment_merge_all_documents"](spark, sf).collect()]
+    assert sorted(got) == sorted(r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
