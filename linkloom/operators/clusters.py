@@ -6,9 +6,15 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions import lexicon, text
+from ..functions import lexicon, text, urls
 
 LINK, SPLIT, MERGE = 0.34, 0.50, 0.68
+#: Parts of the full score.
+WEIGHTS = {
+    "text_score": 0.35, "hint_score": 0.20, "domain_score": 0.15, "root_score": 0.10, "type_score": 0.05, "quality_score": 0.10, "time_score": 0.04,
+    "canonical_score": 0.25, "bonus": 0.20,
+}
+PLATFORM_ROOTS = ("开发工具", "开源项目", "技术博客")
 
 
 def blocking_keys(features: DataFrame) -> Column:
@@ -20,9 +26,29 @@ def blocking_keys(features: DataFrame) -> Column:
     ))
 
 
-def candidate_pairs(features: DataFrame) -> DataFrame:
+def full_blocking_keys(features: DataFrame) -> Column:
+    """All keys: primary topic, registered domain, canonical link, two site tokens, four hints, two roots with the type, six tokens.
+
+    Generic platforms have no domain key, no source-like topic and none of three roots. Features are those of ``full_similarity``.
+    """
+    c = F.col
+    tagged = lambda tag, values: F.transform(values, lambda v: F.concat(F.lit(tag + ":"), v))
+    one = lambda tag, value, where: F.when(where, F.array(F.concat(F.lit(tag + ":"), value))).otherwise(F.array().cast("array<string>"))
+    generic = urls.generic_platform(c("registered"))
+    by_weight = F.array_sort(F.transform(F.map_entries("roots"), lambda e: F.struct((-e["value"]).alias("down"), e["key"].alias("root"))))
+    roots = F.filter(F.slice(by_weight, 1, 2), lambda e: (c("confidence") >= 0.75) & (e["down"] < 0) & ~(generic & e["root"].isin(*PLATFORM_ROOTS)))
+    return F.flatten(F.array(
+        one("primary", text.label(c("topic")), (c("topic") != "") & ~(generic & text.source_like(c("topic")))),
+        one("domain", c("registered"), (c("registered") != "") & ~generic), one("canonical", c("canonical"), c("canonical") != ""),
+        tagged("site", F.slice(F.array_sort("site"), 1, 2)), tagged("hint", F.slice(F.array_sort("hints"), 1, 4)),
+        F.transform(roots, lambda e: F.concat(F.lit("root:"), e["root"], F.lit(":"), c("kind"))),
+        tagged("token", F.slice(F.array_sort(F.array_union(F.array_union("topics", "hints"), "path")), 1, 6)),
+    ))
+
+
+def candidate_pairs(features: DataFrame, keys_of=blocking_keys) -> DataFrame:
     """(a, b), a < b, of records that share a key; each pair once.  Pairs are deduplicated before features are attached."""
-    keys = features.select("id", F.explode(F.array_distinct(blocking_keys(features))).alias("key"))
+    keys = features.select("id", F.explode(F.array_distinct(keys_of(features))).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     keys = keys.join(shared, "key", "left_semi")
     left, right = keys.select("key", F.col("id").alias("a")), keys.select("key", F.col("id").alias("b"))
@@ -44,6 +70,54 @@ def similarity(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_score", "hint_score", "domain_score", "type_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(weak, raw * 0.6).otherwise(raw))) + 1e-9, 4).alias("score"))
 
 
+def full_similarity(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """Pairs with all eleven metrics and the score, as the survey's K3, K4 and A.2 have them.
+
+    Features have domain, registered, canonical, topic (the primary one), kind, confidence, the sets tokens, topics, hints, path,
+    site, domain_tokens, kinds, quality and times, and roots, a map of weights.
+    """
+    cols = [c for c in features.columns if c != "id"]
+    both = pairs.join(features.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in cols]), "a")
+    both = both.join(features.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in cols]), "b")
+    l, r = (lambda x: F.col(f"{x}_a")), (lambda x: F.col(f"{x}_b"))  # noqa: E731, E741
+    j = lambda x: text.jaccard(l(x), r(x))
+    flag = lambda where: F.when(where, 1.0).otherwise(0.0)
+    same = lambda x: (l(x) != "") & (l(x) == r(x))
+    union = lambda side, *names: F.array_distinct(F.flatten(F.array(*map(side, names))))
+    both = both.withColumns({
+        "topic_score": j("topics"), "type_score": flag(F.arrays_overlap(l("kinds"), r("kinds"))), "canonical_score": flag(same("canonical")), "time_score": j("times"),
+        "text_score": F.greatest(text.jaccard(union(l, "tokens", "topics"), union(r, "tokens", "topics")), text.jaccard(union(l, "path", "tokens", "hints"), union(r, "path", "tokens", "hints"))),
+        "hint_score": F.greatest(j("hints"), j("topics") * 0.7), "platform": same("registered") & urls.generic_platform(l("registered")),
+    })
+    domain = F.greatest(flag(same("domain")), 0.85 * flag(same("registered")), j("site") * 0.7, j("domain_tokens") * 0.4)
+    capped = F.least(domain, F.greatest(j("site") * 0.25, j("domain_tokens") * 0.15, F.col("canonical_score")))
+    keys = F.array_union(F.map_keys(l("roots")), F.map_keys(r("roots")))
+    weight = lambda side, k: F.coalesce(F.try_element_at(side("roots"), k), F.lit(0.0))
+    total = lambda pick: F.aggregate(keys, F.lit(0.0), lambda t, k: t + pick(weight(l, k), weight(r, k)))
+    shared = F.array_intersect(l("quality"), r("quality"))
+    floor = F.when(F.size(shared) == 0, 0.0).when(F.arrays_overlap(shared, F.array(F.lit("官方"), F.lit("社区"))), 0.7).otherwise(0.5)
+    bonus = (l("registered") != "") & (r("registered") != "") & (l("registered") != r("registered")) & same("topic") & (F.col("topic_score") >= 0.25)
+    both = both.withColumns({
+        "domain_score": F.when(F.col("platform"), capped).otherwise(domain), "root_score": F.when(total(F.greatest) > 0, total(F.least) / total(F.greatest)).otherwise(0.0),
+        "quality_score": F.greatest(j("quality"), floor), "bonus": flag(bonus),
+    })
+    c = F.col
+    sure = lambda least: (l("confidence") >= least) & (r("confidence") >= least)
+    plain = lambda side: (side("topic") != "") & ~side("topic").isin(lexicon.DEFAULT_CATEGORY, "其他/未分类", "其他") & ~side("topic").rlike("/(其他|未分类)$")
+    topics_part = sure(0.72) & (l("topic") != r("topic")) & plain(l) & plain(r)
+    penalties = (
+        (0.28, sure(0.8) & (F.size(F.array_intersect(F.map_keys(l("roots")), F.map_keys(r("roots")))) == 0) & (c("hint_score") < 0.15)),
+        (0.34, c("platform") & topics_part & (c("topic_score") < 0.35) & (c("hint_score") < 0.35)),
+        (0.18, same("registered") & (c("type_score") == 0) & (c("text_score") < 0.25) & (c("hint_score") < 0.15)),
+        (0.30, c("platform") & (c("canonical_score") == 0) & (c("topic_score") < 0.2) & (c("text_score") < 0.28) & (c("hint_score") < 0.25)),
+    )
+    both = both.withColumn("penalty", F.greatest(*[F.when(where, size).otherwise(0.0) for size, where in penalties]))
+    raw = sum((w * c(f"{name}") for name, w in WEIGHTS.items()), F.lit(0.0)) - c("penalty")
+    raw = F.when((c("hint_score") < 0.2) & (c("text_score") < 0.15), raw * 0.6).otherwise(raw)
+    both = both.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
+    return both.select("a", "b", "topic_score", *WEIGHTS, "penalty", "score")
+
+
 def _written(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/linkloom"

@@ -62,6 +62,62 @@ COMPONENTS_SQL = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM ({SIMILA
   reach AS (SELECT page_id AS id, page_id AS other FROM pages UNION SELECT reach.id, g.b FROM reach JOIN g ON g.a = reach.other) SELECT id, min(other) AS cluster FROM reach GROUP BY id"""
 
 
+def page_features(spark, sf_dir) -> DataFrame:
+    """Full features of pages: all words of title, h1, description and keywords; path words as hints; rules, signals and types by ``TAXONOMY`` and the word lists.
+
+    Pages carry no time, so times is empty.
+    """
+    html = F.col("html")
+    meta = lambda name: F.regexp_extract(html, rf"(?is)<meta[^>]*name=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)", 1)
+    plain = lambda c: text.clean(F.regexp_replace(c, r"(?s)<[^>]*>", " "))
+    host = urls.host(F.col("url"))
+    p = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), "url", host.alias("domain"), urls.registrable(host).alias("registered"), plain(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
+        plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("h1"), meta("description").alias("description"), meta("keywords").alias("words"),
+        plain(F.regexp_extract(html, r"(?is)<article[^>]*>(.*?)</article>", 1)).alias("body"),
+    )
+    words = lambda *parts: F.array_sort(F.array_distinct(text.keywords(F.concat_ws(" ", *parts))))
+    generic = urls.generic_platform(F.col("registered"))
+    domain_tokens = words(F.replace(F.col("domain"), F.lit("."), F.lit(" ")))
+    path = words(F.array_join(urls.path_segments(F.col("url")), " "))
+    scored = rules.score_rules(p, TAXONOMY)
+    best = rules.best(scored).select("id", F.col("category").alias("top"), "confidence")
+    roots = rules.root_support(scored).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("root", F.when(F.col("support") > 0, F.col("support")).otherwise(F.col("total"))))).alias("roots"))
+    kinds = rules.resource_type(p).select("id", F.col("resource_type").alias("kind"))
+    quality = rules.labels(p).select("id", F.filter(F.split("signals", ","), lambda s: s != "").alias("quality"))
+    f = p.select("id", "domain", "registered", urls.normalize(F.col("url")).alias("canonical"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{4,}"), 0))).alias("tokens"), path.alias("path"), path.alias("hints"), domain_tokens.alias("domain_tokens"), F.when(generic, F.array().cast("array<string>")).otherwise(domain_tokens).alias("site"))
+    open_ = rules.open_topics(p, (), 4).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda x: x["topic"]).alias("open"))
+    tops = rules.ranked(scored).where("rank <= 3").groupBy("id").agg(F.concat_ws(" ", F.array_sort(F.collect_list("category"))).alias("categories"))
+    f = f.join(open_, "id", "left").join(tops, "id", "left").join(best, "id", "left").join(roots, "id", "left").join(kinds, "id").join(quality, "id")
+    twice = F.concat(F.array_sort(F.array_intersect("tokens", "path")), F.array_sort(F.array_except(F.array_union("tokens", "path"), F.array_intersect("tokens", "path"))))
+    primary = F.coalesce(F.when(F.col("confidence") >= 0.75, F.col("top")), F.get("open", 0), F.when(F.col("confidence") >= lexicon.AUTO_CONFIDENCE, F.col("top")), F.get("hints", 0), F.col("top"), F.lit("其他/未分类"))
+    return f.select(
+        "id", "domain", "registered", "canonical", "tokens", "path", "hints", "domain_tokens", "site", "kind", F.array("kind").alias("kinds"), "quality", F.array().cast("array<string>").alias("times"),
+        F.array_distinct(F.concat("hints", F.slice(twice, 1, 4), words(F.array_join(F.coalesce("open", F.array().cast("array<string>")), " ")), words(F.when(F.col("confidence") >= 0.6, F.col("categories"))))).alias("topics"), primary.alias("topic"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("roots", F.create_map().cast("map<string,double>")).alias("roots"),
+    )
+
+
+def page_blocking_pairs(spark, sf_dir) -> DataFrame:
+    """Rows only: pairs by all keys of the survey; ``blocking_pairs`` and its SQL have some of them."""
+    return clusters.candidate_pairs(page_features(spark, sf_dir), clusters.full_blocking_keys)
+
+
+def page_similarity(spark, sf_dir) -> DataFrame:
+    """Rows only: all metrics and penalties; ``pair_similarity`` and its SQL have four of the parts."""
+    f = page_features(spark, sf_dir)
+    return clusters.full_similarity(clusters.candidate_pairs(f, clusters.full_blocking_keys), f)
+
+
+def page_components(spark, sf_dir) -> DataFrame:
+    """Rows only: components of pages by the full score."""
+    return clusters.components(page_features(spark, sf_dir), page_similarity(spark, sf_dir).where(F.col("score") >= clusters.LINK))
+
+
+def page_consistency(spark, sf_dir) -> DataFrame:
+    """Rows only: consistency of fixed clusters by full features and scores."""
+    return clusters.consistency(page_features(spark, sf_dir).withColumn("cluster", F.col("id") % 50), page_similarity(spark, sf_dir))
+
+
 def _members(spark, sf_dir) -> DataFrame:
     """Fixed clusters to measure: pages by their site's first label."""
     f = features(spark, sf_dir)
@@ -85,7 +141,7 @@ CONSISTENCY_SQL = f"""WITH m AS (SELECT *, id % 50 AS cluster FROM ({FEATURES_SQ
 
 def cluster_split(spark, sf_dir) -> DataFrame:
     """Rows only: parts of inconsistent clusters by strong links (a component search within each)."""
-    scored, members = pair_similarity(spark, sf_dir), _members(spark, sf_dir)
+    scored, members = page_similarity(spark, sf_dir), page_features(spark, sf_dir).withColumn("cluster", F.col("id") % 50)
     return clusters.split(members, scored.withColumn("score", F.col("score") * 2), clusters.consistency(members, scored))
 
 
@@ -268,7 +324,7 @@ def incremental_foreach_batch(spark, sf_dir) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    blocking_pairs, pair_similarity, connected_components, cluster_consistency, cluster_split, cluster_merge_greedy, centroid, cluster_profile_shares, cluster_route,
+    blocking_pairs, pair_similarity, connected_components, cluster_consistency, page_blocking_pairs, page_similarity, page_components, page_consistency, cluster_split, cluster_merge_greedy, centroid, cluster_profile_shares, cluster_route,
     rule_suggestions, strong_category_split, representative_tokens, tree_rollup, tree_depth_limit, tree_small_leaf_merge, oversized_leaf_split, tree_quality,
     display_conservation, tidy_bundles, taxonomy_import, assignment_merge_max_confidence, assignment_merge_all_documents, followup_bundles, export_html, page_jsonld_extract, parse_link_export,
     incremental_foreach_batch,
