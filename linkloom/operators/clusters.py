@@ -118,7 +118,8 @@ def full_similarity(pairs: DataFrame, features: DataFrame) -> DataFrame:
     return both.select("a", "b", "topic_score", *WEIGHTS, "penalty", "score")
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """The rows from a file in the shared folder, so that they are made once."""
     spark: SparkSession = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/linkloom"
     path = f"{base.rstrip('/')}/clusters-{uuid.uuid4().hex}"
@@ -132,14 +133,14 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Labels fall to the smallest neighbour's label, then to that label's label, until none falls;
     each round is written to the shared folder, so a lost executor costs one round.
     """
-    both = _written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels, total = _written(nodes.select("id", F.col("id").alias("cluster"))), None
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels, total = written(nodes.select("id", F.col("id").alias("cluster"))), None
     while (now := labels.agg(F.sum(F.col("cluster").cast("decimal(38,0)"))).first()[0]) != total:
         total = now
         heard = both.join(labels.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "cluster")
         near = labels.unionByName(heard).groupBy("id").agg(F.min("cluster").alias("cluster"))
         up = labels.select(F.col("id").alias("cluster"), F.col("cluster").alias("above"))
-        labels = _written(near.join(up, "cluster").select("id", F.least("above", "cluster").alias("cluster")))
+        labels = written(near.join(up, "cluster").select("id", F.least("above", "cluster").alias("cluster")))
     return labels
 
 

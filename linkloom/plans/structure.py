@@ -85,7 +85,7 @@ def page_features(spark, sf_dir) -> DataFrame:
     roots = rules.root_support(scored).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("root", F.when(F.col("support") > 0, F.col("support")).otherwise(F.col("total"))))).alias("roots"))
     kinds = rules.resource_type(p).select("id", F.col("resource_type").alias("kind"))
     quality = rules.labels(p).select("id", F.filter(F.split("signals", ","), lambda s: s != "").alias("quality"))
-    f = p.select("id", "domain", "registered", urls.normalize(F.col("url")).alias("canonical"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{4,}"), 0))).alias("tokens"), path.alias("path"), path.alias("hints"), domain_tokens.alias("domain_tokens"), F.when(generic, F.array().cast("array<string>")).otherwise(domain_tokens).alias("site"))
+    f = p.select("id", "domain", "registered", urls.normalize(F.col("url")).alias("canonical"), words("title", "h1", "description", "words").alias("tokens"), path.alias("path"), path.alias("hints"), domain_tokens.alias("domain_tokens"), F.when(generic, F.array().cast("array<string>")).otherwise(domain_tokens).alias("site"))
     open_ = rules.open_topics(p, (), 4).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda x: x["topic"]).alias("open"))
     tops = rules.ranked(scored).where("rank <= 3").groupBy("id").agg(F.concat_ws(" ", F.array_sort(F.collect_list("category"))).alias("categories"))
     f = f.join(open_, "id", "left").join(tops, "id", "left").join(best, "id", "left").join(roots, "id", "left").join(kinds, "id").join(quality, "id")
@@ -104,7 +104,7 @@ def page_blocking_pairs(spark, sf_dir) -> DataFrame:
 
 def page_similarity(spark, sf_dir) -> DataFrame:
     """Rows only: all metrics and penalties; ``pair_similarity`` and its SQL have four of the parts."""
-    f = page_features(spark, sf_dir)
+    f = clusters.written(page_features(spark, sf_dir))
     return clusters.full_similarity(clusters.candidate_pairs(f, clusters.full_blocking_keys), f)
 
 
@@ -141,7 +141,7 @@ CONSISTENCY_SQL = f"""WITH m AS (SELECT *, id % 50 AS cluster FROM ({FEATURES_SQ
 
 def cluster_split(spark, sf_dir) -> DataFrame:
     """Rows only: parts of inconsistent clusters by strong links (a component search within each)."""
-    scored, members = page_similarity(spark, sf_dir), page_features(spark, sf_dir).withColumn("cluster", F.col("id") % 50)
+    scored, members = clusters.written(page_similarity(spark, sf_dir)), clusters.written(page_features(spark, sf_dir).select("id", "topic", "kind", "domain", (F.col("id") % 50).alias("cluster")))
     return clusters.split(members, scored.withColumn("score", F.col("score") * 2), clusters.consistency(members, scored))
 
 

@@ -15,3 +15,12 @@ def test_cache_merge_reads_every_attempt(spark, tmp_path):
 def test_assignment_merge_takes_every_document(spark, sf):
     got = [r["id"] for r in catalogue.queries()["assignment_merge_all_documents"](spark, sf).collect()]
     assert sorted(got) == sorted(r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+
+
+def test_page_tokens_are_all_words(spark, tmp_path):
+    from linkloom.plans import structure
+
+    html = '<title>Öl und C3 图书 go</title><meta name="description" content="naïve Gärten"><meta name="keywords" content="k8s"><h1>Zoë xy</h1><article>q</article>'
+    spark.createDataFrame([(1, "http://a.example.org/p", html), (2, "http://b.example.net/", "<title></title>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["id"]: set(r["tokens"]) for r in structure.page_features(spark, str(tmp_path)).collect()}
+    assert {"öl", "c3", "图书", "go", "naïve", "gärten", "k8s", "zoë", "xy"} <= got[1] and got[2] <= {""}
