@@ -142,13 +142,13 @@ CONSISTENCY_SQL = f"""WITH m AS (SELECT *, id % 50 AS cluster FROM ({FEATURES_SQ
 def cluster_split(spark, sf_dir) -> DataFrame:
     """Rows only: parts of inconsistent clusters by strong links (a component search within each)."""
     scored, members = clusters.written(page_similarity(spark, sf_dir)), clusters.written(page_features(spark, sf_dir).select("id", "topic", "kind", "domain", (F.col("id") % 50).alias("cluster")))
-    return clusters.split(members, scored.withColumn("score", F.col("score") * 2), clusters.consistency(members, scored))
+    return clusters.split(members, scored, clusters.consistency(members, scored))
 
 
 def cluster_merge_greedy(spark, sf_dir) -> DataFrame:
     """Rows only: brands merged while their centroids of part names are similar; the clusters are few, the records are not collected."""
     rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("tokens")).orderBy("p_brand").collect()
-    merged = clusters.merge_greedy([(n, r["tokens"]) for n, r in enumerate(rows)], 0.9)
+    merged = clusters.merge_greedy([(n, r["tokens"]) for n, r in enumerate(rows)])
     return spark.createDataFrame([(r["p_brand"], rows[merged[n]]["p_brand"]) for n, r in enumerate(rows)], "p_brand string, merged_into string")
 
 

@@ -1,0 +1,48 @@
+"""Splitting and merging of clusters against plain loops."""
+
+from collections import defaultdict
+
+from linkloom import catalogue
+from linkloom.operators import clusters
+from linkloom.plans import structure
+
+
+def test_split_by_unscaled_links(spark, monkeypatch):
+    # links of 0.3 are weak and links of 0.6 strong; doubled, both would count
+    pages = [(n, f"t{n}", f"k{n}", f"d{n}") for n in (0, 50, 100, 150, 200)]
+    links = [(0, 50, 0.6), (50, 100, 0.3), (100, 150, 0.6), (150, 200, 0.49)]
+    members = spark.createDataFrame(pages, "id long, topic string, kind string, domain string")
+    scored = spark.createDataFrame([(a, b, s, s) for a, b, s in links], "a long, b long, text_score double, score double")
+    monkeypatch.setattr(structure, "page_features", lambda *_: members)
+    monkeypatch.setattr(structure, "page_similarity", lambda *_: scored)
+    got = {r["id"]: r["cluster"] for r in structure.cluster_split(spark, "").collect()}
+    part = {n: n for n, *_ in pages}
+    for _ in part:
+        for a, b, s in links:
+            if s >= clusters.SPLIT:
+                part[a] = part[b] = min(part[a], part[b])
+    assert got == part == {0: 0, 50: 0, 100: 100, 150: 100, 200: 200}
+
+
+def merged(sets):
+    """Brute force: the most similar pair first, the earliest of equals, at 0.68 or more."""
+    live = [([n], set(s)) for n, s in enumerate(sets)]
+    while True:
+        pairs = [(-len(x[1] & y[1]) / len(x[1] | y[1]), i, j) for i, x in enumerate(live) for j, y in enumerate(live) if i < j]
+        if not pairs or -min(pairs)[0] < 0.68:
+            return {n: names[0] for names, _ in live for n in names}
+        _, i, j = min(pairs)
+        live[i] = (live[i][0] + live[j][0], live[i][1] | live[j][1])
+        del live[j]
+
+
+def test_merge_at_the_operators_floor(spark, tmp_path):
+    brands = {"B1": "abcd", "B2": "abce", "B3": "abcde", "B4": "xyz", "B5": "wxyz", "B6": "q", "B7": "mnop", "B8": "mnopr"}
+    spark.createDataFrame([(b, n) for b, names in brands.items() for n in names], "p_brand string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    names, groups = sorted(brands), defaultdict(set)
+    for r in catalogue.queries()["cluster_merge_greedy"](spark, str(tmp_path)).collect():
+        groups[r["merged_into"]].add(r["p_brand"])
+    want = defaultdict(set)
+    for n, first in merged([brands[b] for b in names]).items():
+        want[names[first]].add(names[n])
+    assert groups == want and len(want) < len(brands)
