@@ -15,11 +15,12 @@ operations.  Files are Parquet with one row for each segment; ``lengths`` are in
 manifest beside them.
 
 Counting and placing: documents are tokenized once, into segments of documents sorted within ranges
-of doc_id.  Only range bounds (as many as there are ranges), the counts of the vocabulary's ids and
-the segments' sizes reach the driver.
+of doc_id; each task adds one row with the counts of its ids.  Only range bounds (as many as there are
+ranges), the counts of the vocabulary's ids and the parts' sizes reach the driver.  Ids travel as
+plain bytes, low bytes before high ones: the shuffle and Parquet compress them.
 
-Defined results: null text is empty and is its end id alone; a null doc_id sorts first; rows of equal
-doc_id follow in the order of their texts' ids; an empty table gives an empty file set;
+Defined results: null text is empty and is its end id alone; a null doc_id sorts first, such rows in ranges of their
+texts' crc32; rows of equal doc_id follow in the order of their texts' ids; an empty table gives an empty file set;
 other columns are ignored.
 """
 
@@ -100,22 +101,29 @@ def decode_table(lengths: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
 
 def encode_ids(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> tuple[bytes, bytes]:
     """(bits, checkpoints) of ids."""
-    size = lengths[ids].astype(np.int64)
+    if not len(ids):
+        return b"", b""
+    if block % 2:
+        raise ValueError("a block holds an even number of ids")
+    # two codes of at most 16 bits each as one, which halves the work below
+    table = (codes.astype(np.uint32) << np.uint32(5)) | lengths
+    both = table[ids if len(ids) % 2 == 0 else np.append(ids, ids[:1])]
+    size, code = both & np.uint32(31), both >> np.uint32(5)
+    if len(ids) % 2:
+        size[-1] = code[-1] = 0
+    code = (code[::2].astype(np.uint64) << size[1::2].astype(np.uint64)) | code[1::2]
+    size = (size[::2] + size[1::2]).astype(np.int64)
     ends = np.cumsum(size)
     starts = ends - size
-    total = int(ends[-1]) if len(ids) else 0
-    # a code of at most 16 bits touches two 32-bit words; bits of a word never overlap, so sums are ors
-    shift = 64 - (starts & 31) - size
-    wide = codes[ids].astype(np.uint64) << shift.astype(np.uint64)
+    total = int(ends[-1])
+    # at most 32 bits touch two 32-bit words; bits of a word never overlap, so sums are ors
+    wide = code << (64 - (starts & 31) - size).astype(np.uint64)
     words = np.zeros(total // 32 + 3, np.uint64)
     at = starts >> 5
     first = np.flatnonzero(np.diff(at, prepend=-1))
-    if len(ids):
-        high = np.add.reduceat(wide >> np.uint64(32), first)
-        low = np.add.reduceat(wide & np.uint64(0xFFFFFFFF), first)
-        words[at[first]] += high
-        words[at[first] + 1] += low
-    return words.astype(">u4").tobytes()[: (total + 7) // 8], starts[::block].astype("<u4").tobytes()
+    words[at[first]] += np.add.reduceat(wide >> np.uint64(32), first)
+    words[at[first] + 1] += np.add.reduceat(wide & np.uint64(0xFFFFFFFF), first)
+    return words.astype(">u4").tobytes()[: (total + 7) // 8], starts[:: block // 2].astype("<u4").tobytes()
 
 
 def decode_ids(bits: bytes, checkpoints: bytes, count: int, table: np.ndarray, limit: int = MAX_BITS, block: int = BLOCK) -> np.ndarray:
@@ -139,48 +147,58 @@ def decode_ids(bits: bytes, checkpoints: bytes, count: int, table: np.ndarray, l
 # ---- tokenized segments -------------------------------------------------------------------------
 
 _TOKENIZED = "part int, doc_id long, n_tokens long, ids binary"
-_SEGMENT = "part int, n int, n_ids long, own long, n_docs long, doc_ids binary, doc_ends binary, ids binary"
+_SEGMENT = "part int, n int, n_ids long, own long, n_docs long, doc_ids binary, doc_ends binary, ids binary, used array<int>, counts array<long>"
 _FILE = "part int, n int, n_ids long, first long, doc_ids binary, doc_ends binary, bits binary, checkpoints binary"
+#: Number of the row that carries a task's counts instead of a segment.
+_COUNTS = -1
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """zstd of the low bytes, then the high bytes."""
-    import zstandard
+def _names(fields: str) -> list[str]:
+    return [field.split()[0] for field in fields.split(", ")]
+
 
-    return zstandard.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 2).T).tobytes(), 3)
+def _planes(ids: np.ndarray) -> bytes:
+    """The low bytes, then the high bytes: two smooth runs compress better than pairs."""
+    return np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 2).T).tobytes()
 
 
 def _unplanes(raw: bytes) -> np.ndarray:
-    import zstandard
-
-    data = np.frombuffer(zstandard.decompress(raw), np.uint8)
-    return np.ascontiguousarray(data.reshape(2, -1).T).reshape(-1).view(np.uint16)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(2, -1).T).reshape(-1).view(np.uint16)
 
 
-def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bounds: list[int]) -> Iterator[pa.RecordBatch]:
+def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int, bounds: list[int], null_parts: int) -> Iterator[pa.RecordBatch]:
     from .chunked_tokens import encoder
 
     common.take_over("huffman")
 
     end, edges = end_id.to_bytes(2, "little"), np.array(bounds, np.int64)
     for given in batches:
-        for low in range(0, given.num_rows, 512):
-            part = given.slice(low, 512)
+        for low in range(0, given.num_rows, 2048):
+            part = given.slice(low, 2048)
+            known = part.column(0).is_valid().to_numpy(zero_copy_only=False)
             doc_ids = part.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            raw = [ids + end for ids in encoder(path, "<u2").encode(part.column(1).to_pylist())]
-            packed = [_planes(np.frombuffer(r, np.uint16)) for r in raw]
-            where = np.searchsorted(edges, doc_ids, side="right").astype(np.int32)
-            yield pa.record_batch([pa.array(where), pa.array(doc_ids), pa.array([len(r) // 2 for r in raw], pa.int64()), pa.array(packed, pa.binary())], names=["part", "doc_id", "n_tokens", "ids"])
+            texts = part.column(1)
+            raw = [ids + end for ids in encoder(path, "<u2").encode(texts)]
+            where = (null_parts + np.searchsorted(edges, doc_ids, side="right")).astype(np.int32)
+            for n in np.flatnonzero(~known):
+                where[n] = zlib.crc32(texts[n].as_py().encode()) % null_parts
+            yield pa.record_batch([pa.array(where), pa.array(doc_ids), pa.array([len(r) // 2 for r in raw], pa.int64()), pa.array(raw, pa.binary())], names=_names(_TOKENIZED))
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted documents of parts to segments."""
+def _segments(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Sorted documents of parts to segments, and the counts of all their ids."""
+    common.take_over("huffman files")
     part, n, own, docs, ends, ids, total = None, 0, 0, [], [], [], 0
-    fields = [x.split()[0] for x in _SEGMENT.split(", ")]
+    counts = np.zeros(size, np.int64)
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+
+    def row(*cells) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([cell], kind) for cell, kind in zip(cells, kinds)], names=_names(_SEGMENT))
 
     def flush() -> pa.RecordBatch:
-        whole = np.concatenate(ids)
-        return pa.record_batch([pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([len(whole)], pa.int64()), pa.array([own], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([np.array(docs, "<i8").tobytes()], pa.binary()), pa.array([np.cumsum(np.array(ends, "<i8")).astype("<i8").tobytes()], pa.binary()), pa.array([_planes(whole)], pa.binary())], names=fields)
+        whole = np.frombuffer(b"".join(ids), np.uint16)
+        counts[:] += np.bincount(whole, minlength=size)
+        return row(part, n, len(whole), own, len(docs), np.array(docs, "<i8").tobytes(), np.cumsum(np.array(ends, "<i8")).astype("<i8").tobytes(), _planes(whole), None, None)
 
     for batch in batches:
         for p, doc_id, tokens, raw in zip(*(c.to_pylist() for c in batch.columns)):
@@ -191,31 +209,26 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = p
             docs.append(doc_id)
             ends.append(tokens)
-            ids.append(_unplanes(raw))
+            ids.append(raw)
             total += tokens
     if docs:
         yield flush()
-
-
-def _histogram(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(size, np.int64)
-    for batch in batches:
-        for raw in batch.column(0):
-            counts += np.bincount(_unplanes(raw.as_py()), minlength=size)
-    used = np.flatnonzero(counts)
-    yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["id", "count"])
+        used = np.flatnonzero(counts)
+        yield row(part, _COUNTS, 0, 0, 0, None, None, None, used.astype(np.int32), counts[used])
 
 
 def _encode(batches: Iterator[pa.RecordBatch], lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
+    common.take_over("huffman files")
     codes = canonical_codes(lengths)
     for batch in batches:
         for part, n, n_ids, first, doc_ids, doc_ends, raw in zip(*(c.to_pylist() for c in batch.columns)):
             bits, marks = encode_ids(_unplanes(raw), codes, lengths)
             cells = ((part, pa.int32()), (n, pa.int32()), (n_ids, pa.int64()), (first, pa.int64()), (doc_ids, pa.binary()), (doc_ends, pa.binary()), (bits, pa.binary()), (marks, pa.binary()))
-            yield pa.record_batch([pa.array([v], kind) for v, kind in cells], names=[x.split()[0] for x in _FILE.split(", ")])
+            yield pa.record_batch([pa.array([v], kind) for v, kind in cells], names=_names(_FILE))
 
 
 def _decode(batches: Iterator[pa.RecordBatch], lengths: np.ndarray, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    common.take_over("huffman files")
     table = decode_table(lengths)
     for batch in batches:
         for n_ids, first, doc_ids, doc_ends, bits, marks in zip(*(c.to_pylist() for c in batch.columns)):
@@ -233,32 +246,31 @@ def write(docs: DataFrame, tokenizer_path: str, target: str, *, end_id: int = EN
     spark = docs.sparkSession
     common.ship(spark)
     rows = common.id_text(docs)
-    n = rows.count()
-    parts = max(1, min(100_000, n // documents_per_part))
-    bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts)}) if parts > 1 else []
+    n, known = rows.agg(F.count("*"), F.count("doc_id")).first()
+    null_parts = -(-(n - known) // documents_per_part)
+    parts = max(1, min(100_000, known // documents_per_part))
+    bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
 
     def tokenize(batches):
         from linkloom.llm.huffman import _tokenize
 
-        return _tokenize(batches, tokenizer_path, end_id, bounds)
+        return _tokenize(batches, tokenizer_path, end_id, bounds, null_parts)
 
     def segment(batches):
         from linkloom.llm.huffman import _segments
 
-        return _segments(batches)
+        return _segments(batches, 1 << 16)
 
     tokenized = rows.mapInArrow(tokenize, _TOKENIZED)
-    placed = tokenized.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
-    segments = common.persist_table(placed.mapInArrow(segment, _SEGMENT))
-
-    def histogram(batches):
-        from linkloom.llm.huffman import _histogram
-
-        return _histogram(batches, 1 << 16)
+    placed = tokenized.repartitionById(null_parts + len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "ids")
+    written = common.persist_table(placed.mapInArrow(segment, _SEGMENT))
+    segments = written.where(F.col("n") != _COUNTS)
 
+    # one row for each task and id, combined before the shuffle; at most 65,536 on the driver
+    counted = written.where(F.col("n") == _COUNTS).select(F.explode(F.arrays_zip("used", "counts")).alias("c")).groupBy("c.used").agg(F.sum("c.counts").alias("n"))
     counts = np.zeros(1 << 16, np.int64)
-    for row in segments.select("ids").mapInArrow(histogram, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).toLocalIterator():
-        counts[row["id"]] = row["count"]
+    for row in counted.toLocalIterator():
+        counts[row["used"]] = row["n"]
     lengths = code_lengths(counts)
     # ids before each part: one row for each part on the driver; within a part a running sum
     before, so_far = [], 0
