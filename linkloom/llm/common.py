@@ -19,9 +19,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a local default only where the session names none (tests)."""
+    """A fresh folder under ``spark.checkpoint.dir``; a local default only in local mode (tests), an error on a cluster that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "/tmp/checkpoints/linkloom"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/linkloom-{uuid.uuid4().hex}"
@@ -59,14 +61,17 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Whole rows of the documents whose id is among (doc_id), one for each id; rows without an id stay as they are.
-
-    One shuffle of the rows: those of an id meet where the join put them.
-    """
-    wanted = ids.select(F.col("doc_id").alias("__wanted")).where("__wanted is not null").distinct()
-    known = docs.join(wanted, docs["doc_id"] == wanted["__wanted"], "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where(docs["doc_id"].isNull()))
+def unused(docs: DataFrame, *wanted: str) -> list[str]:
+    """Names for further columns that clash with none of the documents', whatever case they are told apart by."""
+    taken = {c.lower() for c in docs.columns}
+    names = []
+    for name in wanted:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        names.append(name)
+        taken.add(name.lower())
+    return names
 
 
 def crc_mod(id_col, modulus: int):

@@ -8,7 +8,7 @@ from . import common
 
 #: Labelled rows that a classifier is fitted on, at most; counts and scores cover all rows.
 SAMPLE_ROWS = 6000
-#: Characters of sampled texts that reach the driver, at most; longest texts go first.
+#: Characters of sampled texts that reach the driver, at most; the longest texts of the sample are left out.
 SAMPLE_CHARS = 40_000_000
 FOLDS = 5
 HELD_OUT = 0
@@ -29,12 +29,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
     ids = docs.select(docs["doc_id"].cast("long").alias("k")).where("k is not null").distinct()
     chosen = marks.join(ids, "k").orderBy(F.xxhash64("k"), "k").limit(rows)
     found = common.id_text(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("k"))
-    found = found.groupBy("k").agg(F.min("text").alias("text"), F.max("y").alias("y"))
-    got = sorted(found.select("k", "text", "y").toLocalIterator(), key=lambda r: r["k"])
-    total = sum(len(r["text"]) for r in got)
-    for r in sorted(got, key=lambda r: (-len(r["text"]), r["k"])):
-        if total <= SAMPLE_CHARS:
+    found = common.persist_table(found.groupBy("k").agg(F.min("text").alias("text"), F.max("y").alias("y")))
+    # lengths alone decide what the driver gets, shortest texts first
+    kept, total = [], 0
+    for r in sorted(found.select("k", F.length("text").alias("n")).collect(), key=lambda r: (r["n"], r["k"])):  # at most ``rows`` pairs
+        total += r["n"]
+        if total > SAMPLE_CHARS:
             break
-        total -= len(r["text"])
-        got.remove(r)
+        kept.append(r["k"])
+    got = sorted(found.where(F.col("k").isin(kept)).select("k", "text", "y").toLocalIterator(), key=lambda r: r["k"])
     return [r["text"] for r in got], [r["y"] for r in got]

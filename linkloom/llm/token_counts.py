@@ -12,7 +12,9 @@ delete or a revision need only name the document.  A batch turns into deltas
 written with the new ledger rows in a folder named after the batch.  Totals are the
 sum of all committed deltas, so they are additive and order-free.  A batch is committed by
 the last file it writes; a batch id that is already committed is skipped, an uncommitted folder is
-overwritten, so a batch that is replayed or broken off counts once.
+overwritten, so a batch that is replayed or broken off counts once.  Every ``COMPACT_EVERY`` batches the ledger and the deltas
+are summed up in a snapshot; a commit reads the last snapshot and the batches since, not the whole history.
+A document's counts are the numbers of ids that public vocabularies give its whole text, one version for each.
 
 Defined results: null source or language is a group of its own; a null count is 0; a null doc_id is a
 document like others; of several rows for a (doc_id, tokenizer_version) in a batch the largest ``seq`` counts
@@ -23,6 +25,9 @@ empty batches commit and change nothing; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common
@@ -31,23 +36,37 @@ KEY = ["doc_id", "tokenizer_version"]
 GROUP = ["source", "lang", "tokenizer_version"]
 _LEDGER = "doc_id long, tokenizer_version string, source string, lang string, n_tokens long, alive boolean, batch long"
 _DELTA = "source string, lang string, tokenizer_version string, d_docs long, d_tokens long, batch long"
-#: Token patterns as versions of a tokenizer; counts are the number of matches.
-VERSIONS = {
-    "words-1": r"[^\x20\x09-\x0D]+",
-    "pieces-1": r"[A-Za-z]+|[0-9]|[^A-Za-z0-9\x20\x09-\x0D]+",
-}
+#: Batches between snapshots.
+COMPACT_EVERY = 16
+#: Chunks that a worker remembers for each vocabulary.
+CACHED_CHUNKS = 400_000
+_CHANGE = "doc_id long, source string, lang string, tokenizer_version string, n_tokens long, op string, seq long"
+
 
+def _counts(batches: Iterator[pa.RecordBatch], versions: dict[str, str], op: str, seq: int) -> Iterator[pa.RecordBatch]:
+    from .chunked_tokens import encoder
 
-def pattern_tokens(text, pattern: str):
-    """The number of matches of ``pattern`` in a text (null: 0)."""
-    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(pattern)).cast("long")
+    common.take_over("token_counts")
+    for given in batches:
+        for low in range(0, given.num_rows, 4096):
+            part = given.slice(low, 4096)
+            for version, path in versions.items():
+                counts = encoder(path, "<u4", CACHED_CHUNKS).count(part.column(3))
+                n = part.num_rows
+                yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array([version] * n), pa.array(counts, pa.int64()), pa.array([op] * n), pa.array([seq] * n, pa.int64())], names=[x.split()[0] for x in _CHANGE.split(", ")])
 
 
 def counted(docs: DataFrame, versions: dict[str, str], op: str = "insert", seq: int = 0) -> DataFrame:
-    """One change for each document and version, from one read of the texts."""
-    counts = F.array(*[F.struct(F.lit(v).alias("tokenizer_version"), pattern_tokens(docs["text"], p).alias("n_tokens")) for v, p in versions.items()])
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), docs["lang"].cast("string").alias("lang"), F.explode(counts).alias("c"))
-    return rows.select("doc_id", "source", "lang", "c.tokenizer_version", "c.n_tokens", F.lit(op).alias("op"), F.lit(seq).cast("long").alias("seq"))
+    """One change for each document and version (name: path of a tokenizers file), from one read of the texts (null: empty)."""
+    common.ship(docs.sparkSession)
+
+    def run(batches):
+        from linkloom.llm.token_counts import _counts
+
+        return _counts(batches, versions, op, seq)
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), docs["lang"].cast("string").alias("lang"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, _CHANGE)
 
 
 class TokenRollup:
@@ -60,16 +79,34 @@ class TokenRollup:
         jvm, path = self.spark._jvm, self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def committed(self) -> list[int]:
-        """Ids of the committed batches, ascending."""
+    def _marks(self, kind: str) -> list[int]:
         jvm, fs = self._fs()
-        marks = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        marks = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
         return sorted(int(s.getPath().getName()) for s in fs.listStatus(marks)) if fs.exists(marks) else []
 
+    def _mark(self, kind: str, batch: int) -> None:
+        jvm, fs = self._fs()
+        fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{batch}"), True).close()
+
+    def committed(self) -> list[int]:
+        """Ids of the committed batches, ascending."""
+        return self._marks("commits")
+
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{kind}/batch-{n}" for n in self.committed()]
+        done, last = self.committed(), self._marks("snapshots")[-1:]
+        paths = [f"{self.path}/{kind}/snapshot-{n}" for n in last] + [f"{self.path}/{kind}/batch-{n}" for n in done if not last or n > last[0]]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def compact(self) -> None:
+        """Sum up what is committed in a snapshot; one that was broken off is written again, and read only when it is marked."""
+        done = self.committed()
+        if done and done[-1] not in self._marks("snapshots"):
+            n = done[-1]
+            self.ledger().withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{self.path}/ledger/snapshot-{n}")
+            sums = self.totals().select(*GROUP, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens"), F.lit(n).cast("long").alias("batch"))
+            sums.write.mode("overwrite").parquet(f"{self.path}/deltas/snapshot-{n}")
+            self._mark("snapshots", n)
+
     def ledger(self) -> DataFrame:
         """The latest row of each document and version; deleted ones have alive = false."""
         rows = self._read("ledger", _LEDGER)
@@ -114,6 +151,7 @@ class TokenRollup:
         deltas = rows.select("tokenizer_version", F.explode(parts).alias("d")).where("d is not null").select("d.source", "d.lang", "tokenizer_version", "d.d_docs", "d.d_tokens")
         deltas = deltas.groupBy(*GROUP).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens")).withColumn("batch", F.lit(batch).cast("long"))
         deltas.write.mode("overwrite").parquet(f"{self.path}/deltas/batch-{batch}")
-        jvm, fs = self._fs()
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits/{batch}"), True).close()
+        self._mark("commits", batch)
+        if len(done) % COMPACT_EVERY == COMPACT_EVERY - 1:
+            self.compact()
         return True

@@ -11,7 +11,7 @@ distinct words, and words seen before come from a bounded dictionary in the work
 
 Defined results: null and empty texts have no features and get the score of the bias alone;
 with no labelled rows, or rows of one class only, every text scores the smoothed share of
-that class; repeated rows repeat; labels, source and language are never inputs of a score.
+class 1, a third if nothing is labelled, so that a filter keeps texts of which nothing is known; repeated rows repeat; labels, source and language are never inputs of a score.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ class Model:
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels, np.float64)
-    share = (y.sum() + 0.5) / (len(y) + 1.0)
+    share = (y.sum() + 0.5) / (len(y) + 1.5)
     prior = math.log(share / (1 - share))
     if not 0 < y.sum() < len(y):
         return Model(prior, {})
@@ -106,34 +106,53 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     p = minimize(loss, np.concatenate([[prior], np.zeros(len(kept))]), steps=30)
     weights = p[1:] * ratio
     names = np.array(list(gram_ids), object)[kept]
-    worth = np.flatnonzero(np.abs(weights) > 1e-5)
+    worth = np.flatnonzero(weights)
     return Model(float(p[0]), dict(zip(names[worth].tolist(), weights[worth].tolist())))
 
 
 _cache: dict = {}
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def scores(texts, model: Model) -> np.ndarray:
+    """Scores of texts; words' scores come from the worker's dictionary."""
     global _cache
     common.take_over("toxicity")
-    model = model.value
     if _cache.get("model") is not model:
         _cache = {"model": model, "words": {}}
     known, word = _cache["words"], model.word
+    z = np.empty(len(texts))
+    for n, text in enumerate(texts):
+        words = words_of(text.as_py())
+        found = list(map(known.get, words))
+        if None in found:
+            if len(known) > CACHED_WORDS:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = word(w)
+            found = [known[w] for w in words]
+        z[n] = math.fsum(found)  # exact, so that equal texts get equal scores in any set order
+    return sigmoid(z + model.bias)
+
+
+def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        z = np.empty(batch.num_rows)
-        for n, text in enumerate(batch.column(1)):
-            words = words_of(text.as_py())
-            found = list(map(known.get, words))
-            if None in found:
-                if len(known) > CACHED_WORDS:
-                    known.clear()
-                for w in words:
-                    if w not in known:
-                        known[w] = word(w)
-                found = [known[w] for w in words]
-            z[n] = math.fsum(found)  # exact, so that equal texts get equal scores in any set order
-        yield pa.record_batch([batch.column(0), pa.array(sigmoid(z + model.bias))], names=["doc_id", "score"])
+        yield pa.record_batch([batch.column(0), pa.array(scores(batch.column(1), model.value))], names=["doc_id", "score"])
+
+
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, all their columns, whose text scores below ``THRESHOLD``; nothing is shuffled."""
+    spark = docs.sparkSession
+    common.ship(spark)
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(texts: pa.Array) -> pa.Array:
+        from linkloom.llm import toxicity
+
+        return pa.array(toxicity.scores(texts, sent.value), pa.float64())
+
+    score = F.arrow_udf(run, "double")(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.where(score < THRESHOLD)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
