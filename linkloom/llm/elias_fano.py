@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
+#: Quantised values of a trie.
+LEVELS = 65_535
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -89,13 +91,15 @@ class EliasFano:
         top = self._select(index.astype(np.int64), False) - index
         return (top.astype(np.uint64) << _U(self.width)) | _field(self.low, index, self.width)
 
-    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position of the first entry not below each value, whether it equals the value)."""
+    def find(self, values: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(position of the first entry not below each value, whether it equals the value), among entries from ``low`` to ``high`` if given."""
         values = values.astype(np.uint64)
         top, rest = (values >> _U(self.width)).astype(np.int64), values & _U((1 << self.width) - 1)
         # entries of the bucket `top` lie between its zero and the zero before
         at = np.where(top > 0, self._select(np.maximum(top - 1, 0), True) - np.maximum(top - 1, 0), 0)
         end = self._select(top, True) - top
+        if low is not None:
+            at, end = np.maximum(at, low), np.minimum(end, high)
         equal = np.zeros(len(values), bool)
         todo = np.flatnonzero(at < end)
         while len(todo):
@@ -110,74 +114,120 @@ class EliasFano:
 class NgramTrie:
     """Words, and under each word the contexts it was seen after, with a quantised value for each.
 
-    Suffix order: the first level is the predicted word, the second its context.  The second
-    level holds context numbers relative to the word (word number times the number of contexts is
-    added, which makes the level one rising sequence); ``pointers`` gives each word's range.
+    Suffix order: the first level is the predicted word, the second its context.  ``pointers``, one monotone sequence,
+    gives each word's range of the second level.  A range holds its contexts' numbers, raised by the last
+    entry of the range before it and one, so that the whole level rises.  A search therefore starts with the word's
+    two pointers: the entry before the range is what its numbers are relative to, and the
+    successor is looked for inside the range only.  ``counts`` are the words' own counts.
     """
 
-    def __init__(self, words: EliasFano, contexts: EliasFano, pairs: EliasFano, pointers: EliasFano, codes: np.ndarray, scale: np.ndarray):
-        self.words, self.contexts, self.pairs, self.pointers, self.codes, self.scale = words, contexts, pairs, pointers, codes, scale
+    def __init__(self, words: EliasFano, contexts: EliasFano, pairs: EliasFano, pointers: EliasFano, codes: np.ndarray, counts: np.ndarray, scale: np.ndarray):
+        self.words, self.contexts, self.pairs, self.pointers, self.codes, self.counts, self.scale = words, contexts, pairs, pointers, codes, counts, scale
 
     @classmethod
-    def build(cls, word: np.ndarray, context: np.ndarray, value: np.ndarray) -> NgramTrie:
-        """From distinct (word, context) hashes, sorted by both, with a value each."""
+    def build(cls, word: np.ndarray, context: np.ndarray, value: np.ndarray, counts: np.ndarray | None = None) -> NgramTrie:
+        """From distinct (word, context) hashes, sorted by both, with a value each, and a count for each distinct word."""
         start = np.flatnonzero(np.diff(word, prepend=word[:1] ^ _U(1)) != 0) if len(word) else np.zeros(0, np.int64)
         words = word[start]
-        number = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(word))))
+        edges = np.append(start, len(word))
         contexts, place = np.unique(context, return_inverse=True)
-        count = max(len(contexts), 1)
+        last = place[edges[1:] - 1] + 1 if len(start) else np.zeros(0, np.int64)
+        base = np.cumsum(last) - last
+        raised = (np.repeat(base, np.diff(edges)) + place).astype(np.uint64)
         low, high = (float(value.min()), float(value.max())) if len(value) else (0.0, 0.0)
-        step = (high - low) / 65535 or 1.0
+        step = (high - low) / (LEVELS - 1) or 1.0
         codes = np.round((value - low) / step).astype(np.uint16)
         return cls(
-            EliasFano.build(words, 1 << 64), EliasFano.build(contexts, 1 << 64),
-            EliasFano.build(number.astype(np.uint64) * _U(count) + place.astype(np.uint64), max(len(words), 1) * count),
-            EliasFano.build(np.append(start, len(word)).astype(np.uint64), len(word) + 1), codes, np.array([low, step]),
+            EliasFano.build(words, 1 << 64), EliasFano.build(contexts, 1 << 64), EliasFano.build(raised, int(last.sum()) + 1),
+            EliasFano.build(edges.astype(np.uint64), len(word) + 1), codes, np.zeros(len(words), np.uint64) if counts is None else counts.astype(np.uint64), np.array([low, step]),
         )
 
-    def lookup(self, word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(value, found) of each (word, context)."""
-        value, found = np.zeros(len(word)), np.zeros(len(word), bool)
+    def _ranges(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first entry, entry after the last, what numbers are relative to) of words by number."""
+        low, high = self.pointers.get(number).astype(np.int64), self.pointers.get(number + 1).astype(np.int64)
+        base = np.zeros(len(number), np.int64)
+        inner = np.flatnonzero(low > 0)
+        base[inner] = self.pairs.get(low[inner] - 1).astype(np.int64) + 1
+        return low, high, base
+
+    def codes_of(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """The quantised value of each (word, context) plus one; 0 where the trie lacks it."""
+        out = np.zeros(len(word), np.int64)
         if not self.words.size:
-            return value, found
+            return out
         number, known = self.words.find(word)
         place, seen = self.contexts.find(context)
         ask = np.flatnonzero(known & seen)
-        at, equal = self.pairs.find(number[ask].astype(np.uint64) * _U(max(self.contexts.size, 1)) + place[ask].astype(np.uint64))
-        ask, at = ask[equal], at[equal]
-        found[ask] = True
-        value[ask] = self.scale[0] + self.codes[at] * self.scale[1]
-        return value, found
+        distinct, of = np.unique(number[ask], return_inverse=True)
+        low, high, base = self._ranges(distinct)
+        wanted = place[ask] + base[of]
+        inside = wanted <= self.pairs.get(high - 1).astype(np.int64)[of] if len(ask) else np.zeros(0, bool)
+        ask, of, wanted = ask[inside], of[inside], wanted[inside]
+        at, equal = self.pairs.find(wanted, low[of], high[of])
+        out[ask[equal]] = self.codes[at[equal]].astype(np.int64) + 1
+        return out
+
+    def values(self, codes: np.ndarray) -> np.ndarray:
+        """Values of codes from ``codes_of`` that aren't 0."""
+        return self.scale[0] + (codes - 1) * self.scale[1]
+
+    def lookup(self, word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value, found) of each (word, context)."""
+        codes = self.codes_of(word, context)
+        return np.where(codes > 0, self.values(codes), 0.0), codes > 0
+
+    def counts_of(self, word: np.ndarray) -> np.ndarray:
+        """The count of each word, 0 of unknown ones."""
+        if not self.words.size:
+            return np.zeros(len(word), np.int64)
+        number, known = self.words.find(word)
+        return np.where(known, self.counts[np.minimum(number, self.words.size - 1)], 0).astype(np.int64)
 
     def successors(self, word: int) -> np.ndarray:
         """Hashes of the contexts of a word."""
         number, known = self.words.find(np.array([word], np.uint64))
         if not known[0]:
             return np.zeros(0, np.uint64)
-        low, high = self.pointers.get(np.array([number[0], number[0] + 1])).astype(np.int64)
-        relative = self.pairs.get(np.arange(low, high)) - _U(int(number[0]) * max(self.contexts.size, 1))
-        return self.contexts.get(relative.astype(np.int64))
-
-    def save(self, path: str) -> None:
-        """One file: a table of array types and lengths, then the arrays, each at a multiple of 64 bytes."""
-        arrays = [a for level in (self.words, self.contexts, self.pairs, self.pointers) for a in level.arrays()] + [self.codes, self.scale]
-        head = np.array([[np.dtype(a.dtype).num, len(a)] for a in arrays], np.int64)
-        with open(path, "wb") as f:
-            f.write(head.tobytes())
-            for a in arrays:
-                f.write(b"\0" * (-f.tell() % 64))
-                f.write(a.tobytes())
+        low, high, base = self._ranges(number[:1])
+        return self.contexts.get(self.pairs.get(np.arange(low[0], high[0])).astype(np.int64) - base[0])
+
+    def to_bytes(self) -> bytes:
+        """A table of array types and lengths, then the arrays, each at a multiple of 64 bytes."""
+        arrays = [a for level in (self.words, self.contexts, self.pairs, self.pointers) for a in level.arrays()] + [self.codes, self.counts, self.scale]
+        out = bytearray(np.array([[np.dtype(a.dtype).num, len(a)] for a in arrays], np.int64).tobytes())
+        for a in arrays:
+            out += b"\0" * (-len(out) % 64)
+            out += a.tobytes()
+        return bytes(out)
 
     @classmethod
-    def open(cls, path: str) -> NgramTrie:
-        """The file's levels, memory-mapped."""
-        raw = np.memmap(path, np.uint8, "r")
-        head = raw[: 18 * 16].view(np.int64).reshape(18, 2)
+    def of_buffer(cls, buffer) -> NgramTrie:
+        """The levels as views of a buffer: nothing is unpacked."""
+        raw = np.frombuffer(buffer, np.uint8)
+        head = raw[: 19 * 16].view(np.int64).reshape(19, 2)
         kinds = {np.dtype(t).num: np.dtype(t) for t in ("i8", "u8", "u4", "u2", "f8")}
-        at, arrays = 18 * 16, []
+        at, arrays = 19 * 16, []
         for number, length in head.tolist():
             at += -at % 64
             kind = kinds[number]
             arrays.append(raw[at : at + length * kind.itemsize].view(kind))
             at += length * kind.itemsize
         return cls(*(EliasFano.of(arrays[4 * n : 4 * n + 4]) for n in range(4)), *arrays[16:])
+
+    @classmethod
+    def mapped(cls, raw: bytes) -> NgramTrie:
+        """The levels in a memory map of their own that no file stands behind, so an executor needs no local folder."""
+        import mmap
+
+        memory = mmap.mmap(-1, len(raw))
+        memory.write(raw)
+        return cls.of_buffer(memory)
+
+    def save(self, path: str) -> None:
+        with open(path, "wb") as f:
+            f.write(self.to_bytes())
+
+    @classmethod
+    def open(cls, path: str) -> NgramTrie:
+        """The file's levels, memory-mapped."""
+        return cls.of_buffer(np.memmap(path, np.uint8, "r"))
