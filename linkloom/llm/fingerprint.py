@@ -9,9 +9,10 @@ The first lanes tell multisets apart; the sign lanes of two fingerprints estimat
 their word-pair counts (an AMS sketch), which is the likeness.
 
 Neighbours: the next document by ascending doc_id is found without a global window.  Documents go to
-blocks of near ids; the first document of a block is sent to the block before it as
-well, so one shuffle of the texts brings all neighbours together.  At most ``BLOCKS`` first ids
-are broadcast.
+blocks of near ids, equal spans of ids between quantiles; the first document of a block is sent to the block before
+it as well, so one shuffle of the texts brings all neighbours together.  The blocks' first ids are broadcast:
+``BLOCKS`` numbers at most (some 30 MB), so blocks hold ``DOCS_A_BLOCK`` documents up to 268 million documents and grow
+beyond; a block is sorted by its task, which spills.
 
 Defined results: null text is empty; an empty text has no paragraph, all lanes 0; likeness is 1 for equal
 fingerprints and 0 if one side has no word pairs; a null doc_id sorts first; rows of equal doc_id follow
@@ -33,8 +34,8 @@ PLANES = 21
 #: Word pairs that one packed counter takes before lanes are carried over to whole numbers.
 PACKED_ROWS = 1 << 20
 DOCS_A_BLOCK = 256
-BLOCKS = 65_536
-QUANTILES = 64
+BLOCKS = 1 << 20
+QUANTILES = 256
 _SPREAD = 1 | 1 << 21 | 1 << 42
 _EXACT = LANES * LANE_BITS // 4
 _DIGITS = SIGN_BITS // 4
@@ -164,21 +165,25 @@ def _blocks(rows: DataFrame, docs_a_block: int) -> DataFrame:
     """Rows (block, copy, doc_id, text): near ids share a block; the first row of a block is also the last, a copy, of the block before."""
     n = rows.count()
     wanted = max(1, min(BLOCKS, n // docs_a_block))
-    edges = sorted(set(rows.approxQuantile("doc_id", [k / QUANTILES for k in range(QUANTILES + 1)], 0.002))) if n else []
-    parts = max(1, wanted // QUANTILES)
+    quantiles = max(1, min(QUANTILES, wanted))
+    edges = [int(x) for x in sorted(set(rows.approxQuantile("doc_id", [k / quantiles for k in range(quantiles + 1)], 0.25 / quantiles)))] if n else []
+    parts = max(1, wanted // quantiles)
     place = F.lit(0).cast("long")
-    # between two quantiles, equal spans of ids; so many blocks that a few documents share each
-    for k, (low, high) in enumerate(zip(edges, edges[1:])):
-        span = max(1, -(-(int(high) - int(low)) // parts))
-        inside = F.least(F.floor((F.col("doc_id") - int(low)) / span), F.lit(parts - 1).cast("long"))
-        place = F.when(F.col("doc_id") >= int(low), F.lit(k * parts).cast("long") + inside).otherwise(place)
-    placed = rows.withColumn("block", F.coalesce(place, F.lit(0).cast("long")))
-    # the id and block of each block's first row; at most BLOCKS rows
-    first = placed.select("block", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("id")).groupBy("block").agg(F.min("id").alias("first"))
-    found = sorted(first.collect(), key=lambda r: r["block"])
-    links = [(r["first"], found[k - 1]["block"], 1 if k == 0 else 0) for k, r in enumerate(found)]
-    links = rows.sparkSession.createDataFrame(links, "first long, target long, wraps int")
-    marked = placed.join(F.broadcast(links), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long")) == F.col("first"), "left")
+    if len(edges) > 1:
+        # between two quantiles, equal spans of ids; so many blocks that a few documents share each
+        lows, spans = (F.array(*[F.lit(x).cast("long") for x in xs]) for xs in (edges[:-1], [max(1, -(-(y - x) // parts)) for x, y in zip(edges, edges[1:])]))
+        found = F.greatest(F.size(F.filter(lows, lambda x: x <= F.col("doc_id"))) - 1, F.lit(0))
+        inside = F.floor((F.col("doc_id") - F.get(lows, "found")) / F.get(spans, "found"))
+        place = F.col("found") * parts + F.least(F.greatest(inside, F.lit(0).cast("long")), F.lit(parts - 1).cast("long"))
+        rows = rows.withColumn("found", found.cast("long"))
+    placed = rows.withColumn("block", F.coalesce(place, F.lit(0).cast("long"))).select("block", "doc_id", "text")
+    lowest = F.lit(-(1 << 63)).cast("long")
+    # the id of each block's first row, and the block before; at most BLOCKS rows of two numbers, in one task
+    first = placed.select("block", F.coalesce("doc_id", lowest).alias("id")).groupBy("block").agg(F.min("id").alias("first"))
+    every = Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.lag("block").over(every.orderBy("block")), F.max("block").over(every))
+    links = common.persist_table(first.select("first", before.alias("target")))
+    marked = placed.join(F.broadcast(links), F.coalesce(F.col("doc_id"), lowest) == F.col("first"), "left")
     targets = F.filter(F.array(F.struct(F.col("block").alias("block"), F.lit(False).alias("copy")), F.when(F.col("target").isNotNull(), F.struct(F.col("target").alias("block"), F.lit(True).alias("copy")))), lambda t: t.isNotNull())
     return marked.select("doc_id", "text", F.explode(targets).alias("t")).select("t.block", "t.copy", "doc_id", "text")
 
