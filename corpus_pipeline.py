@@ -6,7 +6,7 @@ the last return whole rows of ``documents``.  A stage's input is Parquet, so wha
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm import common, exact_dedup, minhash, packing, quality, toxicity
 from linkloom.llm.queries import fresh_index, vocabulary
@@ -14,36 +14,32 @@ from linkloom.llm.queries import fresh_index, vocabulary
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents whose id is not among the rejected ones, rows with a null id included."""
-    gone = rejected.select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone_id"], "left_anti")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the pairwise quality score reaches the cut."""
-    model = quality.train(docs, common.read_table(spark, sf_dir, "labels"))
-    return _without(docs, quality.score(docs, model).where(F.col("score") < quality.THRESHOLD))
+    """Rows of which the text's pairwise quality score reaches the cut.
+
+    Null text is empty, and judged as such; rows are judged one by one, so equal rows and rows of one or no id share
+    nothing but what their texts score; an empty table gives no rows; other columns pass through, whatever their names.
+    """
+    return quality.keep(docs, quality.train(docs, common.read_table(spark, sf_dir, "labels")))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic."""
-    model = toxicity.train(docs, common.read_table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score(docs, model).where(F.col("score") >= toxicity.THRESHOLD))
+    """Rows of which the classifier does not call the text toxic; odd input as in the quality stage."""
+    return toxicity.keep(docs, toxicity.train(docs, common.read_table(spark, sf_dir, "labels")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each normalised text, the one with the smallest id."""
-    return exact_dedup.keep(docs, fresh_index(spark, sf_dir, "pipeline"))
+    """One row of each normalised text, the one with the smallest id; null text is empty, null ids come last."""
+    return exact_dedup.keep(docs, fresh_index(docs, sf_dir, "pipeline"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (similarity 0.8 on five-word shingles)."""
+    """One row of each group of near-duplicates (similarity 0.8 on five-word shingles); texts without words all stay."""
     return minhash.keep(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of full sequences."""
+    """The pieces of full sequences; null text is empty and is its end id alone, rows are packed one by one."""
     return packing.digest(packing.pack(docs, vocabulary("word_bpe_49k.json")))
 
 
