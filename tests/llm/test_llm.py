@@ -69,6 +69,23 @@ def test_chunked_ids_are_the_librarys(texts, name, dtype):
         assert encoder.encode(batch) == encoder._raw(batch)
 
 
+@pytest.mark.parametrize("name, dtype", [("byte_bpe_50k.json", "<u2"), ("word_bpe_49k.json", "<u4")])
+def test_chunked_ids_of_slices(texts, name, dtype, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(chunked_tokens, "SLICE_BYTES", 300)
+    encoder = chunked_tokens.ChunkEncoder(public(name), dtype, entries=60)
+    rnd = random.Random(9)
+    marks = ["", "", ",", ".", "...", "!?", "'s", "-x"]
+    made = [" ".join("".join(rnd.choice("abcdeÉéß") for _ in range(rnd.randrange(1, 6))).title() + rnd.choice(marks) for _ in range(30)).replace("a ", "a\n") for _ in range(200)]
+    given = [t or "" for t in texts] + made + ["<|ENDOFTEXT|> X", "a\x01b \x01", "\x01"]
+    whole = pa.array(given)
+    want = encoder._raw(given)
+    assert encoder.encode(whole) == want
+    for low in (0, 3, 77):
+        assert encoder.encode(whole.slice(low, 140)) == want[low : low + 140]
+
+
 def test_prefix_bpe_is_the_librarys(texts):
     from tokenizers import Tokenizer
 
@@ -93,6 +110,27 @@ def test_bpe_tables(spark, docs, texts, empty, nulls):
     assert {tuple(r) for r in bpe.round_trip_digests(nulls, path).where("n_tokens = 0").collect()} == {(None, 0, none, none), (1, 0, none, none)}
 
 
+def test_digests_of_codec_and_packing_queries(spark, sf):
+    """The whole sf0.001 tables: op2's and op5's digests against the library."""
+    from tokenizers import Tokenizer
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    bytes_, words = (Tokenizer.from_file(public(f"{n}.json")) for n in ("byte_bpe_50k", "word_bpe_49k"))
+    want = set()
+    for r in rows:
+        ids = bytes_.encode(r["text"] or "", add_special_tokens=False).ids
+        back = bytes_.decode(ids, skip_special_tokens=False)
+        want.add((r["doc_id"], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    assert {tuple(r) for r in queries.op5_bpe_round_trip(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()} == want
+    ids_of = {r["doc_id"]: np.array([*words.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4") for r in rows}
+    total = Counter()
+    for r in queries.op2_harmonic_packing(spark, sf).collect():
+        ids = ids_of[r["doc_id"]]
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+        total[r["doc_id"]] += r["length"]
+    assert total == {n: len(ids) for n, ids in ids_of.items()}
+
+
 # ---- op2 -----------------------------------------------------------------------------------------
 
 def test_packing(docs, texts, empty, nulls):
@@ -118,6 +156,36 @@ def test_binary_cuts():
         assert sum(cuts) == n and all(c & (c - 1) == 0 for c in cuts)
 
 
+@pytest.mark.parametrize("lengths", ["mixed", "tiny", "thirds", "long"])
+def test_harmonic_bins(lengths):
+    rnd = random.Random(lengths)
+    size = {"mixed": lambda: int(rnd.paretovariate(0.7) * 40) % 9000 + 1, "tiny": lambda: rnd.randrange(1, 5), "thirds": lambda: 1365, "long": lambda: rnd.randrange(2049, 4096)}[lengths]
+    docs = [(n, np.arange(size(), dtype="<u4").tobytes()) for n in range(3000)]
+    bins, rows = packing.HarmonicBins(4096, 0), []
+    for n, raw in docs:
+        rows += bins.add(n, raw)
+        assert bins.room < 6144 and all(len(pieces) < k for k, pieces in bins.open.items())
+    early = len(rows)
+    rows += bins.close()
+    by_doc, by_sequence = {}, {}
+    for doc, start, length, total, ids, sequence, offset in rows:
+        by_doc.setdefault(doc, []).append((start, length, ids))
+        by_sequence.setdefault(sequence, []).append((offset, length, doc, total))
+        assert total == len(docs[doc][1]) // 4 and len(ids) == 4 * length
+    assert {n: b"".join(x[2] for x in sorted(p)) for n, p in by_doc.items()} == dict(docs)
+    for pieces in by_sequence.values():
+        full = sum(p[1] for p in pieces)
+        assert [p[0] for p in sorted(pieces)] == [0, *np.cumsum([p[1] for p in sorted(pieces)])[:-1]] and full & (full - 1) == 0 and full <= 4096
+    for sequence in {r[5] for r in rows[:early]}:
+        pieces = sorted(by_sequence[sequence])
+        whole = [p for p in pieces if p[1] == p[3]]
+        assert sum(p[1] for p in pieces) == 4096
+        if lengths in ("thirds", "long"):  # as many whole documents as the class says, then fillers
+            assert len(whole) >= 4096 // pieces[0][3]
+    whole = sum(len(p) == 1 for n, p in by_doc.items() if len(docs[n][1]) <= 4 * 4096)
+    assert whole / sum(len(raw) <= 4 * 4096 for _, raw in docs) > {"long": 0.6}.get(lengths, 0.8)
+
+
 # ---- op8 -----------------------------------------------------------------------------------------
 
 def test_huffman_lengths_and_round_trip():
@@ -167,6 +235,18 @@ def test_token_files(spark, docs, texts, empty, nulls, tmp_path):
 
 # ---- op9, op4 ------------------------------------------------------------------------------------
 
+def test_index_buckets():
+    assert [exact_dedup.buckets_for(n) for n in (0, 10**6, 200 * 10**6, 10**10)] == [32, 32, 64, 4096]
+
+
+def test_exact_keep_decides_on_rows(spark):
+    rows = [(1, "alpha", "a"), (1, "beta", "b"), (2, "gamma", "c"), (2, " gamma", "c"), (None, "alpha", "z"), (None, "delta  x", "d"), (None, "delta x", "e"), (3, "beta", "q"), (3, None, "n"), (4, "", "n"), (1, "alpha", "a"), (1, "alpha", "0")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(4)
+    kept = exact_dedup.keep(table, exact_dedup.DigestIndex(spark, "test_rows"))
+    want = {(1, "alpha", "0"), (1, "beta", "b"), (2, "gamma", "c"), (2, " gamma", "c"), (None, "delta  x", "d"), (3, None, "n")}
+    assert kept.columns == table.columns and {tuple(r) for r in kept.collect()} == want and kept.count() == len(want)
+
+
 def test_exact_dedup(spark, docs, texts, empty, nulls):
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts]
     groups = Counter(norm) + Counter([norm[3]])
@@ -219,6 +299,25 @@ def test_near_duplicates(spark, docs, texts, percent):
     assert got_rows == brute_components(rows, percent)
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    a, b = " ".join(str(n) for n in range(100)), " ".join(f"w{n}" for n in range(100))
+    rows = [(5, a), (5, b), (6, a + " 100"), (7, b + " w100"), (8, "x"), (None, a)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    have = sorted((tuple(r) for r in minhash.near_duplicates(table).collect()), key=str)
+    assert have == sorted([(5, 96, 5, True), (5, 96, 5, True), (6, 97, 5, False), (7, 97, 5, False), (8, 1, 8, True), (None, 96, None, True)], key=str)
+    kept = {tuple(r) for r in minhash.keep(table).collect()}
+    assert kept == {(5, a), (5, b), (8, "x")}
+
+
+def test_many_members_meet_a_pivot_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FAN", 5)
+    rnd = random.Random(1)
+    base = [str(n) for n in range(120)]
+    rows = [(n, " ".join([*base[:k], f"v{n}", *base[k + 1 :]])) for n, k in enumerate(rnd.choices(range(120), k=60))]
+    have = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert have == brute_components(rows, 85)
+
+
 def test_near_duplicates_odd_tables(empty, nulls, docs):
     assert minhash.near_duplicates(empty).count() == 0
     assert {tuple(r) for r in minhash.near_duplicates(nulls).collect()} == {(None, 0, None, True), (None, 1, None, True), (1, 0, 1, True)}
@@ -274,6 +373,41 @@ def test_fingerprints(spark, docs, texts, empty, nulls):
     assert fingerprint.edited(empty).count() == 0 and fingerprint.edited(nulls).count() == 3
 
 
+def test_likeness_against_the_exact_cosine(spark):
+    """``near_edited`` and ``near_next`` against the cosine of the word pairs' counts; the sketch's error is some 0.09."""
+    rnd = random.Random(8)
+    words = [f"w{n}" for n in range(30)]
+    texts = ["\n".join(" ".join(rnd.choice(words) for _ in range(12)) for _ in range(6)) for _ in range(80)]
+    rows = fingerprint.edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()
+
+    def pairs(text):
+        lines = [line.split() for line in text.split("\n")]
+        return Counter(p for words in lines for p in [*zip(words, words[1:]), *words[-1:]])
+
+    def cosine(a, b):
+        x, y = pairs(a), pairs(b)
+        return sum(x[p] * y[p] for p in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    errors = []
+    for n, row in enumerate(rows):
+        after = texts[(n + 1) % len(texts)]
+        half = len(texts[n]) // 2
+        edit = texts[n][: len(texts[n]) - half] + after[:half]
+        errors += [row["near_edited"] - cosine(texts[n], edit), row["near_next"] - cosine(texts[n], after)]
+    assert np.abs(errors).max() < 0.4 and np.sqrt(np.mean(np.square(errors))) < 0.12
+
+
+@pytest.mark.parametrize("docs_a_block", [1, 4, 256])
+def test_neighbours_of_clustered_and_shared_ids(spark, docs_a_block):
+    rnd = random.Random(docs_a_block)
+    ids = [rnd.choice([0, 1 << 40, -(1 << 50)]) + rnd.randrange(40) for _ in range(150)] + [None, None]
+    rows = [(i, f"text {rnd.randrange(50)} " * rnd.randrange(1, 9)) for i in ids]
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = sorted(((i, hashlib.sha256((t[: len(t) - len(t) // 2] + ordered[(n + 1) % len(rows)][1][: len(t) // 2]).encode()).hexdigest()) for n, (i, t) in enumerate(ordered)), key=str)
+    have = fingerprint.edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), docs_a_block=docs_a_block)
+    assert sorted(((r["doc_id"], r["edited_sha256"]) for r in have.collect()), key=str) == want
+
+
 def test_fingerprints_add_and_take_away(spark):
     rows = [(1, "one two\nthree four five"), (2, "one two"), (3, "three four five"), (4, "")]
     f = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -306,6 +440,62 @@ def test_quality_held_out(spark, sf):
     assert ((held.score >= quality.THRESHOLD).astype(int) == held.quality).mean() > 0.95
 
 
+def test_toxicity_against_brute_force(texts):
+    given = [t or "" for t in texts] + [f"you worthless {w} clown" for w in ("a", "b", "c", "d")]
+    y = np.array([0] * len(texts) + [1] * 4)
+    model = toxicity.fit(given, y.tolist())
+    grams = [Counter(g for w in set(t.lower().split()) for piece in toxicity.words_of(w) for g in set(toxicity.ngrams(piece))) for t in given]
+    have = toxicity.scores([Plain(t) for t in given], model)
+    plain = [Counter(g for w in toxicity.words_of(t) for g in toxicity.ngrams(w)) for t in given]
+    want = [1 / (1 + math.exp(-min(700, max(-700, model.bias + sum(n * model.weights.get(g, 0.0) for g, n in c.items()))))) for c in plain]
+    assert np.allclose(have, want, atol=1e-9) and have[-4:].min() > 0.5 > have[:-4].max()
+    # weights are log-count ratios times what the regression made of them; no other weights lower the loss
+    names = sorted({g for c in grams for g in c})
+    x = np.array([[c[g] for g in names] for c in grams], float)
+    toxic, other = (y @ x + 1) / (y @ x + 1).sum(), ((1 - y) @ x + 1) / ((1 - y) @ x + 1).sum()
+    ratio = np.where(x.sum(0) < toxicity.LEAST_TEXTS, 0.0, np.log(toxic / other))
+    used = np.flatnonzero(ratio)
+    assert set(model.weights) <= {names[n] for n in used}
+    z = x[:, used] * ratio[used]
+
+    def loss(p):
+        s = p[0] + z @ p[1:]
+        return float(linear.softplus(s).sum() - y @ s + toxicity.RIDGE / 2 * (p[1:] @ p[1:])), np.concatenate([[(linear.sigmoid(s) - y).sum()], z.T @ (linear.sigmoid(s) - y) + toxicity.RIDGE * p[1:]])
+
+    own = np.array([model.bias, *[model.weights.get(names[n], 0.0) / ratio[n] for n in used]])
+    best = linear.minimize(loss, np.zeros(len(used) + 1), steps=500)
+    assert loss(own)[0] < 1.05 * loss(best)[0] + 1e-3
+
+
+class Plain:
+    def __init__(self, text):
+        self.text = text
+
+    def as_py(self):
+        return self.text
+
+
+def test_quality_against_brute_force(texts):
+    rnd = random.Random(2)
+    good = [" ".join(rnd.choice(["plain", "words", "of", "prose,", "here."]) for _ in range(rnd.randrange(20, 90))) for _ in range(60)]
+    bad = [" ".join(rnd.choice(["%%%", "###", "BUY", "|", "99"]) for _ in range(rnd.randrange(20, 90))) for _ in range(30)]
+    given, y = good + bad, np.array([1] * 60 + [0] * 30)
+    model = quality.fit(given, y.tolist())
+    f = np.array([quality.features(t) for t in given])
+    for t, row in list(zip(given, f))[:: 9] + [("A a!\nA a!", np.array(quality.features("A a!\nA a!")))]:
+        words, lines, n = t.split(), t.split("\n"), len(t)
+        assert row[1] == sum(c.isupper() for c in t) / n and row[2] == sum(c.isdigit() for c in t) / n and row[3] == sum(c in "!?" for c in t) / n
+        assert row[4] == sum(a == b for a, b in zip(words, words[1:])) / len(words) and row[5] == len(set(words)) / len(words) and row[6] == 1 - len(set(lines)) / len(lines)
+    # the pairs' logistic loss has its least value at the weights, and the cut is the quantile of the share labelled 0
+    x = (quality.expand(f) - model.mean) / model.spread
+    rng = np.random.default_rng(quality.SEED)
+    d = x[rng.choice(np.flatnonzero(y == 1), quality.PAIRS)] - x[rng.choice(np.flatnonzero(y == 0), quality.PAIRS)]
+    slope = -(linear.sigmoid(-(d @ model.weights)) @ d) / len(d) + quality.RIDGE * model.weights
+    assert np.abs(slope).max() < 1e-3
+    raw = x @ model.weights
+    assert (raw < model.cut).sum() == 30 and ((model.score(f) >= quality.THRESHOLD) == (raw >= model.cut)).all()
+
+
 def test_classifiers_on_odd_tables(docs, empty, nulls, labels):
     none = labels.where("false")
     for module in (toxicity, quality):
@@ -377,6 +567,25 @@ def test_lm(spark, docs, texts, empty, nulls, monkeypatch):
     assert lm.train_and_score(empty).count() == 0
 
 
+def test_saved_lm(spark, docs, nulls, empty, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 500)  # so that there are several shards, hot words and chunks
+    monkeypatch.setattr(lm, "CHUNK_DOCS", 9)
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    plain = got(lm.train_and_score(docs), *columns)
+    trained = got(lm.train_and_score(docs, f"{tmp_path}/model"), *columns)
+    again = got(lm.score(docs, f"{tmp_path}/model"), *columns)
+    want = sorted(brute_lm([(r["doc_id"], r["text"]) for r in docs.collect()]))
+    for rows in (plain, trained, again):
+        assert [r[:5] for r in rows] == [r[:5] for r in want]
+        assert all(abs(x[5] - y[5]) < 1e-6 and abs(x[6] - y[6]) < 1e-4 * x[2] + 1e-9 for x, y in zip(rows, want))
+    assert lm.score(empty, f"{tmp_path}/model").count() == 0
+    unknown = spark.createDataFrame([(5, "never seen words")], "doc_id long, text string")
+    r = lm.score(unknown, f"{tmp_path}/model").first()
+    assert (r["n_tokens"], r["n_known"]) == (4, 1) and r["score"] < 0
+    lm.train_and_score(empty, f"{tmp_path}/none").count()
+    assert lm.score(nulls, f"{tmp_path}/none").where("n_known = 0 and train_tokens = 0").count() == 3
+
+
 # ---- op10 ----------------------------------------------------------------------------------------
 
 def test_token_rollup(spark, docs, nulls, tmp_path):
@@ -396,7 +605,40 @@ def test_token_rollup(spark, docs, nulls, tmp_path):
     assert {tuple(r) for r in ledger.collect()} == {tuple(r) for r in rollup.totals().collect()}
     with pytest.raises(ValueError):
         rollup.commit(0, second)
-    assert token_counts.counted(nulls, token_counts.VERSIONS).count() == 6
+    assert token_counts.counted(nulls, {"a": public("byte_bpe_50k.json"), "b": public("word_bpe_49k.json")}).count() == 6
+
+
+def test_compacted_rollup(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "COMPACT_EVERY", 2)
+    schema = "doc_id long, source string, lang string, tokenizer_version string, n_tokens long, op string, seq long"
+    rollup = token_counts.TokenRollup(spark, f"{tmp_path}/compact")
+    for batch in range(1, 6):
+        rows = [(n, "a", None, "v", n + batch, "revise", 0) for n in range(batch)] + [(batch - 2, None, None, "v", None, "delete", 1)]
+        assert rollup.commit(batch, spark.createDataFrame(rows, schema))
+    assert rollup._marks("snapshots") == [2, 4]
+    live = {n: n + 5 for n in range(5) if n != 3}
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", None, "v", len(live), sum(live.values()))]
+    assert {r["doc_id"]: r["n_tokens"] for r in rollup.ledger().where("alive").collect()} == live
+
+
+def test_rollup_query_against_the_library(spark, docs, texts, empty, nulls, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = {name: Tokenizer.from_file(public(f"{name}.json")) for name in ("word_bpe_49k", "byte_bpe_50k")}
+    for n, table in enumerate((docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "fr").when(F.col("doc_id") % 3 == 1, "en")), nulls, empty)):
+        # several rows of one id: the one with the larger count is the document
+        best: dict = {}
+        for r in table.collect():
+            for name, t in library.items():
+                best[r["doc_id"], name] = max(best.get((r["doc_id"], name), (-1, "", "")), (len(t.encode(r["text"] or "", add_special_tokens=False).ids), r["source"] or "", r["lang"] or ""))
+        want = Counter()
+        docs_of = Counter()
+        for (_, name), (count, source, lang) in best.items():
+            if name == "byte_bpe_50k" or lang in ("en", ""):
+                docs_of[source, lang, name] += 1
+                want[source, lang, name] += count + (name == "word_bpe_49k")
+        have = {(r["source"] or "", r["lang"] or "", r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in queries.rolled_up(token_counts.TokenRollup(spark, f"{tmp_path}/r{n}"), table).collect()}
+        assert have == {k: (docs_of[k], want[k]) for k in want}
 
 
 def test_interrupted_batch_counts_once(spark, tmp_path):
