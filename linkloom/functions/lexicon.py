@@ -111,7 +111,56 @@ GENERIC_FOLDERS = (
 )
 DOMAIN_NAMES = {"zhihu.com": "知乎", "csdn.net": "CSDN", "github.com": "GitHub", "gitbook.com": "GitBook", "gitbook.io": "GitBook"}
 TOKEN_NAMES = {"api": "API", "aws": "AWS", "css": "CSS", "html": "HTML", "json": "JSON", "llm": "LLM", "github": "GitHub"}
-TOOLBAR_FOLDERS = ("书签栏", "Bookmarks Bar", "Bookmarks bar", "其他书签", "Other Bookmarks")
+#: Words of up to four letters that are shown in capitals.
+ACRONYMS = ("api", "sdk", "cli", "llm", "aws", "gcp", "css", "html", "json", "yaml")
+#: A slogan of a platform names a place of the first list and people or things of the second.
+SLOGAN_PLACES = ("平台", "社区", "官网", "文档中心", "官方网站", "在线文档", "下载app")
+SLOGAN_SUBJECTS = ("开发者", "开源", "技术", "代码", "创作", "用户", "文档")
+RESOURCE_ALIASES = {
+    "documentation": "文档", "doc": "文档", "docs": "文档", "blog": "博客", "tool": "工具", "repository": "仓库", "repo": "仓库", "paper": "论文",
+}
+#: Words of a path that say what kind of page it is.
+URL_TYPES = {
+    "docs": "文档", "documentation": "文档", "blog": "博客", "posts": "博客", "article": "博客", "articles": "博客", "tool": "工具", "tools": "工具",
+    "repo": "仓库", "repos": "仓库", "github": "仓库", "paper": "论文", "papers": "论文", "arxiv": "论文",
+}
+OTHER, UNSORTED, UNKNOWN = "其他", "其他/未分类", "未知"
+OFFICIAL, COMMUNITY, POOR, FREQUENT = "官方", "社区", "低信息量页", "高频访问候选"
+FETCHED, TRUSTED = "抓取成功", "受信任访问"
+PLATFORM_ROOTS = ("开发工具", "开源项目", "技术博客")
+#: Fields of the signal column that evidence rests on.
+SCORE_FIELDS = {
+    "domain": ("identity.domain",),
+    "keywords": (
+        "content.title_candidates", "content.preferred_title", "content.preferred_description", "content.keywords_text", "content.language",
+        "structure.site_name", "structure.brand_terms",
+    ),
+    "title": ("content.title_candidates", "structure.headings_h1", "structure.site_name"),
+    "content": (
+        "content.semantic_text", "content.preferred_description", "content.main_text", "structure.page_type_hints", "structure.site_type_candidates",
+        "structure.schema_types",
+    ),
+}
+RESOURCE_FIELDS = {
+    "structured_facet": ("structure.resource_facets",), "domain": ("identity.domain",), "repository_url": (), "url": ("identity.path_segments",),
+    "keyword": ("content.semantic_text", "content.keywords_text"), "title": ("content.title_candidates", "structure.headings_h1"),
+    "extension": ("identity.path_segments",),
+}
+TOPIC_FIELDS = {
+    "site_profile": ("structure.site_name", "structure.brand_terms"), "title": ("content.title_candidates",), "name": ("identity.saved_title",),
+    "keywords": ("content.keywords_text",), "url_path": ("identity.path_segments",), "domain": ("identity.domain", "identity.registrable_domain"),
+}
+GATE_FIELDS = (
+    "health_access.fetch_status", "health_access.link_health", "health_access.review_required", "health_access.trusted_override",
+    "health_access.fetch_context",
+)
+#: Fields that every feature set draws on.
+FEATURE_FIELDS = (
+    "identity.domain", "identity.registrable_domain", "identity.path_segments", "identity.canonical_identity", "content.preferred_title",
+    "content.title_candidates", "content.preferred_description", "content.semantic_text", "content.keywords_text", "structure.resource_facets",
+    "structure.source_facets", "structure.site_name", "structure.brand_terms", "structure.page_type_hints", "health_access.quality_facets",
+    "context_time.time_bucket",
+)
 # fmt: on
 MIN_SCORE, CONFIRM_THRESHOLD, AUTO_CONFIDENCE, ROOT_MARGIN = 15, 25, 0.55, 2.0
-WEIGHTS = {"domain": 0.30, "keyword": 0.40, "title": 0.20, "content": 0.15}
+WEIGHTS = {"domain": 30, "keyword": 40, "title": 20, "content": 15}

@@ -97,13 +97,19 @@ def homepage(url: Column) -> Column:
 
 def repository(url: Column) -> Column:
     """A project's page: two path segments under a code host, neither reserved nor an option."""
+    return repository_under(host(url), url)
+
+
+def repository_under(domain: Column, url: Column) -> Column:
+    """``repository`` for a record whose domain is known apart from its link."""
     segments = path_segments(url)
     first, second = F.lower(F.get(segments, 0)), F.lower(F.get(segments, 1))
     free = [~s.isin(*lexicon.REPOSITORY_RESERVED) & ~s.startswith("-") for s in (first, second)]
-    return F.coalesce(two_labels(host(url)).isin(*lexicon.REPOSITORY_HOSTS) & (F.size(segments) >= 2) & free[0] & free[1], F.lit(False))
+    return F.coalesce(two_labels(domain).isin(*lexicon.REPOSITORY_HOSTS) & (F.size(segments) >= 2) & free[0] & free[1], F.lit(False))
 
 
 def dois(text: Column) -> Column:
-    """Document identifiers in a text, closing marks removed, first of each spelling that differs only by case."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)10\.\d{4,9}/[-._;()/:a-z0-9]+"), 0), lambda d: F.regexp_replace(d, r"[).,;\]]+$", ""))
+    """Document identifiers in a text, percent signs decoded, closing marks removed, first of each spelling that differs only by case."""
+    plain = F.coalesce(F.try_url_decode(F.replace(F.coalesce(text, F.lit("")), F.lit("+"), F.lit("%2B"))), text, F.lit(""))
+    found = F.transform(F.regexp_extract_all(plain, F.lit(r"(?i)10\.\d{4,9}/[-._;()/:a-z0-9]+"), 0), lambda d: F.regexp_replace(d, r"[).,;\]]+$", ""))
     return F.filter(found, lambda d, n: F.array_position(F.transform(found, F.lower), F.lower(d)) == n + 1)

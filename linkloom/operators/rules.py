@@ -1,16 +1,19 @@
-"""Scoring of records against a rule taxonomy, and the decisions that follow.
+"""Scoring of records against a rule taxonomy, and the classification that follows.
 
-Rules are driver-side data, so they become one projection over each record (no join): an array
-with a struct for each rule, of which those with a score are exploded.
+Rules are driver-side data, so scoring is a projection over each record, no join: a text is read once for all
+keywords of all rules (`text.found_keywords`), and sub-scores are counts over what was found.  Tokens of titles are
+exploded and summed by record, since a title may be long.  Records have the columns of `signals.signals`.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicon, text, urls
+from .skew import written
 
 
 @dataclass(frozen=True)
@@ -21,141 +24,451 @@ class Rule:
     title_patterns: tuple[str, ...] = ()
 
 
-def scores(record_domain: Column, titles: Column, keyword_text: Column, content: Column, rule: Rule) -> dict[str, Column]:
-    """The four sub-scores of a rule: domain 0 or 100, 20 for each keyword up to 100, title 0 or 80, 10 for each keyword in the content up to 80."""
-    title = F.lit(False)
-    for pattern in rule.title_patterns:
-        title = title | titles.rlike("(?i)" + pattern)
-    return {
-        "domain": F.when(urls.has_any_suffix(record_domain, rule.domains), 100).otherwise(0),
-        "keyword": F.least(F.lit(100), 20 * text.keyword_hits(keyword_text, rule.keywords)),
-        "title": F.when(title, 80).otherwise(0),
-        "content": F.least(F.lit(80), 10 * text.keyword_hits(content, rule.keywords)),
-    }
+@dataclass(frozen=True)
+class Options:
+    """Weights, thresholds and word rules of a classification."""
+
+    weights: dict = field(default_factory=lambda: dict(lexicon.WEIGHTS))
+    min_score: float = lexicon.MIN_SCORE
+    confirm: float = lexicon.CONFIRM_THRESHOLD
+    auto: float = lexicon.AUTO_CONFIDENCE
+    margin: float = lexicon.ROOT_MARGIN
+    default: str = lexicon.DEFAULT_CATEGORY
+    short_tokens: tuple[str, ...] = ()
+    blocked_tokens: tuple[str, ...] = ()
+    topics: int = 8
+    hints: int = 12
+    resource_rules: dict = field(default_factory=lambda: lexicon.RESOURCE_RULES)
+    intent_rules: dict = field(default_factory=lambda: lexicon.INTENT_RULES)
+    quality_rules: dict = field(default_factory=lambda: lexicon.QUALITY_RULES)
+
+
+def merge_payload(base, over):
+    """Objects merge by key, lists append what they lack, everything else is replaced."""
+    if isinstance(base, dict) and isinstance(over, dict):
+        return {**base, **{k: merge_payload(base[k], v) if k in base else v for k, v in over.items()}}
+    if isinstance(base, list) and isinstance(over, list):
+        out, seen = list(base), {json.dumps(x, ensure_ascii=False, sort_keys=True) for x in base}
+        for x in over:
+            mark = json.dumps(x, ensure_ascii=False, sort_keys=True)
+            if mark not in seen:
+                seen.add(mark)
+                out.append(x)
+        return out
+    return over
+
+
+def bundle(payload: dict | None = None, options: Options | None = None) -> tuple[list[Rule], Options]:
+    """(rules, options) of a taxonomy document; ``topics`` are merged onto ``categories``, facets replace the listed word rules.
+
+    Categories that are no topics, by their own mark or by the document's list, are left out.
+    """
+    payload, options = payload or {}, options or Options()
+    named = merge_payload(payload.get("categories") or {}, payload.get("topics") or {})
+    skip = set(payload.get("non_topic_categories") or [])
+    rules = [
+        Rule(name, tuple(r.get("domains", ())), tuple(r.get("keywords", ())), tuple(r.get("title_patterns", ())))
+        for name, r in named.items() if name not in skip and r.get("topic") is not False
+    ]
+    facets, changed = payload.get("facets") or {}, {}
+    resources = facets.get("resource_types") or payload.get("resource_type_rules")
+    if resources:
+        changed["resource_rules"] = {k: tuple(tuple(r.get(x, ())) for x in ("domains", "url_patterns", "keywords", "title_patterns")) for k, r in resources.items()}
+    if facets.get("intents") or payload.get("intent_rules"):
+        changed["intent_rules"] = facets.get("intents") or payload["intent_rules"]
+    quality = facets.get("quality_signals") or payload.get("quality_signal_rules")
+    if quality:
+        changed["quality_rules"] = {k: (tuple(r.get("domains", ())), tuple(r.get("keywords", ()))) for k, r in quality.items()}
+    words = payload.get("dynamic_topic_rules") or {}
+    for key, name in (("allow_short_tokens", "short_tokens"), ("blocked_tokens", "blocked_tokens"), ("max_candidates", "topics"), ("cluster_hint_limit", "hints")):
+        if key in words:
+            changed[name] = tuple(words[key]) if isinstance(words[key], list) else words[key]
+    scoring = payload.get("scoring") or {}
+    for key, name in (("min_score", "min_score"), ("confirm_threshold", "confirm"), ("auto_assign_confidence", "auto"), ("cross_root_ambiguity_margin", "margin")):
+        if key in scoring:
+            changed[name] = scoring[key]
+    weights = {k: scoring[f"{k}_weight"] for k in ("domain", "keyword", "title", "content") if f"{k}_weight" in scoring}
+    if weights:
+        changed["weights"] = options.weights | weights
+    if payload.get("default_category"):
+        changed["default"] = payload["default_category"]
+    return rules, replace(options, **changed)
+
+
+def _literals(values) -> Column:
+    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+
+
+def text_fields(rows: DataFrame) -> DataFrame:
+    """The text views that scoring reads, one column each: t_name, t_title, ... """
+    c = F.col
+    words = lambda x: F.array_join(c(x), " ")
+    titles = words("title_candidates")
+    views = {
+        "t_name": F.coalesce(c("name"), F.lit("")), "t_title": F.when(titles != "", titles).otherwise(c("preferred_title")), "t_h1": words("headings_h1"), "t_description": c("preferred_description"),
+        "t_keywords": c("keywords_text"), "t_content_preview": c("main_text"), "t_site_profile": text.joined(c("site_name"), words("brand_terms")),
+        "t_site_profile_types": text.joined(words("site_type_candidates"), words("page_type_hints"), words("schema_types"), words("source_facets")), "t_semantic_text": c("semantic_text"),
+        "t_schema_types": words("schema_types"), "t_page_type_hints": words("page_type_hints"), "t_site_type_candidates": words("site_type_candidates"), "t_source_facets": words("source_facets"),
+        "t_site_name": c("site_name"), "t_brand_terms": words("brand_terms"), "t_language": c("language"), "t_folder_path": F.array_join("original_folder_path", " / "),
+        "t_url": F.coalesce(c("url"), F.lit("")), "t_domain": c("domain"), "t_url_path": F.concat(F.lit("/"), F.array_join("path_segments", "/")), "t_fetch_status": c("fetch_status"),
+    }
+    return rows.withColumns(views)
+
+
+def scored(rows: DataFrame, rules: list[Rule], options: Options = Options()) -> DataFrame:
+    """Rows with ``scores`` (rules with a score, best first, ties in rule order) and ``hit_all``, the listed words of resource, intent and quality rules found anywhere."""
+    c, o = F.col, options
+    rows = text_fields(rows)
+    home = F.size("path_segments") == 0
+    keyword_text = F.concat_ws(" ", F.when(home, c("preferred_title")).otherwise(c("t_title")), F.when(home, F.lit("")).otherwise(c("t_description")), "t_keywords", "t_site_name", "t_brand_terms", "t_language")
+    content = F.concat_ws(" ", "t_semantic_text", "t_description", "t_h1", "t_content_preview", "t_page_type_hints", "t_site_type_candidates", "t_schema_types")
+    everything = F.concat_ws(" ", *[x for x in rows.columns if x.startswith("t_") and x != "t_folder_path"])
+    listed = [k for _, _, words, _ in o.resource_rules.values() for k in words] + [k for words in o.intent_rules.values() for k in words] + [k for _, words in o.quality_rules.values() for k in words]
+    words = [k for r in rules for k in r.keywords]
+    titles = F.when(home, F.array("saved_title", "preferred_title", "t_site_name")).otherwise(F.concat("title_candidates", F.array("t_title", "t_h1", "t_site_name")))
+    rows = rows.withColumns({
+        "hit_keyword": text.found_keywords(keyword_text, words), "hit_content": text.found_keywords(content, words), "hit_all": text.found_keywords(everything, listed),
+        "titles": F.array_distinct(F.filter(titles, lambda t: t != "")), "low_domain": F.lower("t_domain"),
+    })
+    cells = []
+    for n, r in enumerate(rules):
+        said = F.exists("titles", _says(r.title_patterns)) if r.title_patterns else F.lit(False)
+        part = {
+            "domain": F.when(urls.has_any_suffix(c("low_domain"), tuple(d.lower() for d in r.domains)), 100).otherwise(0), "keyword": F.least(F.lit(100), 20 * text.keyword_hits(c("hit_keyword"), r.keywords)),
+            "title": F.when(said, 80).otherwise(0), "content": F.least(F.lit(80), 10 * text.keyword_hits(c("hit_content"), r.keywords)),
+        }
+        cells.append(F.struct(F.lit(n).alias("ord"), F.lit(r.category).alias("category"), *[v.cast("int").alias(k) for k, v in part.items()]))
+    empty = F.array().cast("array<struct<ord:int,category:string,domain:int,keyword:int,title:int,content:int>>")
+    rows = rows.withColumn("parts", F.array(*cells) if cells else empty)
 
+    def total(p: Column) -> Column:
+        whole = sum((p[k] * float(w) / 100 for k, w in o.weights.items()), F.lit(0.0))
+        signs = F.array_compact(F.array(*[F.when(p[k] > 0, F.lit(name)) for k, name in (("domain", "domain"), ("keyword", "keywords"), ("title", "title"), ("content", "content"))]))
+        return F.struct((-F.bround(whole, 2)).alias("down"), p["ord"].alias("ord"), p["category"].alias("category"), *[p[k].alias(k) for k in ("domain", "keyword", "title", "content")], F.bround(whole, 2).alias("total"), signs.alias("signals"))
 
-def score_rules(records: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(id, ord, category, domain, keyword, title, content, total) of each record and rule with a score.
+    ranked = F.array_sort(F.transform(F.filter("parts", lambda p: p["domain"] + p["keyword"] + p["title"] + p["content"] > 0), total))
+    return rows.withColumn("scores", F.filter(ranked, lambda s: s["total"] > 0)).drop("parts", "hit_keyword", "hit_content", "titles")
 
-    Records have id, domain, title and body.
-    """
-    cells = []
-    for n, rule in enumerate(rules):
-        s = scores(F.col("domain"), F.col("title"), F.col("title"), F.concat_ws(" ", "title", "body"), rule)
-        total = sum((s[k] * lexicon.WEIGHTS[k] for k in s), F.lit(0.0))
-        cells.append(F.struct(F.lit(n).alias("ord"), F.lit(rule.category).alias("category"), *[v.cast("int").alias(k) for k, v in s.items()], F.round(total, 2).alias("total")))
-    found = records.select("id", F.explode(F.filter(F.array(*cells), lambda c: c["total"] > 0)).alias("c"))
-    return found.select("id", "c.*")
 
+def _says(patterns: tuple[str, ...]):
+    """Whether a text matches one of the patterns."""
 
-def ranked(scored: DataFrame) -> DataFrame:
-    """Rules of each record by falling total, ties in rule order; at most as many rows a record as there are rules."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.col("total").desc(), "ord")))
+    def matches(t: Column) -> Column:
+        found = [t.rlike("(?iu)" + p) for p in patterns]
+        out = found[0]
+        for x in found[1:]:
+            out = out | x
+        return out
 
+    return matches
 
-def confidence(top: Column, margin: Column, strong: Column, has_evidence: Column) -> Column:
-    raw = 0.55 * F.least(top / 25.0, F.lit(1.0)) + 0.25 * F.least(margin / 20.0, F.lit(1.0)) + F.when(strong, 0.2).otherwise(0.0)
-    return F.round(F.when(has_evidence, raw).otherwise(F.least(raw, F.lit(0.35))), 3)
 
+def strong(score: Column) -> Column:
+    """Evidence by domain or title, or two keywords."""
+    return F.coalesce((score["domain"] > 0) | (score["title"] > 0) | (score["keyword"] >= 40), F.lit(False))
 
-def best(scored: DataFrame) -> DataFrame:
-    """One row for each record: the two best rules, their margin and the confidence in the best."""
-    tops = ranked(scored).where("rank <= 2").groupBy("id").agg(
-        F.max_by("category", -F.col("rank")).alias("category"), F.max("total").alias("top"),
-        F.max(F.when(F.col("rank") == 2, F.col("total"))).alias("second"), F.max(F.when(F.col("rank") == 2, F.col("category"))).alias("second_category"),
-        F.max(F.when(F.col("rank") == 1, F.greatest("domain", "title", "keyword"))).alias("strength"),
-    )
-    tops = tops.withColumn("second", F.coalesce("second", F.lit(0.0)))
-    margin = F.round(F.col("top") - F.col("second"), 2)
-    strong = F.col("strength") >= 40
-    return tops.withColumns({"margin": margin, "strong": strong}).withColumn("confidence", confidence(F.col("top"), F.col("margin"), F.col("strong"), F.lit(True))).drop("strength")
 
+def score_rows(rows: DataFrame) -> DataFrame:
+    """(id, rank, category, domain, keyword, title, content, total) of each record's scores."""
+    found = rows.select("id", F.posexplode("scores").alias("rank", "s"))
+    return found.select("id", (F.col("rank") + 1).alias("rank"), *[F.col(f"s.{x}").alias(x) for x in ("category", "domain", "keyword", "title", "content", "total")])
 
-def root_support(scored: DataFrame) -> DataFrame:
-    """Totals by root over a record's eight best rules of at least max(10, 0.7 * MIN_SCORE), and each root's share of them."""
-    kept = ranked(scored).where((F.col("rank") <= 8) & (F.col("total") >= max(10, 0.7 * lexicon.MIN_SCORE)))
-    roots = kept.groupBy("id", text.category_root(F.col("category")).alias("root")).agg(F.round(F.sum("total"), 2).alias("total"))
-    share = F.col("total") / F.sum("total").over(Window.partitionBy("id"))
-    return roots.withColumn("support", F.round(share, 4))
 
+def raw_confidence(scores: Column, options: Options = Options()) -> Column:
+    """0.55 for the best total against the threshold, 0.25 for its margin over 20, 0.2 for strong evidence."""
+    top, second = F.coalesce(F.get(scores, 0)["total"], F.lit(0.0)), F.coalesce(F.get(scores, 1)["total"], F.lit(0.0))
+    value = 0.55 * F.least(top / max(float(options.confirm), 1.0), F.lit(1.0)) + 0.25 * F.least(F.greatest(top - second, F.lit(0.0)) / 20.0, F.lit(1.0)) + F.when(strong(F.get(scores, 0)), 0.2).otherwise(0.0)
+    return F.when(F.size(scores) == 0, F.lit(0.0)).otherwise(F.bround(F.least(value, F.lit(1.0)), 3))
 
-def decide(records: DataFrame, found: DataFrame) -> DataFrame:
-    """The category of each record after review caps, ambiguity between roots and the confidence floor, why it needs confirmation, and its bucket.
 
-    Records have id and review_required; ``found`` is what `best` returns.
-    """
-    rows = records.select("id", "review_required").join(found, "id", "left")
-    top, raw = F.coalesce("top", F.lit(0.0)), F.coalesce("confidence", F.lit(0.0))
-    strong = F.coalesce("strong", F.lit(False))
-    preserved = F.col("review_required") & (raw >= lexicon.AUTO_CONFIDENCE) & (top >= lexicon.CONFIRM_THRESHOLD) & strong
-    capped = F.when(F.col("review_required") & ~preserved, F.least(raw, F.lit(0.45))).otherwise(raw)
-    ambiguous = (
-        (text.category_root(F.col("category")) != text.category_root(F.col("second_category")))
-        & (F.col("margin") <= lexicon.ROOT_MARGIN) & (F.col("second") >= lexicon.MIN_SCORE)
-    )
-    ambiguous = F.coalesce(ambiguous, F.lit(False))
-    final = F.when(ambiguous, F.least(capped, F.lit(0.54))).otherwise(capped)
-    rows = rows.withColumns({"ambiguous": ambiguous, "final_confidence": F.round(final, 3), "topped": top, "strong": strong})
-    category = F.when(F.col("final_confidence") < lexicon.AUTO_CONFIDENCE, F.lit(lexicon.DEFAULT_CATEGORY)).otherwise(F.col("category"))
-    reasons = F.array_compact(F.array(
-        F.when(F.col("topped") == 0, F.lit("no_rule_match")), F.when((F.col("topped") > 0) & (F.col("topped") < lexicon.CONFIRM_THRESHOLD), F.lit("low_score")),
-        F.when((F.col("topped") > 0) & ~F.col("strong"), F.lit("weak_evidence")), F.when(F.col("ambiguous"), F.lit("cross_root_ambiguity")),
-        F.when(F.col("review_required"), F.lit("review_required")),
+def rule_candidates(scores: Column, limit: int = 5) -> Column:
+    return F.transform(F.slice(scores, 1, limit), lambda s: F.struct(
+        s["category"].alias("category"), text.category_root(s["category"]).alias("root"), text.category_leaf(s["category"]).alias("leaf"), s["total"].alias("total"), strong(s).alias("strong"), s["signals"].alias("signals"),
     ))
-    bucket = F.when(F.col("review_required"), "fetch_blocked").when(F.col("topped") == 0, "rule_gap").otherwise("low_confidence")
-    return rows.select("id", category.alias("category"), "final_confidence", "ambiguous", F.array_join(reasons, ",").alias("reasons"), bucket.alias("bucket"))
-
 
-def override(decided: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Assignments (id, category, confidence) replace the category; the higher confidence stays."""
-    given = assignments.select("id", F.col("category").alias("__category"), F.col("confidence").alias("__confidence"))
-    both = decided.join(given, "id", "left").withColumn("assigned", F.col("__category").isNotNull())
-    return both.withColumns({"category": F.coalesce("__category", "category"), "final_confidence": F.greatest("final_confidence", "__confidence")}).drop("__category", "__confidence")
 
+def rule_roots(scores: Column, options: Options = Options()) -> Column:
+    """Totals and their shares by root over the eight best rules of at least max(10, 0.7 * the least score), largest first."""
+    kept = F.transform(F.filter(F.slice(scores, 1, 8), lambda s: s["total"] >= max(10.0, 0.7 * options.min_score)), lambda s: F.struct(text.category_root(s["category"]).alias("root"), s["total"].alias("total")))
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda t, x: t + x["total"])
+    whole = add(kept)
+    sums = F.transform(F.array_distinct(F.transform(kept, lambda x: x["root"])), lambda r, n: F.struct((-add(F.filter(kept, lambda x: x["root"] == r))).alias("down"), n.alias("n"), r.alias("root")))
+    return F.transform(F.array_sort(sums), lambda x: F.struct(x["root"].alias("root"), F.bround(-x["down"], 2).alias("total"), F.bround(-x["down"] / whole, 4).alias("support")))
 
-def resource_type(records: DataFrame) -> DataFrame:
-    """The resource type with the most points, ties by first listed; 未知 without points.
 
-    Records have id, url, title and body.
-    """
-    host, path = urls.host(F.col("url")), F.lower(urls.part(F.trim("url"), 3))
-    text_all = F.lower(F.concat_ws(" ", "title", "body", "url"))
+def resource_type(rows: DataFrame, options: Options = Options()) -> DataFrame:
+    """Rows with ``resource_type`` (most points, ties by the evidence met first; 未知 without any) and ``resource_evidence``."""
+    c = F.col
+    path = F.lower(urls.part(F.trim(F.coalesce("url", F.lit(""))), 3))
+    said = F.filter(F.array("t_name", "t_title", "t_h1"), lambda t: t != "")
+    give = lambda where, kind, sign, matched, points: F.when(where, F.struct(F.lit(kind).alias("kind"), F.lit(sign).alias("signal"), F.lit(matched).alias("matched"), F.lit(points).alias("points")))
     cells = []
-    for n, (kind, (domains, paths, keywords, titles)) in enumerate(lexicon.RESOURCE_RULES.items()):
-        points = F.lit(0)
-        if kind != "仓库":
-            hits = [F.when(urls.has_suffix(host, d), 4).otherwise(0) for d in domains]
-            hits += [F.when(path.rlike(p), 3).otherwise(0) for p in paths]
-            hits += [F.when(text.has_keyword(text_all, k), 2).otherwise(0) for k in keywords]
-            hits += [F.when(F.col("title").rlike("(?i)" + t), 2).otherwise(0) for t in titles]
-            points = sum(hits[1:], hits[0])
+    for kind, (domains, paths, words, patterns) in options.resource_rules.items():
+        open_ = urls.repository_under(c("low_domain"), F.coalesce("url", F.lit(""))) if kind == "仓库" else F.lit(True)
+        if kind == "仓库":
+            cells.append(give(open_, kind, "repository_url", "path", 6))
         else:
-            hits = [F.when(text.has_keyword(text_all, k), 2).otherwise(0) for k in keywords] + [F.when(F.col("title").rlike("(?i)" + t), 2).otherwise(0) for t in titles]
-            points = F.when(urls.repository(F.col("url")), 6 + sum(hits[1:], hits[0])).otherwise(0)
-        if kind == "论文":
-            points = points + F.when(path.endswith(".pdf"), 3).otherwise(0)
-        cells.append(F.struct(points.alias("points"), F.lit(-n).alias("first"), F.lit(kind).alias("kind")))
-    top = F.array_max(F.array(*cells))
-    return records.select("id", F.when(top["points"] > 0, top["kind"]).otherwise("未知").alias("resource_type"), top["points"].alias("points"))
+            cells += [give(urls.has_suffix(c("low_domain"), d), kind, "domain", d, 4) for d in domains]
+        cells += [give(open_ & path.rlike("(?iu)" + p), kind, "url", p, 3) for p in paths]
+        cells += [give(open_ & F.array_contains("hit_all", k.lower()), kind, "keyword", k, 2) for k in words]
+        cells += [give(open_ & F.exists(said, _says((p,))), kind, "title", p, 2) for p in patterns]
+    cells.append(give(path.endswith(".pdf"), "论文", "extension", ".pdf", 3))
+    by_facet = F.transform("resource_facets", lambda f: F.struct(f.alias("kind"), F.lit("structured_facet").alias("signal"), f.alias("matched"), F.lit(5).alias("points")))
+    rows = rows.withColumn("evidence", F.concat(by_facet, F.array_compact(F.array(*cells))))
+    kinds = F.array_distinct(F.transform("evidence", lambda e: e["kind"]))
+    points = lambda k: F.aggregate(F.filter("evidence", lambda e: e["kind"] == k), F.lit(0), lambda t, e: t + e["points"])
+    rows = rows.withColumn("best", F.array_min(F.transform(kinds, lambda k, n: F.struct((-points(k)).alias("down"), n.alias("n"), k.alias("kind")))))
+    kind = F.coalesce("best.kind", F.lit(lexicon.UNKNOWN))
+    return rows.withColumns({"resource_type": kind, "resource_points": F.coalesce(-F.col("best.down"), F.lit(0)), "resource_evidence": F.filter("evidence", lambda e: e["kind"] == F.col("best.kind"))}).drop("evidence", "best")
+
+
+def labels(rows: DataFrame, options: Options = Options()) -> DataFrame:
+    """Rows with ``intent_labels`` and ``quality_signals``; needs scores and the resource type."""
+    c, o = F.col, options
+    has = lambda words: F.arrays_overlap("hit_all", _literals([w.lower() for w in words]))
+    intents = F.array_compact(F.array(*[F.when(has(words), F.lit(name)) for name, words in o.intent_rules.items()]))
+    listed = [F.when(urls.has_any_suffix(c("low_domain"), domains) | has(words), F.lit(name)) for name, (domains, words) in o.quality_rules.items()]
+    quiet = (F.length(F.trim("t_description")) < 20) & (F.length(F.trim(text.joined(c("t_site_profile"), c("t_site_profile_types")))) < 15)
+    signs = [
+        *listed,
+        F.when((c("resource_type") == "文档") & (c("low_domain").startswith("docs.") | F.contains(F.lower("t_url_path"), F.lit("/docs"))), F.lit(lexicon.OFFICIAL)),
+        F.when((c("resource_type") == "博客") & ~c("low_domain").isin("", "medium.com"), F.lit(lexicon.COMMUNITY)), F.when(quiet, F.lit(lexicon.POOR)),
+        F.when(F.get("scores", F.lit(0))["total"] >= max(o.confirm, o.min_score + 10), F.lit(lexicon.FREQUENT)),
+    ]
+    return rows.withColumns({"intent_labels": intents, "quality_signals": F.array_sort(F.array_distinct(F.array_compact(F.array(*signs))))})
+
+
+def homepage_only() -> Column:
+    """The page itself was not fetched, its site's homepage was: what the site says does not describe the page."""
+    return (F.col("fetch_status") != "success") & (F.col("homepage_fetch_status") == "success") & (F.col("homepage_source") == "fetched")
+
+
+def on_platform() -> Column:
+    host = F.when(F.col("domain") != "", F.col("domain")).otherwise(urls.host(F.coalesce("url", F.lit(""))))
+    return urls.generic_platform(F.lower(host))
+
+
+def _useful(rows: DataFrame, column: str, options: Options) -> DataFrame:
+    """Rows whose token is neither noisy, weak nor blocked."""
+    rows = rows.withColumn("k", text.token(F.col(column)))
+    blocked = text.normal_words(options.blocked_tokens)
+    bad = text.noisy_token(F.col("k"), F.col(column)) | F.col("k").isin(text.normal_words(lexicon.WEAK_TOKENS))
+    return rows.where(~(bad | F.col("k").isin(blocked) if blocked else bad)).drop("k")
+
+
+def open_topics(rows: DataFrame, rules: list[Rule], options: Options = Options()) -> DataFrame:
+    """(id, open_topics): topics that no rule names, from site, titles, keywords, path and host, each with points and sources.
+
+    A token gives 2 points in the site's profile, titles and the saved name, 1 elsewhere.  Points fall, then topics rise; the best
+    ``options.topics`` of each record.  On platforms and for pages known by their homepage alone, fewer sources count.
+    Needs ``topic_labels``, the record's own topics, which are left out.
+    """
+    c = F.col
+    cut = lambda x: F.when(c("platform"), text.leading_segment(c(x))).otherwise(c(x))
+    rows = rows.select(
+        "id", on_platform().alias("platform"), homepage_only().alias("home_only"), "t_site_profile", "t_title", "t_name", "t_keywords", "t_url_path",
+        F.regexp_replace(urls.part(F.trim(F.coalesce("url", F.lit(""))), 2), "^$", "").alias("authority"), F.transform("topic_labels", F.lower).alias("own"),
+    )
+    none = F.array().cast("array<string>")
+    sources = {
+        "site_profile": F.when(c("platform") | c("home_only"), none).otherwise(text.topic_tokens(c("t_site_profile"))), "title": text.topic_tokens(cut("t_title")), "name": text.topic_tokens(cut("t_name")),
+        "keywords": text.topic_tokens(c("t_keywords")), "url_path": text.topic_tokens(c("t_url_path")),
+        "domain": F.when(c("platform"), none).otherwise(F.filter(F.split("authority", r"\."), lambda s: F.length(s) > 2)),
+    }
+
+    def tag(m: int, k: str):
+        return lambda t, n: F.struct(F.lit(m).alias("m"), n.alias("n"), t.alias("t"), F.lit(k).alias("source"))
+
+    tagged = F.flatten(F.array(*[F.transform(v, tag(m, k)) for m, (k, v) in enumerate(sources.items())]))
+    found = rows.select("id", "platform", "own", F.explode(tagged).alias("x")).select("id", "platform", "own", F.struct("x.m", "x.n").alias("at"), F.btrim("x.t", F.lit("-_.")).alias("t"), "x.source")
+    found = found.withColumn("low", F.lower("t"))
+    known = sorted({p.lower() for r in rules for p in r.category.replace("-", "/").split("/") if p})
+    keep = (c("low") != "") & ~c("low").isin(*lexicon.TOPIC_STOPWORDS) & ((F.length("low") >= 4) | c("low").isin(*options.short_tokens)) & ~c("low").rlike(r"(?U)^\d+$")
+    keep = keep & ~c("low").isin(*known) if known else keep
+    platform_word = F.regexp_replace("low", "[^a-z0-9]+", "").isin(*lexicon.GENERIC_PLATFORM_TOKENS)
+    found = _useful(found.where(keep & ~(c("platform") & platform_word)), "low", options)
+    found = found.withColumn("label", text.title_case(c("t"))).where(~F.array_contains("own", F.lower("label")))
+    points = F.when(c("source").isin("site_profile", "title", "name"), 2).otherwise(1)
+    sums = found.groupBy("id", F.lower("label").alias("key")).agg(F.sum(points).alias("score"), F.min_by("label", "at").alias("topic"), F.array_sort(F.collect_set("source")).alias("sources"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(c("score").desc(), "topic"))
+    top = sums.withColumn("rank", rank).where(c("rank") <= options.topics)
+    return top.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "topic", F.col("score").cast("int").alias("score"), "sources"))), lambda x: F.struct(x["topic"].alias("topic"), x["score"].alias("score"), x["sources"].alias("sources"))).alias("open_topics"))
+
+
+def cluster_hints(rows: DataFrame, options: Options = Options()) -> DataFrame:
+    """(id, cluster_hints): six open topics, the site's name, tokens of six fields, roots and leaves of the three best rules; each once, the first ``options.hints``.
+
+    Needs ``open_topics`` and ``scores``.
+    """
+    c = F.col
+    cut = lambda x: F.when(c("platform"), text.leading_segment(c(x))).otherwise(c(x))
+    rows = rows.withColumns({"platform": on_platform(), "home_only": homepage_only()})
+    none = F.array().cast("array<string>")
+    site = F.trim(c("t_site_name"))
+    spoken = (site != "") & ~c("platform") & ~c("home_only") & ~text.source_like(site)
+    run = lambda x: text.topic_tokens(x, text.HINT_RUN)
+    good = F.filter(F.slice("scores", 1, 3), lambda s: s["total"] >= max(10.0, options.min_score * 0.7))
+    plain = {0: F.transform(F.slice("open_topics", 1, 6), lambda t: t["topic"]), 1: F.when(spoken, F.array(site)).otherwise(none), 8: F.flatten(F.transform(good, lambda s: F.array(text.category_root(s["category"]), text.category_leaf(s["category"]))))}
+    tokens = {2: F.when(c("home_only"), none).otherwise(run(c("t_brand_terms"))), 3: run(cut("t_name")), 4: run(cut("t_title")), 5: run(cut("t_h1")), 6: run(c("t_keywords")), 7: run(c("t_url_path"))}
+    tag = lambda n, v, token: F.transform(v, lambda t, m: F.struct(F.lit(n).alias("n"), m.alias("m"), t.alias("t"), F.lit(token).alias("token")))
+    parts = [tag(n, v, False) for n, v in plain.items()] + [tag(n, v, True) for n, v in tokens.items()]
+    found = rows.select("id", "platform", F.explode(F.flatten(F.array(*parts))).alias("x")).select("id", "platform", F.struct("x.n", "x.m").alias("at"), "x.token", F.when(c("x.token"), F.btrim("x.t", F.lit("-_."))).otherwise(text.clean(c("x.t"))).alias("t"))
+    low = F.lower("t")
+    word = (low != "") & ~low.isin(*lexicon.TOPIC_STOPWORDS) & ~low.rlike(r"(?U)^\d+$") & ((F.length("t") >= 4) | low.isin(*options.short_tokens))
+    found = _useful(found.where((c("t") != "") & (~c("token") | word)), "t", options)
+    found = found.withColumn("hint", F.when(c("token"), text.title_case(c("t"))).otherwise(c("t")))
+    found = found.where(~(c("platform") & F.regexp_replace(F.lower("hint"), "[^a-z0-9]+", "").isin(*lexicon.GENERIC_PLATFORM_TOKENS)))
+    once = found.groupBy("id", F.lower("hint").alias("key")).agg(F.min("at").alias("at"), F.min_by("hint", "at").alias("hint"))
+    top = once.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("at"))).where(c("rank") <= options.hints)
+    return top.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "hint"))), lambda x: x["hint"]).alias("cluster_hints"))
+
+
+def assignments_for(records: DataFrame, assignments: DataFrame) -> DataFrame:
+    """(id, a_category, a_confidence, a_cluster) by canonical identity, else by the link's letters and digits alone (the first such entry).
+
+    Assignments have identity, category, confidence (a number) and source_cluster_id; ``ord`` is their order, if given.
+    """
+    order = F.col("ord") if "ord" in assignments.columns else F.col("identity")
+    given = assignments.select("identity", F.struct(F.col("category").alias("a_category"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))).alias("a_confidence"), F.col("source_cluster_id").alias("a_cluster")).alias("a"), order.alias("o"))
+    loose = given.groupBy(text.token(F.col("identity")).alias("loose")).agg(F.min_by("a", "o").alias("b"))
+    keyed = records.select("id", "canonical_identity", text.token(F.coalesce("url", F.lit(""))).alias("loose"))
+    both = keyed.join(given.select(F.col("identity").alias("canonical_identity"), "a"), "canonical_identity", "left").join(loose, "loose", "left")
+    return both.select("id", F.coalesce("a", "b").alias("x")).where("x is not null").select("id", "x.*")
 
 
-def labels(records: DataFrame) -> DataFrame:
-    """Intent labels and community or official signals by keywords; records have id, domain and body."""
-    intents = F.array_compact(F.array(*[F.when(text.keyword_hits(F.col("body"), words) > 0, F.lit(name)) for name, words in lexicon.INTENT_RULES.items()]))
-    signals = F.array_compact(F.array(*[F.when(urls.has_any_suffix(F.col("domain"), domains) | (text.keyword_hits(F.col("body"), words) > 0), F.lit(name)) for name, (domains, words) in lexicon.QUALITY_RULES.items()]))
-    return records.select("id", F.array_join(intents, ",").alias("intents"), F.array_join(F.array_sort(signals), ",").alias("signals"))
+def classify(records: DataFrame, rules: list[Rule], options: Options = Options(), assignments: DataFrame | None = None) -> DataFrame:
+    """Records with signals, and their classification, evidence and lineage.
+
+    The order of the steps is part of the meaning: review cap or floor, assignment, ambiguity between roots, homepages known
+    by their whole text alone, then the default category below the confidence floor.  Records have unique ids.
+    """
+    c, o, lit = F.col, options, F.lit
+    none = F.array().cast("array<string>")
+    rows = labels(resource_type(scored(records, rules, o), o), o)
+    confident = F.transform(F.filter("scores", lambda s: s["total"] >= o.min_score), lambda s: s["category"])
+    rows = rows.withColumns({"primary_topics": F.slice(confident, 1, 2), "secondary_topics": F.slice(confident, 3, 3), "topic_labels": F.array_sort(F.array_distinct(F.slice(confident, 1, 5)))})
+    # written once: topics and hints read few of the columns, and nothing scores a text again
+    rows = written(rows)
+    topics = open_topics(rows, rules, o)
+    rows = rows.join(topics, "id", "left").withColumn("open_topics", F.coalesce("open_topics", F.array().cast("array<struct<topic:string,score:int,sources:array<string>>>")))
+    rows = written(rows)
+    rows = rows.join(cluster_hints(rows, o), "id", "left").withColumn("cluster_hints", F.coalesce("cluster_hints", none))
+    if assignments is None:
+        rows = rows.withColumns({"a_category": lit(None).cast("string"), "a_confidence": lit(None).cast("double"), "a_cluster": lit(None).cast("string")})
+    else:
+        rows = rows.join(assignments_for(records, assignments), "id", "left")
+    top, second = F.coalesce(F.get("scores", lit(0))["total"], lit(0.0)), F.coalesce(F.get("scores", lit(1))["total"], lit(0.0))
+    rows = rows.withColumns({
+        "top_score": top, "runner_up_score": second, "raw_confidence": raw_confidence(c("scores"), o), "strong_evidence": strong(F.get("scores", lit(0))),
+        "gated": c("review_required") & ~c("trusted_override"), "assigned": F.coalesce((F.trim("a_category") != "") & (c("a_confidence") >= o.auto), lit(False)),
+    })
+    sure = (c("raw_confidence") >= o.auto) & (c("top_score") >= max(o.min_score, o.confirm)) & c("strong_evidence")
+    limited = (F.coalesce("access_pattern", lit("")) == "access_limited") & (c("top_score") >= max(float(o.min_score), o.confirm * 0.7))
+    rows = rows.withColumn("review_topic_preserved", c("gated") & (F.size("scores") > 0) & (sure | limited))
+    capped = F.when(~c("gated"), c("raw_confidence")).when(c("review_topic_preserved"), F.greatest("raw_confidence", lit(o.auto))).otherwise(F.least("raw_confidence", lit(max(0.0, o.auto - 0.1))))
+    rows = rows.withColumns({
+        "capped": F.when(c("assigned"), F.greatest(capped, "a_confidence")).otherwise(capped), "review_penalty_applied": c("gated") & ~c("review_topic_preserved") & (capped != c("raw_confidence")),
+        "quality_signals": F.when(c("gated") & c("user_action_required"), F.array_sort(F.array_union("quality_signals", F.array(lit(lexicon.REVIEW_ROOT))))).otherwise(c("quality_signals")),
+    })
+    one, two = F.get("scores", lit(0)), F.get("scores", lit(1))
+    ambiguous = ~c("assigned") & (F.size("scores") > 1) & (text.category_root(one["category"]) != text.category_root(two["category"])) & (F.bround(c("top_score") - c("runner_up_score"), 6) <= o.margin) & (c("runner_up_score") >= o.min_score)
+    aggregate = ~c("assigned") & (F.size("scores") > 0) & (F.size("path_segments") == 0) & (one["domain"] == 0) & (one["title"] == 0)
+    rows = rows.withColumns({"cross_root_ambiguous": F.coalesce(ambiguous, lit(False)), "homepage_aggregate_only": F.coalesce(aggregate, lit(False))})
+    floor = F.when(c("cross_root_ambiguous") | c("homepage_aggregate_only"), F.least("capped", lit(max(0.0, o.auto - 0.01)))).otherwise(c("capped"))
+    rows = rows.withColumn("rule_confidence", F.bround(floor, 6)).withColumn("fallen", c("rule_confidence") < o.auto)
+    first = F.when(c("assigned"), F.trim("a_category")).otherwise(F.coalesce(F.get("primary_topics", lit(0)), lit(o.default)))
+    keep = lambda x, given: F.when(c("fallen"), none).when(c("assigned"), given).otherwise(c(x))
+    rows = rows.withColumn("category", F.when(c("fallen"), lit(o.default)).otherwise(first))
+    given = F.struct(F.trim("a_category").alias("category"), text.category_root(F.trim("a_category")).alias("root"), text.category_leaf(F.trim("a_category")).alias("leaf"), F.bround(F.greatest(lit(float(o.confirm)), "top_score"), 2).alias("total"), lit(True).alias("strong"), F.array(lit("llm_cluster_assignment")).alias("signals"))
+    candidates = rule_candidates(c("scores"))
+    rows = rows.withColumns({
+        "primary_topics": keep("primary_topics", F.array("category")), "secondary_topics": keep("secondary_topics", none), "topic_labels": keep("topic_labels", F.array("category")),
+        "rule_candidates": F.when(c("assigned"), F.concat(F.array(given), F.slice(F.filter(candidates, lambda x: x["category"] != c("category")), 1, 4))).otherwise(candidates),
+        "rule_roots": F.when(c("assigned"), F.array(F.struct(given["root"].alias("root"), given["total"].alias("total"), lit(1.0).alias("support")))).otherwise(rule_roots(c("scores"), o)),
+        "score": F.bround(F.when(c("assigned"), F.greatest("top_score", lit(float(o.confirm)))).otherwise(c("top_score")), 2),
+    })
+    rows = rows.withColumn("primary_topics", F.when((F.size("primary_topics") == 0) & (F.size("open_topics") == 0), F.array(lit(o.default))).otherwise(c("primary_topics")))
+    default, low, fetched, topical = c("category") == o.default, (c("top_score") < o.min_score) & ~c("assigned"), c("fetch_status").isin("", "success"), F.size("open_topics") > 0
+    reasons = {
+        "fetch_review_required": c("gated"), "default_category_fallback": default, "score_below_min": low, "low_rule_confidence": c("fallen"), "cross_root_score_ambiguity": c("cross_root_ambiguous"),
+        "homepage_aggregate_only": c("homepage_aggregate_only"), "open_topic_candidates_present": topical & ~c("assigned"), "fetch_limited_signal": ~fetched & default,
+        "rule_coverage_gap_on_successful_fetch": fetched & ~c("review_required") & default & topical,
+    }
+    bucket = F.when(c("review_required") & (c("fetch_status") != "success"), "fetch_blocked").when(default & ~c("review_required") & fetched & topical, "rule_gap").otherwise("low_confidence")
+    rows = rows.withColumns({
+        "needs_confirmation": default | low | c("fallen") | c("review_required"), "needs_confirmation_reasons": F.array_compact(F.array(*[F.when(w, lit(k)) for k, w in reasons.items()])),
+        "confirmation_bucket": bucket, "score_margin": F.bround(F.greatest(c("top_score") - c("runner_up_score"), lit(0.0)), 2),
+    })
+    return lineage(rows)
+
+
+def _field_map(fields: dict) -> Column:
+    return F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), _literals(v))])
+
+
+def lineage(rows: DataFrame) -> DataFrame:
+    """Rows with ``used_signal_fields``, ``used_signal_families`` and ``top_decision_drivers`` (four at most, in a fixed order)."""
+    c, lit = F.col, F.lit
+    fields_of = lambda signs, table: F.flatten(F.transform(signs, lambda s: F.coalesce(F.try_element_at(_field_map(table), s), F.array().cast("array<string>"))))
+    signs = F.flatten(F.transform(F.slice("scores", 1, 2), lambda s: s["signals"]))
+    by_resource = fields_of(F.transform("resource_evidence", lambda e: e["signal"]), lexicon.RESOURCE_FIELDS)
+    by_topic = fields_of(F.flatten(F.transform(F.slice("open_topics", 1, 3), lambda t: t["sources"])), lexicon.TOPIC_FIELDS)
+    some = lambda where, values: F.when(where, _literals(values)).otherwise(F.array().cast("array<string>"))
+    used = F.concat(
+        fields_of(signs, lexicon.SCORE_FIELDS), by_resource, by_topic, some(F.size("quality_signals") > 0, ("structure.resource_facets",)), _literals(lexicon.GATE_FIELDS), some(c("assigned"), ("identity.canonical_identity",)),
+    )
+    rows = rows.withColumn("used_signal_fields", F.array_sort(F.array_distinct(used)))
+    once = lambda x: F.array_sort(F.array_distinct(x))
+    driver = lambda where, name, summary, fields: F.when(where, F.struct(lit(name).alias("driver"), summary.cast("string").alias("summary"), once(fields).alias("signal_fields")))
+    best, topic = F.get("rule_candidates", lit(0)), F.get("open_topics", lit(0))
+    drivers = F.array_compact(F.array(
+        driver(c("assigned"), "llm_cluster_assignment", c("category"), _literals(("identity.canonical_identity",))),
+        driver(F.size("rule_candidates") > 0, "rule_category", F.concat(best["category"], lit(" ("), best["total"].cast("string"), lit(")")), fields_of(best["signals"], lexicon.SCORE_FIELDS)),
+        driver(F.size("resource_evidence") > 0, "resource_type", c("resource_type"), by_resource),
+        driver(F.size("open_topics") > 0, "open_topic_candidate", topic["topic"], fields_of(topic["sources"], lexicon.TOPIC_FIELDS)),
+        driver(c("review_required"), "review_gate", c("confirmation_bucket"), _literals(("health_access.fetch_status", "health_access.link_health", "health_access.review_required"))),
+    ))
+    return rows.withColumns({"used_signal_families": once(F.transform("used_signal_fields", lambda f: F.split_part(f, lit("."), lit(1)))), "top_decision_drivers": F.slice(drivers, 1, 4)})
+
+
+def to_confirm(classified: DataFrame, options: Options = Options()) -> DataFrame:
+    """Records that a person should look at: those that need it and have a category or an open topic."""
+    return classified.where(F.col("needs_confirmation") & ((F.col("category") != options.default) | (F.size("open_topics") > 0)))
+
+
+def confirmation_report(classified: DataFrame, options: Options = Options()) -> DataFrame:
+    """What is shown of records to confirm, in input order."""
+    rows = to_confirm(classified, options)
+    return rows.orderBy("ord").select(
+        "id", "name", "url", "primary_topics", "resource_type", "score", "fetch_status", "confirmation_bucket", "needs_confirmation_reasons", F.slice("open_topics", 1, 3).alias("open_topics"),
+        "top_decision_drivers", "review_required", F.col("reason_label").alias("review_category"),
+    )
+
+
+def low_confidence_items(classified: DataFrame, limit: int = 100) -> DataFrame:
+    """The first ``limit`` records that need confirmation, in input order (a report)."""
+    rows = classified.where("needs_confirmation").orderBy("ord").limit(limit)
+    return rows.select("id", "name", "url", "score", "fetch_status", "confirmation_bucket", "needs_confirmation_reasons", "primary_topics", F.slice("open_topics", 1, 3).alias("open_topics"))
 
 
-def open_topics(records: DataFrame, known: tuple[str, ...], limit: int = 8) -> DataFrame:
-    """Topics that no rule names: tokens of title (2 points each) and body (1 point), the best ``limit`` by record.
+def counters(classified: DataFrame, options: Options = Options()) -> DataFrame:
+    """(kind, value, records): distributions of categories and kinds, reasons and buckets of what needs confirmation, used fields and families, and of the default category by fetch status.
 
-    Points fall, topics rise; records have id, title and body.  Counts are combined before the
-    shuffle by record and token, so long texts send each token once.
+    One pass: each record's cells are combined before the shuffle.
     """
-    weighted = F.concat(F.transform(text.topic_tokens(F.col("title")), lambda t: F.struct(t.alias("t"), F.lit(2).alias("w"))), F.transform(text.topic_tokens(F.col("body")), lambda t: F.struct(t.alias("t"), F.lit(1).alias("w"))))
-    rows = records.select("id", F.explode(weighted).alias("x")).select("id", F.lower(F.trim(F.col("x.t"), F.lit("-_."))).alias("topic"), "x.w")
-    rows = rows.where((F.length("topic") >= 4) & ~F.col("topic").isin(*lexicon.TOPIC_STOPWORDS, *known))
-    sums = rows.groupBy("id", "topic").agg(F.sum("w").alias("score"))
-    sums = sums.where(~text.noisy(F.col("topic")) & ~text.weak(F.col("topic")))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "topic"))
-    return sums.withColumn("rank", rank).where(F.col("rank") <= limit)
+    c = F.col
+    cell = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    needs = lambda xs: F.when(c("needs_confirmation"), xs).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
+    tidy = F.concat(F.when(c("fetch_status") == "", "unknown").otherwise(c("fetch_status")), F.lit("|review="), F.when(c("review_required"), "True").otherwise("False"))
+    cells = F.concat(
+        F.array(cell("category", c("category")), cell("resource_type", c("resource_type"))), needs(F.transform("needs_confirmation_reasons", lambda r: cell("reason", r))),
+        needs(F.array(cell("bucket", c("confirmation_bucket")))), F.transform("used_signal_families", lambda f: cell("family", f)), F.transform("used_signal_fields", lambda f: cell("field", f)),
+        F.when(c("category") == options.default, F.array(cell("tidy", tidy))).otherwise(F.array().cast("array<struct<kind:string,value:string>>")),
+    )
+    return classified.select(F.explode(cells).alias("c")).groupBy("c.kind", "c.value").agg(F.count(F.lit(1)).alias("records"))
+
+
+def uncovered_topics(classified: DataFrame, limit: int = 20) -> DataFrame:
+    """Topics among records' three best open ones by their points over all records, ties by first appearance (a report)."""
+    rows = classified.select("ord", F.posexplode(F.slice("open_topics", 1, 3)).alias("n", "t")).groupBy(F.col("t.topic").alias("topic")).agg(F.sum("t.score").alias("score"), F.min(F.struct("ord", "n")).alias("first"))
+    return rows.orderBy(F.col("score").desc(), "first").limit(limit).select("topic", "score")
