@@ -31,8 +31,8 @@ def reason(status: Column, status_code: Column, error: Column) -> Column:
 
 def access_pattern(status: Column, code: Column) -> Column:
     return (
-        F.when(status == "success", "public").when(code.isin("access_denied", "rate_limited"), "access_limited").when(code == "not_found", "missing")
-        .when(code == "server_error", "server_error").when(code.isin("timeout", "dns_connection", "certificate"), "transport_error").otherwise("unknown")
+        F.when(status == "success", "public").when(code.isin("access_denied", "rate_limited", "trusted_access"), "access_limited").when(code == "not_found", "missing")
+        .when(code == "server_error", "server_error").when(status.isin("timeout", "error"), "transport_error").otherwise("unknown")
     )
 
 
@@ -55,25 +55,39 @@ class TrustRule:
         self.suffixes, self.statuses, self.reasons = suffixes, statuses, reasons
 
 
+def trust_rules(policy: dict | None) -> list[TrustRule]:
+    """The rules of a policy document in the order they are tried: those of domains, which override the base's lists, then the base; none if it is off."""
+    policy = policy or {}
+    if not policy.get("enabled"):
+        return []
+    base = {k: policy.get(k, []) for k in ("http_statuses", "allow_reason_codes")}
+    rules = [base | r for r in policy.get("domain_rules", [])] + [base | {"domain_suffixes": policy.get("domain_suffixes", [])}]
+    return [TrustRule(tuple(r.get("domain_suffixes", ())), tuple(r["http_statuses"]), tuple(r["allow_reason_codes"])) for r in rules if r.get("domain_suffixes")]
+
+
 def apply_trust(rows: DataFrame, rules: list[TrustRule], host: str = "host") -> DataFrame:
-    """The first rule that a host matches decides: trusted rows get another reason and leave the review; raw values stay."""
-    matched = F.lit(None).cast("int")
+    """The first rule that a host matches decides: rows it allows are trusted, need no review nor the user, and count as limited; raw values stay."""
+    domain = F.btrim(F.lower(F.coalesce(host, F.lit(""))), F.lit("."))
+    matched, suffix = F.lit(None).cast("int"), F.lit(None).cast("string")
     for n, rule in reversed(list(enumerate(rules))):
-        matched = F.when(urls.has_any_suffix(F.col(host), rule.suffixes), F.lit(n)).otherwise(matched)
+        named = [F.btrim(F.lower(F.lit(s)), F.lit(".")) for s in rule.suffixes]
+        found = F.get(F.filter(F.array(*named), lambda s: urls.has_suffix(domain, s)), F.lit(0))
+        matched = F.when(found.isNotNull(), F.lit(n)).otherwise(matched)
+        suffix = F.when(found.isNotNull(), found).otherwise(suffix)
     allowed = F.lit(False)
     for n, rule in enumerate(rules):
         ok = F.lit(False)
         if rule.statuses:
-            ok = ok | F.col("status_code").isin(*rule.statuses)
+            ok = ok | F.coalesce(F.col("status_code").isin(*rule.statuses), F.lit(False))
         if rule.reasons:
             ok = ok | F.col("reason_code").isin(*rule.reasons)
         allowed = allowed | ((F.col("__rule") == n) & ok)
-    rows = rows.withColumn("__rule", matched).withColumn("trusted_override", F.coalesce(allowed & F.col("review_required"), F.lit(False)))
-    return rows.withColumns({
-        "raw_reason_code": F.col("reason_code"), "raw_review_required": F.col("review_required"),
-        "reason_code": F.when(F.col("trusted_override"), "trusted_access").otherwise(F.col("reason_code")),
-        "review_required": F.col("review_required") & ~F.col("trusted_override"),
-    }).drop("__rule")
+    rows = rows.withColumns({"__rule": matched, "__suffix": suffix}).withColumn("trusted_override", F.coalesce(allowed, F.lit(False)))
+    on = F.col("trusted_override")
+    kept = {"reason_code": F.lit("trusted_access"), "reason_label": F.lit(lexicon.REASON_LABELS["trusted_access"]), "access_pattern": F.lit("access_limited"), "review_required": F.lit(False), "user_action_required": F.lit(False), "user_action_label": F.lit("")}
+    raw = {f"raw_{x}": F.col(x) for x in ("reason_code", "reason_label", "review_required")}
+    rows = rows.withColumns(raw).withColumn("trusted_domain", F.when(on, F.col("__suffix")))
+    return rows.withColumns({k: F.when(on, v).otherwise(F.col(k)) for k, v in kept.items()}).drop("__rule", "__suffix")
 
 
 def longest_override(rows: DataFrame, overrides: DataFrame, host: str = "host") -> DataFrame:
@@ -93,7 +107,7 @@ def refetch(has_cache: Column, review_required: Column, status: Column, force: b
 
 
 def cache_priority(status: Column, review_required: Column) -> Column:
-    return F.when(status == "success", 4).when(~review_required, 3).when(status == "broken", 2).otherwise(1)
+    return F.when(status == "success", 4).when(~review_required, 3).when(status == "broken", 2).when(status.isin("timeout", "error", "skipped"), 1).otherwise(0)
 
 
 def merge_cache(links: DataFrame, cache: DataFrame, key: str, *, force: bool = False) -> DataFrame:

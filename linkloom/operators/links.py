@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import urls
+from .skew import written
 
 
 def first_wins(links: DataFrame, key: str = "key", ord_col: str = "ord") -> DataFrame:
@@ -18,9 +19,44 @@ def first_wins(links: DataFrame, key: str = "key", ord_col: str = "ord") -> Data
 
 
 def duplicates(links: DataFrame, key: str = "key", ord_col: str = "ord", limit: int = 100) -> DataFrame:
-    """All but the first row of each key, in input order, at most ``limit`` (a report)."""
-    later = links.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(ord_col))).where("__n > 1").drop("__n")
-    return later.orderBy(ord_col).limit(limit)
+    """All but the first row of each key, in input order, at most ``limit`` (a report).
+
+    Rows are held against the smallest ``ord`` of any key, which are combined before the shuffle; a hot key's rows lie apart.
+    """
+    first = links.groupBy(key).agg(F.min(ord_col).alias(ord_col)).select(ord_col)
+    return links.join(first, ord_col, "left_anti").orderBy(ord_col).limit(limit)
+
+
+def numbered(links: DataFrame, prefix: str, ord_col: str = "ord") -> DataFrame:
+    """Links with ``id``, the prefix and their dense number from 0 by ``ord``.
+
+    Rows are sorted and written once; only each partition's number of rows reaches the driver, so no task numbers all rows.
+    """
+    number, part = "__n", "__p"
+    rows = written(links.orderBy(ord_col).withColumns({number: F.monotonically_increasing_id()})).withColumn(part, F.shiftright(number, 33))
+    counts = {r[part]: r["n"] for r in rows.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, so_far = [], 0
+    for p in sorted(counts):
+        before.append((p, so_far))
+        so_far += counts[p]
+    starts = links.sparkSession.createDataFrame(before, f"{part} long, __b long")
+    place = F.col("__b") + F.col(number).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(starts), part).withColumn("id", F.concat(F.lit(prefix), place.cast("string"))).drop(number, part, "__b")
+
+
+def parse_stats(links: DataFrame, duplicate_count: int | None = None) -> DataFrame:
+    """One row about kept links (domain, folder_path, copies, ord): links, duplicates, distinct domains, distinct folders as the walk up from a link meets them."""
+    c = F.col
+    rows = links.withColumn("suffixes", F.transform(F.sequence(F.lit(1), F.greatest(F.size("folder_path"), F.lit(1))), lambda n: F.array_join(F.slice("folder_path", n, F.size("folder_path")), "/")))
+    folders = rows.select(F.explode(F.when(F.size("folder_path") > 0, c("suffixes"))).alias("f")).agg(F.count_distinct("f").alias("total_folders"))
+    one = rows.agg(F.count(F.lit(1)).alias("total"), (F.sum("copies") - F.count(F.lit(1))).alias("duplicates"), F.count_distinct(F.nullif("domain", F.lit(""))).alias("unique_domains"))
+    return one.crossJoin(folders)  # one row each
+
+
+def top_folders(links: DataFrame, limit: int = 20) -> DataFrame:
+    """Whole folder paths by falling count, ties by first appearance; links without a folder don't count."""
+    rows = links.withColumn("folder", F.array_join("folder_path", "/")).where("folder <> ''")
+    return top_domains(rows, "folder", limit=limit)
 
 
 def top_domains(links: DataFrame, domain: str, ord_col: str = "ord", limit: int = 20) -> DataFrame:
@@ -30,11 +66,11 @@ def top_domains(links: DataFrame, domain: str, ord_col: str = "ord", limit: int
 
 
 def hotspots(first: DataFrame, final: DataFrame, key: str = "domain") -> DataFrame:
-    """Rows of either pass by domain with counts of both, missing ones 0; review falls, total falls, name rises."""
+    """Rows of either pass by key with counts of both, missing ones 0; most reviews of the final pass first, then most rows, then by key."""
     a = first.groupBy(key).agg(F.count(F.lit(1)).alias("primary_total"), F.count_if("review_required").alias("primary_review"))
     b = final.groupBy(key).agg(F.count(F.lit(1)).alias("final_total"), F.count_if("review_required").alias("final_review"))
     both = a.join(b, key, "full_outer").na.fill(0, ["primary_total", "primary_review", "final_total", "final_review"])
-    return both.withColumn("review_delta", F.col("final_review") - F.col("primary_review"))
+    return both.withColumn("review_delta", F.col("final_review") - F.col("primary_review")).orderBy(F.col("final_review").desc(), F.col("final_total").desc(), key)
 
 
 def homepage_fallback(pages: DataFrame, homepages: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""HTML in and out: link exports, page signals, the exported link tree.
+"""HTML in: link exports and page signals.
 
 HTML is not a regular language, so pages are read with the standard library's parser in Arrow batches.
 """
@@ -6,48 +6,43 @@ HTML is not a regular language, so pages are read with the standard library's pa
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions import lexicon, text
+from ..functions import lexicon, urls
+from ..operators import links
 
-SAMPLE_EXPORT = """<!DOCTYPE NETSCAPE-Bookmark-file-1><DL><p><DT><H3>Bookmarks Bar</H3><DL><p>
-<DT><H3>Languages</H3><DL><p><DT><A HREF="https://a.example.org/x" ADD_DATE="1710000000">A page</A>
-<DT><H3>Deep</H3><DL><p><DT><A HREF="https://a.example.org/y" ADD_DATE="1710000001" DESCRIPTION="about y">Y</A></DL><p></DL><p>
-<DT><A HREF="javascript:void(0)">no link</A><DT><A HREF="https://b.example.org/">B</A></DL><p></DL>"""
-SAMPLE = """<html lang="en"><head><title>T</title><meta name="description" content="D"><meta property="og:title" content="OG"><link rel="canonical" href="/c">
-<meta name="generator" content="gen 1"><script type="application/ld+json">{"@graph": [{"@type": "TechArticle", "headline": "H", "author": {"name": "N"}}]}</script></head>
-<body><nav>a b</nav><h1>One</h1><h2>Two</h2><main>main  text</main><pre><code class="language-python">x</code></pre></body></html>"""
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 class _Export(HTMLParser):
-    """Links with the folders whose lists are open around them; toolbar folders have no name."""
+    """Links with the folders whose lists are open around them; ignored folders have no name."""
 
-    def __init__(self):
+    def __init__(self, ignored: frozenset[str]):
         super().__init__(convert_charrefs=True)
-        self.rows, self.folders, self.pending, self.into, self.link = [], [], None, None, None
+        self.ignored, self.rows, self.folders, self.pending, self.into, self.link = ignored, [], [], None, None, None
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
+        a = {k: v or "" for k, v in attrs}
         if tag == "h3":
             self.into, self.pending = "h3", ""
         elif tag == "dl":
             self.folders.append(self.pending)
             self.pending = None
         elif tag == "a":
-            self.into, self.link = "a", {"url": a.get("href") or "", "name": "", "add_date": a.get("add_date") or "", "description": a.get("description") or a.get("desc") or "", "notes": a.get("notes") or ""}
+            self.into, self.link = "a", {"url": a.get("href", ""), "name": "", "add_date": a.get("add_date", ""), "icon": a.get("icon", ""), "description": a.get("description", "") or a.get("desc", ""), "notes": a.get("notes", "")}
 
     def handle_endtag(self, tag):
         if tag == "dl" and self.folders:
             self.folders.pop()
         elif tag == "a" and self.link is not None:
             if self.link["url"] and not self.link["url"].startswith("javascript:"):
-                path = [f.strip() for f in self.folders if f and f.strip() not in lexicon.TOOLBAR_FOLDERS]
+                path = [f.strip() for f in self.folders if f and f.strip() and f.strip() not in self.ignored]
                 self.rows.append(self.link | {"name": self.link["name"].strip(), "folder_path": path})
             self.link = None
         if tag in ("a", "h3"):
@@ -60,107 +55,193 @@ class _Export(HTMLParser):
             self.link["name"] += data
 
 
-def parse_exports(files: DataFrame) -> DataFrame:
-    """Links of (file_id, text) export files in order: (file_id, ord, url, name, add_date, description, notes, folder_path)."""
+_LINK = ["file_id", "ord", "url", "name", "add_date", "icon", "description", "notes", "folder_path"]
+
+
+def parse_exports(files: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """Links of (file_id, text) export files in order: (file_id, ord, url, name, add_date, icon, description, notes, folder_path).
+
+    Links without an address and scripts are left out.  ``ignored`` are names of folders that are no folders of the user, such as toolbars.
+    """
+    skip = frozenset(ignored)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for file_id, raw in zip(batch["file_id"], batch["text"]):
-                parser = _Export()
+                parser = _Export(skip)
                 parser.feed(raw or "")
                 rows += [{"file_id": file_id, "ord": n, **row} for n, row in enumerate(parser.rows)]
-            yield pd.DataFrame(rows, columns=["file_id", "ord", "url", "name", "add_date", "description", "notes", "folder_path"])
+            yield pd.DataFrame(rows, columns=_LINK)
+
+    return files.select("file_id", "text").mapInPandas(run, "file_id long, ord long, url string, name string, add_date string, icon string, description string, notes string, folder_path array<string>")
+
+
+def links_of(exports: DataFrame, prefix: str = "link_") -> DataFrame:
+    """Links of one export as records: normalised, the first of each kept and numbered, with their domain and the number of copies."""
+    rows = exports.withColumns({"key": urls.normalize(F.col("url"), True), "fetch_key": urls.normalize(F.col("url"))})
+    kept = links.first_wins(rows, "key")
+    host = F.lower(urls.part(F.col("fetch_key"), 2))
+    return links.numbered(kept.drop("key", "file_id").withColumn("domain", host), prefix)
+
+
+TEXT_LIMIT, NAV_LIMIT = 1500, 200
+#: Fields of a page, of one text each and of several.
+TEXTS = (
+    "title", "description", "keywords", "h1", "content_preview", "canonical_url", "lang", "og_title", "og_description", "og_site_name", "twitter_title", "twitter_description", "jsonld_title", "jsonld_description",
+    "jsonld_keywords", "published_at", "main_text_preview", "jsonld_article_body", "generator",
+)
+LISTS = ("jsonld_authors", "headings_h1", "headings_h2", "nav_text", "schema_types", "code_languages", "page_type_hints")
+PAGE = ", ".join([f"{f} string" for f in TEXTS] + [f"{f} array<string>" for f in LISTS])
+_META = {
+    ("name", "description"): "description", ("name", "keywords"): "keywords", ("name", "generator"): "generator", ("property", "og:title"): "og_title", ("property", "og:description"): "og_description",
+    ("property", "og:site_name"): "og_site_name", ("name", "twitter:title"): "twitter_title", ("name", "twitter:description"): "twitter_description",
+}
+_BLOCKS = {"title", "h1", "h2", "nav", "main", "article", "body"}
+_CODE = re.compile(r"(?:language|lang)-([A-Za-z0-9_+#.-]+)")
+
+
+def _clean(value) -> str:
+    return " ".join(str(value or "").split())
+
 
-    return files.select("file_id", "text").mapInPandas(run, "file_id long, ord long, url string, name string, add_date string, description string, notes string, folder_path array<string>")
+def _once(values) -> list[str]:
+    return list(dict.fromkeys(v for v in map(_clean, values) if v))
 
 
 class _Page(HTMLParser):
+    """The texts of a page by the block they are in; of each kind of block every one on its own."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open, self.text, self.meta, self.lang, self.canonical, self.code, self.ld = [], {}, {}, "", "", [], []
+        self.open, self.blocks, self.meta, self.lang, self.canonical, self.code, self.ld = [], [], {}, None, None, [], []
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
-        if tag == "html":
-            self.lang = a.get("lang", "")
+        if tag == "html" and self.lang is None:
+            self.lang = _clean(a.get("lang", ""))
         elif tag == "meta":
-            self.meta.setdefault(a.get("property") or a.get("name") or "", a.get("content", ""))
-        elif tag == "link" and a.get("rel", "").lower() == "canonical":
+            for attribute in ("name", "property"):
+                field = _META.get((attribute, a.get(attribute)))
+                if field:
+                    self.meta.setdefault(field, _clean(a.get("content", "")))
+        elif tag == "link" and "canonical" in a.get("rel", "").lower() and self.canonical is None:
             self.canonical = a.get("href", "")
         elif tag in ("code", "pre"):
-            self.code += [c.split("-", 1)[1] for c in a.get("class", "").split() if c.startswith(("language-", "lang-"))]
+            self.code += [m.group(1) for c in a.get("class", "").split() if (m := _CODE.search(c))]
         if tag not in _VOID:
-            self.open.append("ld" if tag == "script" and "ld+json" in a.get("type", "") else tag)
+            block = {"tag": tag, "texts": []} if tag in _BLOCKS else None
+            if block:
+                self.blocks.append(block)
+            self.open.append(("ld" if tag == "script" and a.get("type") == "application/ld+json" else tag, block))
+            if self.open[-1][0] == "ld":
+                self.ld.append("")
 
     def handle_endtag(self, tag):
         for n in range(len(self.open) - 1, -1, -1):
-            if self.open[n] == tag or (tag == "script" and self.open[n] == "ld"):
+            if self.open[n][0] == tag or (tag == "script" and self.open[n][0] == "ld"):
                 del self.open[n:]
                 break
 
     def handle_data(self, data):
-        if self.open and self.open[-1] == "ld":
-            self.ld.append(data)
-        elif not {"script", "style"} & set(self.open):
-            for tag in set(self.open) & {"title", "h1", "h2", "nav", "main", "article", "body"}:
-                self.text.setdefault(tag, []).append(data)
+        if self.open and self.open[-1][0] == "ld":
+            self.ld[-1] += data
+        elif data.strip() and not any(tag in ("script", "style") for tag, _ in self.open):
+            for _, block in self.open:
+                if block:
+                    block["texts"].append(data.strip())
+
+    def all(self, tag: str, between: str = " ") -> list[str]:
+        return [_clean(between.join(b["texts"])) for b in self.blocks if b["tag"] == tag]
+
+    def first(self, tag: str, between: str = " ") -> str:
+        return next(iter(self.all(tag, between)), "")
+
 
-    def said(self, tag: str) -> str:
-        return " ".join(" ".join(self.text.get(tag, [])).split())
+class _Feed(_Page):
+    """An XML document: names keep no HTML meaning beyond title and description."""
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "title":
+            self.blocks.append({"tag": "title", "texts": []})
+            self.open.append((tag, self.blocks[-1]))
+        elif tag not in ("meta", "html"):
+            self.open.append((tag, None))
+
+
+def text_list(value) -> list[str]:
+    """Texts out of a JSON value: strings part at commas, semicolons, slashes and bars; lists item by item; objects by their name, headline, title or text."""
+    if isinstance(value, str):
+        return _once([p for p in re.split(r"[,;/|]", value) if p.strip()] or [value])
+    if isinstance(value, list):
+        return _once(t for item in value for t in text_list(item))
+    if isinstance(value, dict):
+        return text_list(value.get("name") or value.get("headline") or value.get("title") or value.get("text"))
+    return []
 
 
-def _nodes(value) -> Iterator[dict]:
-    """Every dictionary of a JSON value, at any depth."""
+def json_nodes(value) -> Iterator[dict]:
+    """Every object of a JSON value, at any depth, outer ones first."""
     if isinstance(value, dict):
         yield value
         for v in value.values():
-            yield from _nodes(v)
+            yield from json_nodes(v)
     elif isinstance(value, list):
         for v in value:
-            yield from _nodes(v)
+            yield from json_nodes(v)
 
 
-def _page(url: str, raw: str) -> dict:
-    p = _Page()
-    p.feed(raw or "")
-    nodes = []
-    for block in p.ld:
+def _structured(blocks: list[str]) -> dict[str, list[str]]:
+    """What the objects of structured data say, each text once, in their order."""
+    found: dict[str, list[str]] = {k: [] for k in ("types", "titles", "descriptions", "keywords", "authors", "dates", "bodies")}
+    for block in blocks:
         try:
-            nodes += list(_nodes(json.loads(block)))
+            payload = json.loads(_clean(block))
         except ValueError:
             continue
-    types = [t for n in nodes for t in (n.get("@type") if isinstance(n.get("@type"), list) else [n.get("@type")]) if isinstance(t, str)]
-    headline = next((n[k] for n in nodes for k in ("headline", "name", "title") if isinstance(n.get(k), str) and n[k]), "")
-    return {
-        "title": p.meta.get("og:title") or p.meta.get("twitter:title") or headline or p.said("title") or p.said("h1"),
-        "description": p.meta.get("og:description") or p.meta.get("twitter:description") or p.meta.get("description", ""),
-        "canonical_url": urljoin(url, p.canonical) if p.canonical else "", "lang": p.lang, "h1": p.said("h1"), "h2": p.said("h2"), "nav": p.said("nav"),
-        "main_text": (p.said("main") or p.said("article") or p.said("body"))[:1500], "generator": p.meta.get("generator", ""), "schema_types": types, "code_languages": list(dict.fromkeys(p.code)),
+        for node in json_nodes(payload):
+            kind = node.get("@type")
+            found["types"] += [str(k) for k in (kind if isinstance(kind, list) else [kind]) if k]
+            for name, keys in (("titles", ("headline", "name", "title")), ("descriptions", ("description", "abstract")), ("keywords", ("keywords",)), ("authors", ("author", "creator")), ("dates", ("datePublished", "dateCreated"))):
+                found[name] += text_list(next((node[k] for k in keys if node.get(k)), None))
+            body = _clean(node.get("articleBody") or node.get("text"))
+            found["bodies"] += [body[:TEXT_LIMIT]] if body else []
+    return {k: _once(v) for k, v in found.items()}
+
+
+def _page(url: str, raw: str, content_type: str | None = None) -> dict:
+    page = _Feed() if "xml" in (content_type or "").lower() and "xhtml" not in (content_type or "").lower() else _Page()
+    page.feed(raw or "")
+    said = _structured(page.ld)
+    first = lambda values: next(iter(values), "")
+    main = first(page.all("main") or page.all("article") or page.all("body"))
+    out = dict.fromkeys(TEXTS, "") | page.meta | {
+        "title": page.first("title", ""), "h1": page.first("h1", ""), "content_preview": page.first("body")[:TEXT_LIMIT], "lang": page.lang or "", "main_text_preview": main[:TEXT_LIMIT],
+        "canonical_url": urljoin(url or "", page.canonical) if page.canonical else "", "jsonld_title": first(said["titles"]), "jsonld_description": first(said["descriptions"]),
+        "jsonld_keywords": ", ".join(said["keywords"]), "jsonld_authors": said["authors"], "published_at": first(said["dates"]), "jsonld_article_body": first(said["bodies"]), "schema_types": said["types"],
+        "headings_h1": _once(page.all("h1")), "headings_h2": _once(page.all("h2")), "nav_text": _once(t[:NAV_LIMIT] for t in page.all("nav")), "code_languages": _once(page.code),
     }
+    texts = [out[k] for k in ("title", "description", "og_title", "og_description", "twitter_title", "twitter_description", "jsonld_title", "jsonld_description", "jsonld_article_body", "main_text_preview")]
+    texts += [*out["headings_h1"], *out["headings_h2"], *out["schema_types"], out["generator"], *out["code_languages"]]
+    hay = " ".join(_clean(t).lower() for t in texts if t)
+    try:
+        path = "/".join(p for p in urlsplit(url or "").path.split("/") if p).lower()
+    except ValueError:
+        path = ""
+    out["page_type_hints"] = [kind for kind, words in lexicon.PAGE_TYPES.items() if any(w in hay or w in path for w in words)]
+    return out
 
 
 def page_signals(pages: DataFrame) -> DataFrame:
-    """Signals of (page_id, url, html): titles, description, canonical link, headings, main text, structured data."""
-    fields = ("title", "description", "canonical_url", "lang", "h1", "h2", "nav", "main_text", "generator")
-    schema = "page_id long, " + ", ".join(f"{f} string" for f in fields) + ", schema_types array<string>, code_languages array<string>"
+    """(page_id, and the fields of `PAGE`) of (page_id, url, html) pages; a column content_type, if there is one, tells XML from HTML.
+
+    Null pages are empty; what cannot be read as structured data is passed over.
+    """
+    typed = F.col("content_type") if "content_type" in pages.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([{"page_id": i, **_page(u, h)} for i, u, h in zip(batch["page_id"], batch["url"], batch["html"])], columns=["page_id", *fields, "schema_types", "code_languages"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, schema)
+            rows = [{"page_id": i, **_page(u, h, t)} for i, u, h, t in zip(batch["page_id"], batch["url"], batch["html"], batch["content_type"])]
+            yield pd.DataFrame(rows, columns=["page_id", *TEXTS, *LISTS])
 
-
-def lines(links: DataFrame) -> DataFrame:
-    """The export's lines in order: (folder, place, line) of (id, url, name, folder); folders by falling size, links by name.
-
-    Lines carry their order, so a sorted write gives the file without gathering rows in one task.
-    """
-    w = Window.partitionBy("folder")
-    item = F.format_string('        <DT><A HREF="%s">%s</A>', text.escape_html(F.col("url")), text.escape_html(F.col("name")))
-    rows = links.withColumn("place", F.row_number().over(w.orderBy("name", "id"))).select("folder", "place", item.alias("line"))
-    sizes = links.groupBy("folder").agg(F.count(F.lit(1)).alias("size"))
-    head = sizes.select("folder", F.lit(0).alias("place"), F.format_string("    <DT><H3>%s (%d)</H3><DL><p>", text.escape_html(F.col("folder")), F.col("size")).alias("line"))
-    tail = sizes.select("folder", (F.col("size") + 1).cast("int").alias("place"), F.lit("    </DL><p>").alias("line"))
-    return head.unionByName(rows).unionByName(tail)
+    return pages.select("page_id", "url", "html", typed.alias("content_type")).mapInPandas(run, f"page_id long, {PAGE}")
