@@ -9,6 +9,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: dict = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make):
+    """What ``make`` gives, made once for a session and input: tables that several queries read are written once, like a stage's output."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
 def sql_in(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 

@@ -1,218 +1,270 @@
-"""Queries on clusters, trees and the taxonomy loop."""
+"""Queries on clusters, trees and the taxonomy loop.
+
+Page queries run on what pages say.  Where DuckDB cannot express a page's features, the same operators also run on suppliers, whose
+features are made of their names, nations and numbers in both engines alike.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import lexicon, text, urls
-from ..operators import clusters, rules, taxonomy, trees
-from .classify import DECIDE_SQL, TAXONOMY, TOKEN_RE, _norm, records
-from .common import host_sql, table
-
-#: Tokens that most pages share would put all pages into one block.
-COMMON = ("and", "der", "die", "das", "the", "les", "des", "que", "los", "del", "und", "con", "est", "ist")
-
-
-def features(spark, sf_dir) -> DataFrame:
-    """Features of pages: site, first path segment as topic and kind, title tokens, path tokens as hints."""
-    p = table(spark, sf_dir, "pages")
-    title = F.lower(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    tokens = F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(title, F.lit("[a-z]{4,}"), 0), lambda t: ~t.isin(*COMMON))))
-    segments = urls.path_segments(F.col("url"))
-    first = F.coalesce(F.get(segments, 0), F.lit(""))
-    return p.select(F.col("page_id").alias("id"), urls.host(F.col("url")).alias("domain"), F.concat(F.lit("t"), (F.col("page_id") % 40).cast("string")).alias("topic"), first.alias("kind"), tokens.alias("tokens"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", segments)), F.lit("[a-z]{3,}"), 0))).alias("hints"))
-
-
-TITLE = "lower(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))"
-COMMON_SQL = ", ".join(f"'{w}'" for w in COMMON)
-PATH_SQL = r"regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/?#]*)?([^?#]*)', 1)"
-FEATURES_SQL = f"""SELECT page_id AS id, {host_sql()} AS domain, 't' || (page_id % 40) AS topic, coalesce([x FOR x IN string_split({PATH_SQL}, '/') IF x <> ''][1], '') AS kind,
-  list_sort(list_distinct([x FOR x IN regexp_extract_all({TITLE}, '[a-z]{{4,}}') IF x NOT IN ({COMMON_SQL})])) AS tokens,
-  list_sort(list_distinct(regexp_extract_all(lower(array_to_string([x FOR x IN string_split({PATH_SQL}, '/') IF x <> ''], ' ')), '[a-z]{{3,}}'))) AS hints FROM pages"""
-PAIRS_SQL = f"""WITH f AS ({FEATURES_SQL}), k AS (SELECT DISTINCT id, key FROM (SELECT id, 'domain:' || domain AS key FROM f UNION ALL SELECT id, 'primary:' || topic FROM f
-  UNION ALL SELECT id, 'hint:' || unnest(list_slice(hints, 1, 4)) FROM f UNION ALL SELECT id, 'token:' || unnest(list_slice(tokens, 1, 6)) FROM f))
-  SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.key = y.key AND x.id < y.id"""
+from ..operators import clusters, display, features, reports, rules, taxonomy, trees
+from ..operators.rules import Rule
+from ..operators.skew import top, written
+from .classify import saved_pages
+from .common import once, table
 
+#: A taxonomy in words of the pages.
+PAGE_TAXONOMY = [
+    Rule("语言/English", (), ("the", "of", "and"), ("^the ", " of ")), Rule("语言/Deutsch", (), ("der", "und", "nicht"), ("^der ",)), Rule("语言/Français", (), ("les", "des", "que"), ("^les? ",)),
+    Rule("语言/Español", (), ("los", "con", "una"), ("^los? ",)), Rule("噪声/Spam", ("spam-farm.example.org",), ("###", "%%%"), ("%%%",)),
+]
+SMALL = clusters.Options(min_cluster=4, discovery_min=2)
 
-def _j(x: str) -> str:
-    return f"round(CASE WHEN len(l.{x}) = 0 OR len(r.{x}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(l.{x}, r.{x}))::DOUBLE / len(list_distinct(list_concat(l.{x}, r.{x}))) END, 4)"
 
+def page_records(spark, sf_dir) -> DataFrame:
+    """Pages, classified."""
+    return rules.classify(saved_pages(spark, sf_dir), PAGE_TAXONOMY)
 
-SIMILAR_SQL = f"""WITH s AS (SELECT a, b, {_j('tokens')} AS text_score, {_j('hints')} AS hint_score, CASE WHEN l.domain = r.domain THEN 1.0::DOUBLE ELSE 0.0 END AS domain_score,
-  CASE WHEN l.kind = r.kind THEN 1.0::DOUBLE ELSE 0.0 END AS type_score FROM ({PAIRS_SQL}) p JOIN ({FEATURES_SQL}) l ON l.id = a JOIN ({FEATURES_SQL}) r ON r.id = b),
-  w AS (SELECT *, 0.35::DOUBLE * text_score + 0.20::DOUBLE * hint_score + 0.15::DOUBLE * domain_score + 0.05::DOUBLE * type_score AS raw FROM s)
-  SELECT a, b, text_score, hint_score, domain_score, type_score, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN hint_score < 0.2::DOUBLE AND text_score < 0.15::DOUBLE THEN raw * 0.6::DOUBLE ELSE raw END)) + 1e-9::DOUBLE, 4) AS score FROM w"""
 
+def page_features(spark, sf_dir) -> DataFrame:
+    """Written once: features, clusters and trees of pages are read by many queries."""
+    make = lambda: written(features.feature_sets(written(page_records(spark, sf_dir))).withColumns({"record": F.col("id"), "id": F.col("ord")}))
+    return once(spark, sf_dir, "page_features", make)
 
-def blocking_pairs(spark, sf_dir) -> DataFrame:
-    return clusters.candidate_pairs(features(spark, sf_dir))
 
+def page_clusters(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def make():
+        f = page_features(spark, sf_dir)
+        members = clusters.clusters(f, SMALL)
+        return f, members, written(clusters.profiles(members, f, SMALL))
 
-def pair_similarity(spark, sf_dir) -> DataFrame:
-    f = features(spark, sf_dir)
-    return clusters.similarity(clusters.candidate_pairs(f), f)
+    return once(spark, sf_dir, "page_clusters", make)
 
 
-def connected_components(spark, sf_dir) -> DataFrame:
-    scored = pair_similarity(spark, sf_dir)
-    return clusters.components(features(spark, sf_dir), scored.where(F.col("score") >= clusters.LINK))
+def feature_sets(spark, sf_dir) -> DataFrame:
+    """Rows only: the sets, primary topic and kind of each page; tested on literal records."""
+    f = page_features(spark, sf_dir)
+    return f.select("record", "topic", "kind", "registered", "confidence", *[F.array_join(x, " ").alias(x) for x in features.SETS])
 
 
-COMPONENTS_SQL = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM ({SIMILAR_SQL}) WHERE score >= 0.34::DOUBLE), g AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
-  reach AS (SELECT page_id AS id, page_id AS other FROM pages UNION SELECT reach.id, g.b FROM reach JOIN g ON g.a = reach.other) SELECT id, min(other) AS cluster FROM reach GROUP BY id"""
+def page_blocking_pairs(spark, sf_dir) -> DataFrame:
+    """Rows only: pairs of pages that share a key; ``blocking_pairs`` holds the rule against SQL."""
+    return clusters.candidate_pairs(page_features(spark, sf_dir))
 
 
-def page_features(spark, sf_dir) -> DataFrame:
-    """Full features of pages: all words of title, h1, description and keywords; path words as hints; rules, signals and types by ``TAXONOMY`` and the word lists.
-
-    Pages carry no time, so times is empty.
-    """
-    html = F.col("html")
-    meta = lambda name: F.regexp_extract(html, rf"(?is)<meta[^>]*name=[\"']{name}[\"'][^>]*content=[\"']([^\"']*)", 1)
-    plain = lambda c: text.clean(F.regexp_replace(c, r"(?s)<[^>]*>", " "))
-    host = urls.host(F.col("url"))
-    p = table(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("id"), "url", host.alias("domain"), urls.registrable(host).alias("registered"), plain(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"),
-        plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("h1"), meta("description").alias("description"), meta("keywords").alias("words"),
-        plain(F.regexp_extract(html, r"(?is)<article[^>]*>(.*?)</article>", 1)).alias("body"),
-    )
-    words = lambda *parts: F.array_sort(F.array_distinct(text.keywords(F.concat_ws(" ", *parts))))
-    generic = urls.generic_platform(F.col("registered"))
-    domain_tokens = words(F.replace(F.col("domain"), F.lit("."), F.lit(" ")))
-    path = words(F.array_join(urls.path_segments(F.col("url")), " "))
-    scored = rules.score_rules(p, TAXONOMY)
-    best = rules.best(scored).select("id", F.col("category").alias("top"), "confidence")
-    roots = rules.root_support(scored).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("root", F.when(F.col("support") > 0, F.col("support")).otherwise(F.col("total"))))).alias("roots"))
-    kinds = rules.resource_type(p).select("id", F.col("resource_type").alias("kind"))
-    quality = rules.labels(p).select("id", F.filter(F.split("signals", ","), lambda s: s != "").alias("quality"))
-    f = p.select("id", "domain", "registered", urls.normalize(F.col("url")).alias("canonical"), words("title", "h1", "description", "words").alias("tokens"), path.alias("path"), path.alias("hints"), domain_tokens.alias("domain_tokens"), F.when(generic, F.array().cast("array<string>")).otherwise(domain_tokens).alias("site"))
-    open_ = rules.open_topics(p, (), 4).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "topic"))), lambda x: x["topic"]).alias("open"))
-    tops = rules.ranked(scored).where("rank <= 3").groupBy("id").agg(F.concat_ws(" ", F.array_sort(F.collect_list("category"))).alias("categories"))
-    f = f.join(open_, "id", "left").join(tops, "id", "left").join(best, "id", "left").join(roots, "id", "left").join(kinds, "id").join(quality, "id")
-    twice = F.concat(F.array_sort(F.array_intersect("tokens", "path")), F.array_sort(F.array_except(F.array_union("tokens", "path"), F.array_intersect("tokens", "path"))))
-    primary = F.coalesce(F.when(F.col("confidence") >= 0.75, F.col("top")), F.get("open", 0), F.when(F.col("confidence") >= lexicon.AUTO_CONFIDENCE, F.col("top")), F.get("hints", 0), F.col("top"), F.lit("其他/未分类"))
-    return f.select(
-        "id", "domain", "registered", "canonical", "tokens", "path", "hints", "domain_tokens", "site", "kind", F.array("kind").alias("kinds"), "quality", F.array().cast("array<string>").alias("times"),
-        F.array_distinct(F.concat("hints", F.slice(twice, 1, 4), words(F.array_join(F.coalesce("open", F.array().cast("array<string>")), " ")), words(F.when(F.col("confidence") >= 0.6, F.col("categories"))))).alias("topics"), primary.alias("topic"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("roots", F.create_map().cast("map<string,double>")).alias("roots"),
-    )
+def page_similarity(spark, sf_dir) -> DataFrame:
+    """Rows only: all metrics of these pairs; ``pair_similarity`` holds the rule against SQL."""
+    f = page_features(spark, sf_dir)
+    return clusters.similarity(clusters.candidate_pairs(f), f)
 
 
-def page_blocking_pairs(spark, sf_dir) -> DataFrame:
-    """Rows only: pairs by all keys of the survey; ``blocking_pairs`` and its SQL have some of them."""
-    return clusters.candidate_pairs(page_features(spark, sf_dir), clusters.full_blocking_keys)
+def page_cluster_members(spark, sf_dir) -> DataFrame:
+    """Rows only: the cluster of each page."""
+    f, members, _ = page_clusters(spark, sf_dir)
+    return members.join(f.select("id", "record"), "id").select("record", "cluster")
 
 
-def page_similarity(spark, sf_dir) -> DataFrame:
-    """Rows only: all metrics and penalties; ``pair_similarity`` and its SQL have four of the parts."""
-    f = clusters.written(page_features(spark, sf_dir))
-    return clusters.full_similarity(clusters.candidate_pairs(f, clusters.full_blocking_keys), f)
+def page_profiles(spark, sf_dir) -> DataFrame:
+    """Rows only: label, reason, tokens and route of each cluster of pages."""
+    _, _, profiles = page_clusters(spark, sf_dir)
+    return profiles.select("cluster_order", "cluster_id", "size", "label", "label_basis", "destination_root", "rule_purity", "normal_support", F.array_join("route_reasons", ",").alias("reasons"), F.array_join("tokens", " ").alias("tokens"), "reason")
 
 
-def page_components(spark, sf_dir) -> DataFrame:
-    """Rows only: components of pages by the full score."""
-    return clusters.components(page_features(spark, sf_dir), page_similarity(spark, sf_dir).where(F.col("score") >= clusters.LINK))
+def _page_tree(spark, sf_dir):
+    def make():
+        f, members, profiles = page_clusters(spark, sf_dir)
+        sources = written(display.source_folders(profiles, members, f))
+        folders, shown = display.tree(spark, sources)
+        return f, members, profiles, sources, written(folders), written(shown)
 
+    return once(spark, sf_dir, "page_tree", make)
 
-def page_consistency(spark, sf_dir) -> DataFrame:
-    """Rows only: consistency of fixed clusters by full features and scores."""
-    return clusters.consistency(page_features(spark, sf_dir).withColumn("cluster", F.col("id") % 50), page_similarity(spark, sf_dir))
 
+def display_tree(spark, sf_dir) -> DataFrame:
+    """Rows only: the folders of the display tree of pages, in reading order."""
+    *_, folders, _ = _page_tree(spark, sf_dir)
+    return folders.select("node", "depth", F.array_join("path", "/").alias("path"), "direct", "records")
 
-def _members(spark, sf_dir) -> DataFrame:
-    """Fixed clusters to measure: pages by their site's first label."""
-    f = features(spark, sf_dir)
-    return f.withColumn("cluster", F.col("id") % 50)
 
+def export_html(spark, sf_dir) -> DataFrame:
+    """Rows only: the display tree as lines of an HTML export, in order."""
+    f, *_, folders, shown = _page_tree(spark, sf_dir)
+    return display.document(folders, shown, f, now=1_700_000_000)
 
-def cluster_consistency(spark, sf_dir) -> DataFrame:
-    return clusters.consistency(_members(spark, sf_dir), pair_similarity(spark, sf_dir))
 
+def quality_report(spark, sf_dir) -> DataFrame:
+    """Rows only: metrics, guardrails and verdict of a run over pages."""
+    f, _, profiles, sources, folders, shown = _page_tree(spark, sf_dir)
+    report = reports.quality_report(f, profiles, clusters.suggestions(profiles, SMALL), sources, folders, shown, SMALL)
+    return report.withColumns({"failed_guardrails": F.array_join("failed_guardrails", ","), "warnings": F.array_join("warnings", ",")})
 
-CONSISTENCY_SQL = f"""WITH m AS (SELECT *, id % 50 AS cluster FROM ({FEATURES_SQL})),
-  p AS (SELECT cluster, avg(text_score) AS pair_mean FROM (SELECT a % 50 AS cluster, text_score FROM ({SIMILAR_SQL}) WHERE a % 50 = b % 50) GROUP BY cluster),
-  t AS (SELECT cluster, max(n)::DOUBLE / sum(n) AS v FROM (SELECT cluster, topic, count(*) AS n FROM m GROUP BY ALL) GROUP BY cluster),
-  k AS (SELECT cluster, max(n)::DOUBLE / sum(n) AS v FROM (SELECT cluster, kind, count(*) AS n FROM m GROUP BY ALL) GROUP BY cluster),
-  d AS (SELECT cluster, max(n)::DOUBLE / sum(n) AS v FROM (SELECT cluster, domain, count(*) AS n FROM m GROUP BY ALL) GROUP BY cluster),
-  z AS (SELECT cluster, count(*) AS size FROM m GROUP BY cluster)
-  SELECT cluster, size, round(t.v, 4) AS topic_purity, round(d.v, 4) AS domain_purity, round(coalesce(pair_mean, 1.0::DOUBLE), 4) AS pair_mean,
-    round(CASE WHEN size = 1 THEN 1.0::DOUBLE ELSE 0.35::DOUBLE * t.v + 0.2::DOUBLE * k.v + 0.15::DOUBLE * d.v + 0.3::DOUBLE * coalesce(pair_mean, 1.0::DOUBLE) END, 3) AS consistency
-  FROM z JOIN t USING (cluster) JOIN k USING (cluster) JOIN d USING (cluster) LEFT JOIN p USING (cluster)"""
+
+def bootstrap_summaries(spark, sf_dir) -> DataFrame:
+    """Rows only: clusters of pages as an external taxonomy is asked about them."""
+    f, members, profiles = page_clusters(spark, sf_dir)
+    rows = reports.bootstrap(profiles, members, f)
+    return rows.select("cluster_id", "label", "size", F.array_join("tokens", " ").alias("tokens"), "generic_platform_share", F.size("identities").alias("identities"))
+
+
+def page_followup(spark, sf_dir) -> DataFrame:
+    """Rows only: bundles of pages that no rule settles."""
+    f, members, profiles = page_clusters(spark, sf_dir)
+    return reports.followup(profiles, members, f, SMALL).select("bundle_type", "bundle_id", "label", "bucket_name", "root_hint", "support", "generic_platform_share")
 
 
 def cluster_split(spark, sf_dir) -> DataFrame:
-    """Rows only: parts of inconsistent clusters by strong links (a component search within each)."""
-    scored, members = clusters.written(page_similarity(spark, sf_dir)), clusters.written(page_features(spark, sf_dir).select("id", "topic", "kind", "domain", (F.col("id") % 50).alias("cluster")))
-    return clusters.split(members, scored, clusters.consistency(members, scored))
+    """Rows only: parts of inconsistent clusters of pages by strong links (a component search within each)."""
+    f = page_features(spark, sf_dir)
+    pairs = written(clusters.candidate_pairs(f))
+    scored = written(clusters.similarity(pairs, f))
+    members = clusters.components(f, scored.where(F.col("score") >= clusters.LINK))
+    return clusters.split(members, scored, clusters.consistency(members, f, pairs))
+
+
+# ---- suppliers as feature sets ---------------------------------------------------------------------
+
+def suppliers(spark, sf_dir) -> DataFrame:
+    """Feature sets out of suppliers: words of their nation and region, and numbers of their key."""
+    c, k = F.col, F.col("s_suppkey")
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey"))
+    rows = table(spark, sf_dir, "supplier").join(n, c("s_nationkey") == c("n_nationkey")).withColumns({"n": F.lower("n_name"), "r": F.lower("r_name")})
+    tag = lambda p, m: F.concat(F.lit(p), (k % m).cast("string"))
+    site = F.when(c("n_nationkey") % 5 == 0, "github.com").otherwise(F.concat(F.lit("site"), (c("n_nationkey") % 10).cast("string"), F.lit(".org")))
+    none = F.array().cast("array<string>")
+    quality = F.when(k % 4 == 0, F.array(F.lit("官方"))).when(k % 4 == 1, F.array(F.lit("v"), F.lit("w"))).otherwise(none)
+    return rows.select(
+        k.alias("id"), F.array_sort(F.array_distinct(F.concat(F.split("n", " "), F.array(tag("k", 7))))).alias("tokens"), F.array_sort(F.array_distinct(F.array(F.split_part("r", F.lit(" "), F.lit(1)), tag("t", 5)))).alias("topics"),
+        F.array(tag("h", 6)).alias("hints"), F.array(tag("p", 9)).alias("path"), F.array(F.concat(F.lit("s"), (c("n_nationkey") % 4).cast("string"))).alias("site"),
+        F.array(F.concat(F.lit("d"), (c("n_nationkey") % 8).cast("string"))).alias("domain_tokens"), F.array(tag("k", 3)).alias("kinds"), tag("k", 3).alias("kind"), quality.alias("quality"), F.array(tag("w", 12), tag("y", 2)).alias("times"),
+        site.alias("registered"), F.when(k % 2 == 0, F.concat(F.lit("www."), site)).otherwise(site).alias("low_domain"), (c("n_nationkey") % 5 == 0).alias("platform"), F.when(k % 10 == 0, tag("c", 20)).otherwise("").alias("canonical"),
+        F.concat(F.lit("topic "), (k % 5).cast("string")).alias("topic"), ((k % 11) / 10.0).alias("confidence"), F.map_from_arrays(F.array(c("r"), tag("x", 3)), F.array(F.lit(0.6), F.lit(0.4))).alias("roots"),
+    )
 
 
-def cluster_merge_greedy(spark, sf_dir) -> DataFrame:
-    """Rows only: brands merged while their centroids of part names are similar; the clusters are few, the records are not collected."""
-    rows = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("tokens")).orderBy("p_brand").collect()
-    merged = clusters.merge_greedy([(n, r["tokens"]) for n, r in enumerate(rows)])
-    return spark.createDataFrame([(r["p_brand"], rows[merged[n]]["p_brand"]) for n, r in enumerate(rows)], "p_brand string, merged_into string")
+def blocking_pairs(spark, sf_dir) -> DataFrame:
+    return clusters.candidate_pairs(suppliers(spark, sf_dir))
+
+
+def pair_similarity(spark, sf_dir) -> DataFrame:
+    f = written(suppliers(spark, sf_dir))
+    rows = clusters.similarity(clusters.candidate_pairs(f), f)
+    return rows.select("a", "b", *[F.round(x, 6).alias(x) for x in ("topic_score", *clusters.WEIGHTS, "penalty", "score")])
+
+
+def connected_components(spark, sf_dir) -> DataFrame:
+    f = written(suppliers(spark, sf_dir))
+    return clusters.components(f, clusters.similarity(clusters.candidate_pairs(f), f).where(F.col("score") >= clusters.SPLIT))
+
+
+def cluster_consistency(spark, sf_dir) -> DataFrame:
+    f = written(suppliers(spark, sf_dir))
+    members = f.select("id", (F.col("id") % 12).alias("cluster"))
+    rows = clusters.consistency(members, f, clusters.candidate_pairs(f))
+    return rows.select("cluster", "size", *[F.round(x, 6).alias(x) for x in ("topic_purity", "kind_purity", "domain_share", "overlap", "consistency")])
 
 
 def centroid(spark, sf_dir) -> DataFrame:
-    f = _members(spark, sf_dir)
-    return f.groupBy("cluster").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hints")))), " ").alias("hints"), F.count(F.lit(1)).alias("size"))
+    f = written(suppliers(spark, sf_dir))
+    rows = clusters.centroids(f.select("id", (F.col("id") % 12).alias("cluster")), f)
+    roots = F.array_join(F.transform(F.array_sort(F.map_entries("roots")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"]))), ",")
+    return rows.select(F.col("id").alias("cluster"), "size", "topic", "kind", "low_domain", "registered", F.round("confidence", 3).alias("confidence"), roots.alias("roots"), *[F.array_join(x, " ").alias(x) for x in features.SETS])
 
 
-def cluster_profile_shares(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").withColumn("cluster", F.col("l_suppkey") % 20)
-    return clusters.shares(rows, "cluster", "l_linenumber").select("cluster", "l_linenumber", "n", "share", "rank")
-
-
-def _profiles(spark, sf_dir) -> DataFrame:
-    """Stand-in profiles out of order lines: a supplier is a cluster, the return flag its root."""
-    rows = table(spark, sf_dir, "lineitem")
-    root = F.when(F.col("l_returnflag") == "N", F.lit(lexicon.DEFAULT_CATEGORY)).otherwise(F.concat(F.lit("root "), F.col("l_returnflag")))
-    counts = rows.groupBy("l_suppkey", root.alias("root")).agg(F.count(F.lit(1)).alias("n"))
-    tops = counts.groupBy("l_suppkey").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("total"))
-    more = rows.groupBy("l_suppkey").agg(
-        F.count(F.lit(1)).alias("size"), F.round(F.avg("l_tax") * 8, 4).alias("average_confidence"), F.round(F.avg(F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0)), 4).alias("blocked_share"),
-        F.round(F.avg("l_discount") * 8, 4).alias("review_share"), F.round(F.avg(F.when(F.col("l_linenumber") > 3, 1.0).otherwise(0.0)), 4).alias("platform_share"), (F.max("l_quantity") > 48).alias("has_topic"),
+def cluster_merge_greedy(spark, sf_dir) -> DataFrame:
+    """Rows only: suppliers by nation, merged while their centroids are similar; tested against a plain version."""
+    f = written(suppliers(spark, sf_dir))
+    nation = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey")
+    first = nation.groupBy("s_nationkey").agg(F.min("id").alias("cluster"))
+    members = nation.join(first, "s_nationkey").select("id", "cluster", F.struct(F.col("cluster").alias("parent"), F.col("cluster").alias("own")).alias("place"))
+    return clusters.merge_similar(members, f).select("id", "cluster")
+
+
+# ---- order lines as records of clusters ------------------------------------------------------------
+
+def lines(spark, sf_dir) -> DataFrame:
+    """Order lines as classified records, their supplier as the cluster."""
+    c = F.col
+    number, flag = c("l_linenumber"), c("l_returnflag")
+    category = F.when(flag == "A", "alpha/one").when(flag == "R", "beta/two").when(number % 2 == 0, "gamma/其他").otherwise(lexicon.DEFAULT_CATEGORY)
+    root = F.when(flag == "A", "alpha").when(flag == "R", "beta").otherwise("gamma")
+    found = F.struct(root.alias("root"), c("l_quantity").cast("double").alias("total"), (0.25 * (number % 3)).alias("support"))
+    return table(spark, sf_dir, "lineitem").select(
+        c("l_suppkey").alias("cluster"), (c("l_orderkey") * 10 + number).alias("id"), category.alias("category"), F.when(number > 5, F.array()).otherwise(F.array(found)).alias("rule_roots"),
+        F.array(F.concat(F.lit("h"), (number % 3).cast("string")), F.concat(F.lit("g"), (c("l_partkey") % 5).cast("string"))).alias("cluster_hints"),
+        F.when(c("l_linestatus") == "F", "github.com").otherwise(F.concat(F.lit("s"), (c("l_partkey") % 3).cast("string"), F.lit(".example.org"))).alias("domain"), F.lit("").alias("url"),
+        (0.25 * (number % 4)).alias("rule_confidence"), (number == 7).alias("review_required"), F.when(number > 4, "fetch_blocked").when(number == 1, "rule_gap").otherwise("low_confidence").alias("confirmation_bucket"),
+        F.when(number == 7, "timeout").otherwise("success").alias("fetch_status"), (c("l_linestatus") == "F").alias("platform"),
     )
-    share = F.round(F.col("top.n") / F.col("total"), 4)
-    return tops.select("l_suppkey", F.col("top.root").alias("top_root"), share.alias("support"), share.alias("purity"), F.round(share - 0.3, 4).alias("margin")).join(more, "l_suppkey")
+
+
+def cluster_profile_shares(spark, sf_dir) -> DataFrame:
+    """Categories, hints, domains, roots and buckets of clusters, most frequent first, with their shares."""
+    rows = clusters.distributions(lines(spark, sf_dir))
+    kinds = {"root": "roots_found", "category": "categories", "hint": "hints_found", "domain": "domains", "bucket": "buckets"}
+    cells = F.concat(*[F.transform(F.col(v), _cell(k)) for k, v in kinds.items()])
+    return rows.select("cluster", F.explode(cells).alias("x")).select("cluster", "x.*")
+
+
+def _cell(kind: str):
+    return lambda x, n: F.struct(F.lit(kind).alias("kind"), (n + 1).alias("rank"), x["value"].alias("value"), x["n"].cast("double").alias("n"), x["share"].cast("double").alias("share"))
+
+
+def _routed(spark, sf_dir) -> DataFrame:
+    rows = clusters.distributions(lines(spark, sf_dir))
+    label = F.when(F.col("cluster") % 7 == 0, "github").otherwise(F.concat(F.lit("label "), (F.col("cluster") % 5).cast("string")))
+    tokens = F.when(F.col("cluster") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("tok"), (F.col("cluster") % 4).cast("string"))))
+    return clusters.route(rows.withColumns({"label": label, "tokens": tokens, "hints_found": F.when(F.col("cluster") % 11 == 0, F.slice("hints_found", 1, 0)).otherwise(F.col("hints_found"))}))
 
 
 def cluster_route(spark, sf_dir) -> DataFrame:
-    return clusters.route(_profiles(spark, sf_dir)).groupBy("destination_root").agg(F.count(F.lit(1)).alias("clusters"), F.sum("size").alias("records"))
+    return _routed(spark, sf_dir).select("cluster", "size", "destination_root", F.array_join("route_reasons", ",").alias("reasons"), "discovery_allowed", "rule_purity", "normal_support", "average_confidence", "generic_platform_share")
 
 
 def rule_suggestions(spark, sf_dir) -> DataFrame:
-    return clusters.suggestions(_profiles(spark, sf_dir)).select("l_suppkey", "size", "suggestion")
+    rows = clusters.suggestions(_routed(spark, sf_dir))
+    return rows.select("cluster", "size", "type", "target_category", "target_root", F.array_join("trigger_reasons", ",").alias("reasons"), F.array_join("proposed_domains", ",").alias("domains"), F.array_join("proposed_keywords", ",").alias("keywords"))
 
 
-PROFILES_SQL = f"""WITH c AS (SELECT l_suppkey, CASE WHEN l_returnflag = 'N' THEN '{lexicon.DEFAULT_CATEGORY}' ELSE 'root ' || l_returnflag END AS root, count(*) AS n FROM lineitem GROUP BY 1, 2),
-  t AS (SELECT l_suppkey, root AS top_root, round(n::DOUBLE / sum(n) OVER (PARTITION BY l_suppkey), 4) AS support, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, root DESC) AS k FROM c),
-  m AS (SELECT l_suppkey, count(*) AS size, round(avg(l_tax) * 8, 4) AS average_confidence, round(avg(CASE WHEN l_linestatus = 'F' THEN 1.0::DOUBLE ELSE 0 END), 4) AS blocked_share, round(avg(l_discount) * 8, 4) AS review_share,
-    round(avg(CASE WHEN l_linenumber > 3 THEN 1.0::DOUBLE ELSE 0 END), 4) AS platform_share, max(l_quantity) > 48 AS has_topic FROM lineitem GROUP BY 1)
-  SELECT *, support AS purity, round(support - 0.3::DOUBLE, 4) AS margin FROM t JOIN m USING (l_suppkey) WHERE k = 1"""
-ROUTE_SQL = f"""WITH p AS ({PROFILES_SQL}), q AS (SELECT *, NOT (blocked_share >= 0.5::DOUBLE OR review_share >= 0.75::DOUBLE OR (platform_share >= 0.8::DOUBLE AND support < 0.25::DOUBLE)) AND has_topic AND size >= 3 AS discovery, top_root IN ('{lexicon.DEFAULT_CATEGORY}', '其他') AS generic FROM p),
-  e AS (SELECT *, CASE WHEN discovery THEN '{lexicon.DISCOVERY_ROOT}' ELSE '{lexicon.DEFAULT_CATEGORY}' END AS elsewhere FROM q)
-  SELECT CASE WHEN size = 1 AND NOT generic THEN top_root WHEN generic AND average_confidence < 0.55::DOUBLE THEN elsewhere WHEN support < 0.25::DOUBLE AND average_confidence < 0.65::DOUBLE THEN elsewhere
-    WHEN purity < 0.45::DOUBLE OR margin < 0.1::DOUBLE THEN elsewhere ELSE top_root END AS destination_root, count(*) AS clusters, CAST(sum(size) AS BIGINT) AS records FROM e GROUP BY 1"""
+def strong_category_split(spark, sf_dir) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumn("confidence", F.when(F.col("id") % 4 == 0, 0.5).otherwise(0.9))
+    other = F.when(text.default_category(F.col("category")), "gamma/three").otherwise(F.col("category"))
+    parts = clusters.strong_groups(rows.withColumn("category", F.when(F.col("cluster") % 3 == 0, F.col("category")).otherwise(other)))
+    return parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("records"), F.min("id").alias("first_id"))
 
 
-def strong_category_split(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "part").withColumn("confidence", F.when(F.col("p_size") > 10, 0.9).otherwise(0.5))
-    return clusters.strong_groups(rows, "p_brand", "p_type", "confidence")
+def fallback_groups(spark, sf_dir) -> DataFrame:
+    """Clusters of lines by site, where two sites have two records each; platforms are no sites."""
+    rows = lines(spark, sf_dir).withColumns({"registered": F.col("domain"), "low_domain": F.col("domain")})
+    rows = rows.withColumns({x: F.lit("") for x in ("name", "preferred_title", "preferred_description", "keywords_text", "site_name")} | {x: F.array().cast("array<string>") for x in ("page_type_hints", "brand_terms", "headings_h2")})
+    return clusters.fallback_groups(rows, 4).groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("records"))
 
 
-STRONG_SQL = """WITH r AS (SELECT p_brand, p_type, CASE WHEN p_size > 10 THEN 0.9::DOUBLE ELSE 0.5 END AS c FROM part), s AS (SELECT p_brand, p_type, count(*) AS n FROM r WHERE c >= 0.72::DOUBLE GROUP BY 1, 2 HAVING count(*) >= 2),
-  k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS k FROM s), z AS (SELECT p_brand, count(*) AS size FROM r GROUP BY 1 HAVING count(*) >= 3),
-  a AS (SELECT p_brand FROM (SELECT p_brand, sum(n) AS covered, max(CASE WHEN k = 2 THEN n END) AS second FROM k GROUP BY 1) JOIN z USING (p_brand) WHERE covered >= 0.7::DOUBLE * size AND second >= 0.2::DOUBLE * size)
-  SELECT p_brand, part, count(*) AS records FROM (SELECT r.p_brand, CASE WHEN s.n IS NOT NULL AND c >= 0.72::DOUBLE THEN r.p_type ELSE '' END AS part FROM r JOIN a USING (p_brand) LEFT JOIN s ON s.p_brand = r.p_brand AND s.p_type = r.p_type) GROUP BY 1, 2"""
+def keyword_clusters(spark, sf_dir) -> DataFrame:
+    """Parts by their most frequent word, groups below thirty together."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit(0).alias("cluster"), F.col("p_name").alias("name"), F.lower("p_type").alias("preferred_title"), F.col("p_name").alias("preferred_description"))
+    rows = rows.withColumns({x: F.lit("") for x in ("keywords_text", "site_name")} | {x: F.array().cast("array<string>") for x in ("page_type_hints", "brand_terms", "headings_h2")})
+    return clusters.keyword_groups(rows, 30).groupBy("part").agg(F.count(F.lit(1)).alias("records"))
+
+
+def domain_clusters(spark, sf_dir) -> DataFrame:
+    return clusters.domain_groups(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.when(F.col("page_id") % 3 == 0, "").otherwise(urls.host(F.col("url"))).alias("domain"))).groupBy("part").agg(F.count(F.lit(1)).alias("records"))
 
 
 def representative_tokens(spark, sf_dir) -> DataFrame:
-    """The six most frequent topic tokens of each source's documents that are neither noisy nor weak."""
-    rows = records(spark, sf_dir).select("source", F.explode(F.array_distinct(F.transform(text.topic_tokens(F.col("title")), F.lower))).alias("token"))
-    counts = rows.groupBy("source", "token").agg(F.count(F.lit(1)).alias("n")).where(~text.noisy(F.col("token")) & ~text.weak(F.col("token")))
-    return clusters.shares(counts, "source", "token", F.col("n"), 6).select("source", "token", "n", "rank")
+    """The six tokens of suppliers' features by group that say most."""
+    f = suppliers(spark, sf_dir).withColumn("cluster", F.col("id") % 12)
+    rows = clusters.representative_tokens(f)
+    return rows.select("cluster", F.posexplode("tokens").alias("n", "token")).select("cluster", (F.col("n") + 1).alias("rank"), "token")
+
+
+def cluster_reasons(spark, sf_dir) -> DataFrame:
+    return clusters.reasons(suppliers(spark, sf_dir).withColumn("cluster", F.col("id") % 12))
 
 
+# ---- trees -----------------------------------------------------------------------------------------
+
 def _places(spark, sf_dir) -> DataFrame:
     nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("r_name").alias("region"), F.col("n_name").alias("nation"), F.col("c_mktsegment").alias("segment"))
@@ -234,7 +286,8 @@ def tree_small_leaf_merge(spark, sf_dir) -> DataFrame:
 
 
 def oversized_leaf_split(spark, sf_dir) -> DataFrame:
-    return trees.split_oversized(table(spark, sf_dir, "part"), "p_brand", "p_type")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("leaf"), F.when(F.col("p_type") == "ECONOMY", "未知").otherwise(F.col("p_type")).alias("resource_type"))
+    return display.oversized_parts(rows).groupBy("leaf", "part").agg(F.count(F.lit(1)).alias("records"))
 
 
 def tree_quality(spark, sf_dir) -> DataFrame:
@@ -249,36 +302,34 @@ def display_conservation(spark, sf_dir) -> DataFrame:
 
 
 def tidy_bundles(spark, sf_dir) -> DataFrame:
-    r = records(spark, sf_dir)
-    tokens = F.slice(F.array_distinct(F.transform(text.topic_tokens(F.col("title")), F.lower)), 1, 5)
-    c = r.select("id", F.col("lang").alias("root"), F.posexplode(tokens).alias("position", "label")).withColumn("priority", 5 - F.col("position"))
+    """Documents of a language under the first word of their first line that three of them share."""
+    d = table(spark, sf_dir, "documents")
+    title = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
+    tokens = F.slice(F.array_distinct(F.transform(text.topic_tokens(title), F.lower)), 1, 5)
+    c = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("root"), F.posexplode(tokens).alias("position", "label")).withColumn("priority", 5 - F.col("position"))
     return trees.bundles(c)
 
 
-def taxonomy_import(spark, sf_dir) -> DataFrame:
-    return taxonomy.assignments(spark, taxonomy.parse(RESPONSE), TARGETS)
-
+# ---- taxonomy --------------------------------------------------------------------------------------
 
 RESPONSE = """Here is the result.
 ```json
 {"schema_version": "user_taxonomy_response/v1",
- "categories": [{"path": "languages/english", "topic_domains": ["src1.example.com"]}, {"path": "languages/german"}, {"path": "notices"}],
- "cluster_assignments": [{"cluster_id": "bc_1", "category": "languages/english", "confidence": "high"}, {"cluster_id": "bc_2", "category": "notices", "confidence": "medium"}],
- "uncategorized_cluster_ids": ["bc_3"]}
+ "categories": [{"path": "regions/asia", "topic_domains": ["src1.example.com"]}, {"path": "regions/europe"}, {"path": "rest"}],
+ "cluster_assignments": [{"cluster_id": "region 2", "category": "regions/asia", "confidence": "high"}, {"cluster_id": "region 3", "category": "regions/europe", "confidence": "medium"},
+   {"cluster_id": "all", "category": "rest", "confidence": "medium"}],
+ "uncategorized_cluster_ids": ["region 0"]}
 ```"""
-TARGETS = {"bc_1": ["https://a.example.com/1", "https://a.example.com/2"], "bc_2": ["https://b.example.org/"], "bc_3": ["https://c.example.org/"]}
 
 
-def assignment_merge_max_confidence(spark, sf_dir) -> DataFrame:
-    """Assignments of two rounds by document: the higher confidence wins, the later of equals."""
-    d = table(spark, sf_dir, "documents")
-    first = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("first/"), "lang").alias("category"), (0.4 + (F.col("doc_id") % 6) / 10).alias("confidence"))
-    second = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("second/"), "source").alias("category"), F.lit(0.75).alias("confidence"))
-    return taxonomy.merge([first, second]).select("id", "category", F.round("confidence", 4).alias("confidence"))
+def taxonomy_import(spark, sf_dir) -> DataFrame:
+    """An external response's assignments of nations, whose clusters are their region and all of them together."""
+    nations = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("identity"), F.explode(F.array(F.concat(F.lit("region "), F.col("n_regionkey").cast("string")), F.lit("all"))).alias("cluster_id"))
+    return taxonomy.assignments(spark, taxonomy.parse(RESPONSE), nations)
 
 
-def assignment_merge_all_documents(spark, sf_dir) -> DataFrame:
-    """Both rounds over all documents; ``assignment_merge_max_confidence`` and its SQL leave out ids divisible by neither 2 nor 3."""
+def assignment_merge_max_confidence(spark, sf_dir) -> DataFrame:
+    """Assignments of two rounds by document: the higher confidence wins, the later of equals."""
     d = table(spark, sf_dir, "documents")
     first = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("first/"), "lang").alias("category"), (0.4 + (F.col("doc_id") % 6) / 10).alias("confidence"))
     second = d.select(F.col("doc_id").alias("id"), F.concat(F.lit("second/"), "source").alias("category"), F.lit(0.75).alias("confidence"))
@@ -286,85 +337,184 @@ def assignment_merge_all_documents(spark, sf_dir) -> DataFrame:
 
 
 def followup_bundles(spark, sf_dir) -> DataFrame:
-    """Records that no rule settles, by first title token, kind and site; bundles of two or more."""
-    decided = rules.decide(records(spark, sf_dir).withColumn("review_required", F.lit(False)), rules.best(rules.score_rules(records(spark, sf_dir), TAXONOMY)))
-    open_ = decided.where(F.col("category") == lexicon.DEFAULT_CATEGORY).select("id", "bucket").join(records(spark, sf_dir), "id")
-    topic = F.lower(F.coalesce(F.get(text.topic_tokens(F.col("title")), 0), F.lit("")))
-    return open_.groupBy(topic.alias("topic"), "bucket", "lang").agg(F.count(F.lit(1)).alias("support"), F.min("id").alias("sample")).where("support >= 2")
-
-
-def export_html(spark, sf_dir) -> DataFrame:
-    """Rows only: the link tree as lines of an HTML export, in order."""
-    from ..sources import html
-
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", text.clean(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("name"), urls.registrable(urls.host(F.col("url"))).alias("folder"))
-    return html.lines(p)
+    """What is told of bundles of order lines: their domains and kinds, most frequent first."""
+    rows = lines(spark, sf_dir).where(F.col("confirmation_bucket").isin("rule_gap", "low_confidence") & ~F.col("review_required"))
+    domains = top(rows, "cluster", F.col("domain"), at=F.col("id"), limit=8, name="d")
+    kinds = top(rows, "cluster", F.col("confirmation_bucket"), at=F.col("id"), limit=8, name="b")
+    shown = lambda x: F.array_join(F.transform(x, lambda v: F.concat(v["value"], F.lit("="), v["n"].cast("string"))), ",")
+    share = F.bround(F.count_if(urls.generic_platform(F.col("domain"))) / F.count(F.lit(1)), 4)
+    return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("support"), share.alias("generic_platform_share")).where("support >= 2").join(domains, "cluster").join(kinds, "cluster").select("cluster", "support", "generic_platform_share", shown(F.col("d")).alias("domains"), shown(F.col("b")).alias("buckets"))
 
 
 def page_jsonld_extract(spark, sf_dir) -> DataFrame:
-    """Rows only: signals of a page with structured data, next to the driver's pages."""
+    """Rows only: all signals of the pages' markup, by the HTML parser; tested on literal pages."""
     from ..sources import html
 
-    made = spark.createDataFrame([(-1, "https://docs.example.org/a/b", html.SAMPLE)], "page_id long, url string, html string")
-    return html.page_signals(table(spark, sf_dir, "pages").select("page_id", "url", "html").unionByName(made))
+    return html.page_signals(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", *html.TEXTS, *[F.array_join(x, "|").alias(x) for x in html.LISTS])
 
 
 def parse_link_export(spark, sf_dir) -> DataFrame:
-    """Rows only: links of an export file with their folders."""
+    """Rows only: the pages as one export of links by site, read back with its folders."""
     from ..sources import html
 
-    return html.parse_exports(spark.createDataFrame([(0, html.SAMPLE_EXPORT)], "file_id long, text string"))
+    p = table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("site"), F.concat(F.lit('<DT><A HREF="'), text.escape_html(F.col("url")), F.lit('" ADD_DATE="1">x</A>')).alias("line"))
+    files = p.groupBy("site").agg(F.concat(F.lit("<DL><p><DT><H3>"), "site", F.lit("</H3><DL><p>"), F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("</DL><p></DL>")).alias("text"))
+    return html.parse_exports(files.select(F.xxhash64("site").alias("file_id"), "text")).withColumn("folder_path", F.array_join("folder_path", "/"))
 
 
 def incremental_foreach_batch(spark, sf_dir) -> DataFrame:
-    """Rows only: the cache after a stream of attempts, upserted by key batch by batch."""
+    """The cache after a stream of attempts, upserted by key batch by batch."""
     from ..streaming import incremental
 
     return incremental.latest_cache(spark, f"{sf_dir}/events.parquet")
 
 
 QUERIES = {f.__name__: f for f in (
-    blocking_pairs, pair_similarity, connected_components, cluster_consistency, page_blocking_pairs, page_similarity, page_components, page_consistency, cluster_split, cluster_merge_greedy, centroid, cluster_profile_shares, cluster_route,
-    rule_suggestions, strong_category_split, representative_tokens, tree_rollup, tree_depth_limit, tree_small_leaf_merge, oversized_leaf_split, tree_quality,
-    display_conservation, tidy_bundles, taxonomy_import, assignment_merge_max_confidence, assignment_merge_all_documents, followup_bundles, export_html, page_jsonld_extract, parse_link_export,
-    incremental_foreach_batch,
+    feature_sets, page_blocking_pairs, page_similarity, page_cluster_members, page_profiles, display_tree, export_html, quality_report, bootstrap_summaries, page_followup, cluster_split, blocking_pairs, pair_similarity,
+    connected_components, cluster_consistency, centroid, cluster_merge_greedy, cluster_profile_shares, cluster_route, rule_suggestions, strong_category_split, fallback_groups, keyword_clusters, domain_clusters,
+    representative_tokens, cluster_reasons, tree_rollup, tree_depth_limit, tree_small_leaf_merge, oversized_leaf_split, tree_quality, display_conservation, tidy_bundles, taxonomy_import,
+    assignment_merge_max_confidence, followup_bundles, page_jsonld_extract, parse_link_export, incremental_foreach_batch,
 )}
-R = "SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, source, lang FROM documents"
 
-GOOD = rf"""k <> '' AND k NOT IN ({_norm(lexicon.NOISY_TOKENS)}, {_norm(lexicon.GENERIC_PLATFORM_TOKENS)}, {_norm(lexicon.SOURCE_LIKE_TOKENS)}, {_norm(lexicon.WEAK_TOKENS)})
-  AND NOT regexp_full_match(k, '(part|session|chapter)\d+') AND NOT regexp_full_match(k, '[0-9a-f]{{12,}}') AND NOT (length(k) >= 8 AND length(regexp_replace(k, '[^0-9]', '', 'g')) >= 0.45 * length(k))"""
+# ---- SQL -------------------------------------------------------------------------------------------
+
+SUPPLIERS_SQL = """SELECT s_suppkey AS id, list_sort(list_distinct(list_concat(string_split(lower(n_name), ' '), ['k' || (s_suppkey % 7)]))) AS tokens, list_sort(list_distinct([split_part(lower(r_name), ' ', 1), 't' || (s_suppkey % 5)])) AS topics,
+  ['h' || (s_suppkey % 6)] AS hints, ['p' || (s_suppkey % 9)] AS path, ['s' || (n_nationkey % 4)] AS site, ['d' || (n_nationkey % 8)] AS domain_tokens, ['k' || (s_suppkey % 3)] AS kinds, 'k' || (s_suppkey % 3) AS kind,
+  CASE s_suppkey % 4 WHEN 0 THEN ['官方'] WHEN 1 THEN ['v', 'w'] ELSE [] END AS quality, ['w' || (s_suppkey % 12), 'y' || (s_suppkey % 2)] AS times, site_name AS registered, CASE WHEN s_suppkey % 2 = 0 THEN 'www.' || site_name ELSE site_name END AS low_domain,
+  n_nationkey % 5 = 0 AS platform, CASE WHEN s_suppkey % 10 = 0 THEN 'c' || (s_suppkey % 20) ELSE '' END AS canonical, 'topic ' || (s_suppkey % 5) AS topic, (s_suppkey % 11) / 10.0::DOUBLE AS confidence, lower(r_name) AS root, 'x' || (s_suppkey % 3) AS other
+  FROM (SELECT *, CASE WHEN n_nationkey % 5 = 0 THEN 'github.com' ELSE 'site' || (n_nationkey % 10) || '.org' END AS site_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+PAIRS_SQL = f"""WITH f AS MATERIALIZED ({SUPPLIERS_SQL}), k AS (SELECT DISTINCT id, key FROM (SELECT id, 'primary:' || topic AS key FROM f UNION ALL SELECT id, 'domain:' || registered FROM f WHERE NOT platform
+  UNION ALL SELECT id, 'canonical:' || canonical FROM f WHERE canonical <> '' UNION ALL SELECT id, 'site:' || unnest(list_slice(site, 1, 2)) FROM f UNION ALL SELECT id, 'hint:' || unnest(list_slice(hints, 1, 4)) FROM f
+  UNION ALL SELECT id, 'root:' || root || ':' || kind FROM f WHERE confidence >= 0.75::DOUBLE UNION ALL SELECT id, 'root:' || other || ':' || kind FROM f WHERE confidence >= 0.75::DOUBLE
+  UNION ALL SELECT id, 'token:' || unnest(list_slice(list_sort(list_distinct(list_concat(topics, hints, path))), 1, 6)) FROM f))
+  SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y ON x.key = y.key AND x.id < y.id"""
+
+
+def _j(x: str, y: str | None = None) -> str:
+    left, right = (x, y) if y else (f"l.{x}", f"r.{x}")
+    return f"CASE WHEN len({left}) = 0 OR len({right}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({left}, {right}))::DOUBLE / len(list_distinct(list_concat({left}, {right}))) END"
+
+
+def _u(*names: str) -> str:
+    return _j(f"list_distinct(list_concat({', '.join('l.' + n for n in names)}))", f"list_distinct(list_concat({', '.join('r.' + n for n in names)}))")
+
+
+SIMILAR_SQL = f"""WITH f AS MATERIALIZED ({SUPPLIERS_SQL}), s AS (SELECT a, b, {_j('topics')} AS topic_score, CASE WHEN len(list_intersect(l.kinds, r.kinds)) > 0 THEN 1.0::DOUBLE ELSE 0 END AS type_score, CASE WHEN l.canonical <> '' AND l.canonical = r.canonical THEN 1.0::DOUBLE ELSE 0 END AS canonical_score,
+    {_j('times')} AS time_score, greatest({_u('tokens', 'topics')}, {_u('path', 'tokens', 'hints')}) AS text_score, greatest({_j('hints')}, 0.7::DOUBLE * ({_j('topics')})) AS hint_score, l.registered = r.registered AND l.platform AS shared,
+    l.registered = r.registered AS same_site, greatest(CASE WHEN l.low_domain = r.low_domain THEN 1.0::DOUBLE ELSE 0 END, CASE WHEN l.registered = r.registered THEN 0.85::DOUBLE ELSE 0 END, 0.7::DOUBLE * ({_j('site')}), 0.4::DOUBLE * ({_j('domain_tokens')})) AS domain,
+    greatest(0.25::DOUBLE * ({_j('site')}), 0.15::DOUBLE * ({_j('domain_tokens')})) AS cap, CASE WHEN l.root = r.root THEN 0.6::DOUBLE ELSE 0 END + CASE WHEN l.other = r.other THEN 0.4::DOUBLE ELSE 0 END AS common,
+    {_j('quality')} AS q, CASE WHEN list_contains(list_intersect(l.quality, r.quality), '官方') THEN 0.7::DOUBLE WHEN len(list_intersect(l.quality, r.quality)) > 0 THEN 0.5::DOUBLE ELSE 0 END AS floor_, l.topic = r.topic AS same_topic, l.root <> r.root AND l.other <> r.other AS apart,
+    least(l.confidence, r.confidence) AS sure FROM ({PAIRS_SQL}) p JOIN f l ON l.id = a JOIN f r ON r.id = b),
+  m AS (SELECT *, CASE WHEN shared THEN least(domain, greatest(cap, canonical_score)) ELSE domain END AS domain_score, common / (2.0 - common) AS root_score, greatest(q, floor_) AS quality_score, CASE WHEN NOT same_site AND same_topic AND topic_score >= 0.25::DOUBLE THEN 1.0::DOUBLE ELSE 0 END AS bonus,
+    greatest(CASE WHEN sure >= 0.8::DOUBLE AND apart AND hint_score < 0.15::DOUBLE THEN 0.28::DOUBLE ELSE 0 END, CASE WHEN shared AND sure >= 0.72::DOUBLE AND NOT same_topic AND topic_score < 0.35::DOUBLE AND hint_score < 0.35::DOUBLE THEN 0.34::DOUBLE ELSE 0 END,
+      CASE WHEN same_site AND type_score = 0 AND text_score < 0.25::DOUBLE AND hint_score < 0.15::DOUBLE THEN 0.18::DOUBLE ELSE 0 END,
+      CASE WHEN shared AND canonical_score = 0 AND topic_score < 0.2::DOUBLE AND text_score < 0.28::DOUBLE AND hint_score < 0.25::DOUBLE THEN 0.3::DOUBLE ELSE 0 END) AS penalty FROM s),
+  w AS (SELECT *, 0.35::DOUBLE * text_score + 0.2::DOUBLE * hint_score + 0.15::DOUBLE * domain_score + 0.1::DOUBLE * root_score + 0.05::DOUBLE * type_score + 0.1::DOUBLE * quality_score + 0.04::DOUBLE * time_score + 0.25::DOUBLE * canonical_score + 0.2::DOUBLE * bonus - penalty AS raw FROM m)
+  SELECT a, b, {', '.join(f'round({x}, 6) AS {x}' for x in ('topic_score', *clusters.WEIGHTS, 'penalty'))}, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN hint_score < 0.2::DOUBLE AND text_score < 0.15::DOUBLE THEN raw * 0.6::DOUBLE ELSE raw END)), 6) AS score FROM w"""
+_GROUPS = "id % 12"
+
+
+def _most(column: str, where: str = "true") -> str:
+    return f"SELECT cluster, max(n) AS n FROM (SELECT {_GROUPS} AS cluster, {column} AS v, count(*) AS n FROM f WHERE {where} GROUP BY 1, 2) GROUP BY cluster"
+
+
+CONSISTENCY_SQL = f"""WITH f AS MATERIALIZED ({SUPPLIERS_SQL}), z AS (SELECT {_GROUPS} AS cluster, count(*) AS size FROM f GROUP BY 1), t AS ({_most('topic')}), h AS ({_most('hints[1]')}), o AS ({_most('root')}), k AS ({_most('kind')}), d AS ({_most('registered')}),
+  p AS (SELECT l.id % 12 AS cluster, avg({_u('tokens', 'topics', 'hints')}) AS overlap FROM ({PAIRS_SQL}) JOIN f l ON l.id = a JOIN f r ON r.id = b WHERE a % 12 = b % 12 GROUP BY 1),
+  v AS (SELECT z.cluster, size, greatest(t.n, h.n, o.n)::DOUBLE / size AS topic_purity, k.n::DOUBLE / size AS kind_purity, d.n::DOUBLE / size AS domain_share, coalesce(overlap, 1.0::DOUBLE) AS overlap
+    FROM z JOIN t USING (cluster) JOIN h USING (cluster) JOIN o USING (cluster) JOIN k USING (cluster) JOIN d USING (cluster) LEFT JOIN p USING (cluster))
+  SELECT cluster, size, round(topic_purity, 6) AS topic_purity, round(kind_purity, 6) AS kind_purity, round(domain_share, 6) AS domain_share, round(overlap, 6) AS overlap,
+    round(CASE WHEN size <= 1 THEN 1.0::DOUBLE ELSE 0.35::DOUBLE * topic_purity + 0.2::DOUBLE * kind_purity + 0.15::DOUBLE * domain_share + 0.3::DOUBLE * overlap END, 6) AS consistency FROM v"""
+
+
+def _mode(column: str) -> str:
+    return f"SELECT cluster, arg_max(v, n * 1000000 - spot) AS {column} FROM (SELECT id % 12 AS cluster, {column} AS v, count(*) AS n, min(id) AS spot FROM f GROUP BY 1, 2) GROUP BY cluster"
+
+
+CENTROID_SQL = f"""WITH f AS MATERIALIZED ({SUPPLIERS_SQL}), s AS (SELECT id % 12 AS cluster, count(*) AS size, CAST(round_even(avg(confidence), 3) AS DOUBLE) AS confidence, {', '.join(f"array_to_string(list_sort(list_distinct(flatten(list({x})))), ' ') AS {x}" for x in features.SETS)} FROM f GROUP BY 1),
+  w AS (SELECT cluster, root, sum(w) AS w FROM (SELECT id % 12 AS cluster, root, 0.6::DOUBLE AS w FROM f UNION ALL SELECT id % 12, other, 0.4 FROM f) GROUP BY 1, 2),
+  m AS (SELECT cluster, string_agg(root || '=' || printf('%.4f', CAST(round_even(share, 4) AS DOUBLE)), ',' ORDER BY root) AS roots FROM (SELECT *, w / sum(w) OVER (PARTITION BY cluster) AS share FROM w) GROUP BY cluster)
+  SELECT * FROM s JOIN m USING (cluster) JOIN ({_mode('topic')}) USING (cluster) JOIN ({_mode('kind')}) USING (cluster) JOIN ({_mode('low_domain')}) USING (cluster) JOIN ({_mode('registered')}) USING (cluster)"""
+LINES_SQL = f"""SELECT l_suppkey AS cluster, l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_returnflag = 'A' THEN 'alpha/one' WHEN l_returnflag = 'R' THEN 'beta/two' WHEN l_linenumber % 2 = 0 THEN 'gamma/其他' ELSE '{lexicon.DEFAULT_CATEGORY}' END AS category,
+  CASE WHEN l_returnflag = 'A' THEN 'alpha' WHEN l_returnflag = 'R' THEN 'beta' ELSE 'gamma' END AS root, CASE WHEN l_linenumber % 3 > 0 THEN 0.25::DOUBLE * (l_linenumber % 3) WHEN l_quantity > 0 THEN CAST(l_quantity AS DOUBLE) ELSE 1.0 END AS w, l_linenumber AS number,
+  'h' || (l_linenumber % 3) AS h, 'g' || (l_partkey % 5) AS g, CASE WHEN l_linestatus = 'F' THEN 'github.com' ELSE 's' || (l_partkey % 3) || '.example.org' END AS domain, 0.25::DOUBLE * (l_linenumber % 4) AS confidence, l_linenumber = 7 AS review,
+  CASE WHEN l_linenumber > 4 THEN 'fetch_blocked' WHEN l_linenumber = 1 THEN 'rule_gap' ELSE 'low_confidence' END AS bucket, l_linestatus = 'F' AS platform FROM lineitem"""
+
+
+def _counts(kind: str, rows: str, limit: int | None) -> str:
+    cut = f"WHERE rank <= {limit}" if limit else ""
+    return f"""SELECT cluster, '{kind}' AS kind, rank, value, n, share FROM (SELECT cluster, value, n, CAST(round_even(n / sum(n) OVER (PARTITION BY cluster), 4) AS DOUBLE) AS share, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, spot, value) AS rank
+      FROM (SELECT cluster, value, CAST(sum(w) AS DOUBLE) AS n, min(spot) AS spot FROM ({rows}) GROUP BY 1, 2)) {cut}"""
+
+
+ROOTS_ROWS = "SELECT cluster, CASE WHEN number > 5 THEN split_part(category, '/', 1) ELSE root END AS value, CASE WHEN number > 5 THEN 1.0::DOUBLE ELSE w END AS w, id AS spot FROM l"
+SHARES_SQL = f"""WITH l AS MATERIALIZED ({LINES_SQL}) {' UNION ALL '.join((_counts('root', ROOTS_ROWS, 4), _counts('category', 'SELECT cluster, category AS value, 1 AS w, id AS spot FROM l', 4),
+  _counts('hint', 'SELECT cluster, h AS value, 1 AS w, id * 10 AS spot FROM l UNION ALL SELECT cluster, g, 1, id * 10 + 1 FROM l', 8),
+  _counts('domain', "SELECT cluster, CASE WHEN platform THEN domain ELSE 'example.org' END AS value, 1 AS w, id AS spot FROM l", 4), _counts('bucket', 'SELECT cluster, bucket AS value, 1 AS w, id AS spot FROM l', None)))}"""
+ROUTED_SQL = f"""WITH x AS MATERIALIZED ({SHARES_SQL}), a AS (SELECT cluster, count(*) AS size, CAST(round_even(avg(confidence), 4) AS DOUBLE) AS average_confidence, CAST(round_even(count_if(review) / count(*)::DOUBLE, 4) AS DOUBLE) AS review_share,
+    CAST(round_even(count_if(bucket = 'fetch_blocked') / count(*)::DOUBLE, 4) AS DOUBLE) AS blocked, CASE WHEN cluster % 7 = 0 THEN 'github' ELSE 'label ' || (cluster % 5) END AS label FROM ({LINES_SQL}) GROUP BY cluster),
+  r AS (SELECT cluster, max(CASE WHEN rank = 1 THEN value END) AS one, max(CASE WHEN rank = 1 THEN share END) AS s1, coalesce(max(CASE WHEN rank = 2 THEN share END), 0.0::DOUBLE) AS s2 FROM x WHERE kind = 'root' GROUP BY 1),
+  c AS (SELECT cluster, max(CASE WHEN rank = 1 THEN value END) AS dominant, max(CASE WHEN rank = 1 THEN share END) AS dominant_share, count(*) AS kinds FROM x WHERE kind = 'category' GROUP BY 1),
+  n AS (SELECT x.cluster, CAST(round_even(coalesce(sum(share) FILTER (value NOT IN ('{lexicon.DEFAULT_CATEGORY}') AND NOT suffix(value, '/其他') AND split_part(value, '/', 1) = one), 0.0), 4) AS DOUBLE) AS normal FROM x JOIN r USING (cluster) WHERE kind = 'category' GROUP BY 1),
+  d AS (SELECT cluster, coalesce(max(share) FILTER (value = 'github.com'), 0.0::DOUBLE) AS platform_share, bool_or(value = 'github.com') AS hosted, string_agg(CASE WHEN rank <= 3 AND value <> 'github.com' THEN value END, ',' ORDER BY rank) AS domains FROM x WHERE kind = 'domain' GROUP BY 1),
+  h AS (SELECT cluster, string_agg(value, ',' ORDER BY rank) AS hints, string_agg(CASE WHEN rank <= 6 THEN value END, ',' ORDER BY rank) AS six FROM x WHERE kind = 'hint' GROUP BY 1),
+  g AS (SELECT *, cluster % 11 <> 0 AS topical, blocked >= 0.5::DOUBLE AS g1, review_share >= 0.75::DOUBLE AS g2, platform_share >= 0.8::DOUBLE AND normal < 0.25::DOUBLE AS g3, label = 'github' AND hosted AND normal < 0.5::DOUBLE AS g4,
+    dominant = '{lexicon.DEFAULT_CATEGORY}' OR suffix(dominant, '/其他') AS plain FROM a JOIN r USING (cluster) JOIN c USING (cluster) JOIN n USING (cluster) JOIN d USING (cluster) JOIN h USING (cluster)),
+  e AS (SELECT *, CASE WHEN NOT (g1 OR g2 OR g3 OR g4) AND topical AND size >= 3 THEN '{lexicon.DISCOVERY_ROOT}' ELSE '{lexicon.DEFAULT_CATEGORY}' END AS elsewhere FROM g),
+  f AS (SELECT *, CASE WHEN size = 1 AND NOT plain THEN split_part(dominant, '/', 1) WHEN plain AND average_confidence < 0.55::DOUBLE THEN elsewhere WHEN normal < 0.25::DOUBLE AND average_confidence < 0.65::DOUBLE THEN elsewhere
+    WHEN s1 < 0.45::DOUBLE OR round(s1 - s2, 6) < 0.1::DOUBLE THEN elsewhere ELSE one END AS destination_root FROM e)
+  SELECT *, concat_ws(',', CASE WHEN g1 THEN 'fetch_blocked_guard' END, CASE WHEN g2 THEN 'review_required_guard' END, CASE WHEN g3 THEN 'generic_platform_guard' END, CASE WHEN g4 THEN 'source_host_label_guard' END,
+    CASE destination_root WHEN '{lexicon.DISCOVERY_ROOT}' THEN 'routed_to_discovery' WHEN '{lexicon.DEFAULT_CATEGORY}' THEN 'routed_to_tidy' ELSE 'routed_to_normal_root' END) AS reasons FROM f"""
+SUGGEST_SQL = f"""WITH p AS (SELECT *, platform_share >= 0.45::DOUBLE AS t1, destination_root = '{lexicon.DISCOVERY_ROOT}' AS t2, destination_root = '{lexicon.DEFAULT_CATEGORY}' AS t3, blocked >= 0.5::DOUBLE AS t4, s1 < 0.45::DOUBLE AS t5, plain AS t6, kinds > 1 AND dominant_share < 0.7::DOUBLE AS t7,
+    CASE WHEN cluster % 3 <> 0 THEN 'tok' || (cluster % 4) WHEN cluster % 11 = 0 THEN '' ELSE six END AS words, coalesce(domains, '') AS found FROM ({ROUTED_SQL}) WHERE size >= 4),
+  k AS (SELECT *, CASE WHEN t4 THEN 'investigate_fetch_failures' WHEN t7 AND (t1 OR t5) THEN 'split_mixed_cluster' WHEN t6 AND words <> '' THEN 'create_topic' WHEN found <> '' AND NOT t5 THEN 'add_specific_domain' WHEN words <> '' THEN 'add_alias'
+    ELSE 'demote_noisy_keyword_or_folder_signal' END AS type FROM p WHERE t1 OR t2 OR t3 OR t4 OR t5 OR t6 OR t7)
+  SELECT cluster, size, type, dominant AS target_category, CASE WHEN type IN ('investigate_fetch_failures', 'create_topic') THEN '' WHEN type = 'split_mixed_cluster' THEN CASE WHEN t2 OR t3 THEN '' ELSE destination_root END
+      WHEN type IN ('add_specific_domain', 'add_alias') THEN split_part(dominant, '/', 1) ELSE CASE WHEN t2 THEN '' ELSE destination_root END END AS target_root,
+    concat_ws(',', CASE WHEN t1 THEN 'generic_platform_cluster' END, CASE WHEN t2 THEN 'cluster_fell_back_to_discovery_root' END, CASE WHEN t3 THEN 'cluster_needs_manual_tidy' END, CASE WHEN t4 THEN 'fetch_blocked_cluster' END, CASE WHEN t5 THEN 'low_rule_purity' END,
+      CASE WHEN t6 THEN 'generic_existing_category' END, CASE WHEN t7 THEN 'mixed_existing_categories' END) AS reasons, found AS domains, words AS keywords FROM k"""
+STRONG_SQL = f"""WITH l AS (SELECT cluster, id, CASE WHEN cluster % 3 <> 0 AND (category = '{lexicon.DEFAULT_CATEGORY}' OR suffix(category, '/其他')) THEN 'gamma/three' ELSE category END AS category, id % 4 <> 0 AS firm, platform FROM ({LINES_SQL})),
+  z AS (SELECT cluster, count(*) AS size, avg(CASE WHEN platform THEN 1.0::DOUBLE ELSE 0 END) AS platforms FROM l GROUP BY 1 HAVING count(*) >= 3),
+  s AS (SELECT cluster, category, n, size, platforms FROM (SELECT cluster, category, count(*) AS n FROM l WHERE firm AND category <> '{lexicon.DEFAULT_CATEGORY}' AND NOT suffix(category, '/其他') GROUP BY 1, 2) JOIN z USING (cluster) WHERE n >= CASE WHEN platforms >= 0.45::DOUBLE AND size <= 5 THEN 1 ELSE 2 END),
+  a AS (SELECT cluster FROM (SELECT cluster, sum(n) AS covered, max(CASE WHEN k = 2 THEN n END) AS second, any_value(size) AS size, any_value(platforms) AS platforms FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, category) AS k FROM s) GROUP BY 1)
+    WHERE second IS NOT NULL AND CASE WHEN platforms >= 0.45::DOUBLE THEN covered >= 0.66::DOUBLE * size ELSE covered >= 0.7::DOUBLE * size AND second >= 0.2::DOUBLE * size END)
+  SELECT cluster, part, count(*) AS records, min(id) AS first_id FROM (SELECT l.cluster, l.id, CASE WHEN s.n IS NOT NULL AND firm THEN l.category ELSE '' END AS part FROM l JOIN a USING (cluster) LEFT JOIN s ON s.cluster = l.cluster AND s.category = l.category) GROUP BY 1, 2"""
 SQL = {
-    "blocking_pairs": PAIRS_SQL, "pair_similarity": SIMILAR_SQL, "connected_components": COMPONENTS_SQL, "cluster_consistency": CONSISTENCY_SQL,
-    "centroid": f"SELECT id % 50 AS cluster, array_to_string(list_sort(list_distinct(flatten(list(hints)))), ' ') AS hints, count(*) AS size FROM ({FEATURES_SQL}) GROUP BY 1",
-    "cluster_profile_shares": """SELECT cluster, l_linenumber, n, share, CAST(rank AS INT) AS rank FROM (SELECT *, round(n::DOUBLE / sum(n) OVER (PARTITION BY cluster), 4) AS share, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, l_linenumber) AS rank
-      FROM (SELECT l_suppkey % 20 AS cluster, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2)) WHERE rank <= 4""",
-    "cluster_route": ROUTE_SQL,
-    "rule_suggestions": f"""SELECT l_suppkey, size, CASE WHEN blocked_share >= 0.5::DOUBLE THEN 'review_fetch' WHEN platform_share >= 0.8::DOUBLE THEN 'source_only' WHEN support < 0.25::DOUBLE THEN 'new_category' WHEN purity < 0.6::DOUBLE THEN 'split_category'
-      WHEN average_confidence < 0.65::DOUBLE THEN 'add_keywords' ELSE 'keep' END AS suggestion FROM ({PROFILES_SQL}) WHERE size >= 4""",
-    "strong_category_split": STRONG_SQL,
-    "representative_tokens": rf"""WITH t AS (SELECT source, unnest(list_distinct([lower(x) FOR x IN regexp_extract_all(title, '{TOKEN_RE}')])) AS token FROM ({R})),
-      c AS (SELECT source, token, count(*) AS n, regexp_replace(lower(trim(token)), '[^a-z0-9\x{{4e00}}-\x{{9fff}}]+', '', 'g') AS k FROM t GROUP BY ALL)
-      SELECT source, token, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, token) AS rank FROM c WHERE {GOOD}) WHERE rank <= 6""",
+    "blocking_pairs": PAIRS_SQL, "pair_similarity": SIMILAR_SQL, "cluster_consistency": CONSISTENCY_SQL, "centroid": CENTROID_SQL,
+    "connected_components": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM ({SIMILAR_SQL}) WHERE score >= 0.5::DOUBLE), g AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+      reach AS (SELECT s_suppkey AS id, s_suppkey AS other FROM supplier UNION SELECT reach.id, g.b FROM reach JOIN g ON g.a = reach.other) SELECT id, min(other) AS cluster FROM reach GROUP BY id""",
+    "cluster_profile_shares": f"SELECT cluster, kind, CAST(rank AS INT) AS rank, value, n, share FROM ({SHARES_SQL})",
+    "cluster_route": f"SELECT cluster, size, destination_root, reasons, NOT (g1 OR g2 OR g3 OR g4) AS discovery_allowed, s1 AS rule_purity, normal AS normal_support, average_confidence, platform_share AS generic_platform_share FROM ({ROUTED_SQL})",
+    "rule_suggestions": SUGGEST_SQL, "strong_category_split": STRONG_SQL,
+    "fallback_groups": f"""WITH l AS ({LINES_SQL}), z AS (SELECT cluster FROM l GROUP BY 1 HAVING count(*) > 2), s AS (SELECT cluster, domain, count(*) AS n FROM l JOIN z USING (cluster) WHERE NOT platform GROUP BY 1, 2 HAVING count(*) >= 2),
+      a AS (SELECT cluster FROM s GROUP BY 1 HAVING count(*) >= 2) SELECT cluster, part, count(*) AS records FROM (SELECT l.cluster, CASE WHEN a.cluster IS NULL THEN '其他' WHEN s.n IS NOT NULL AND NOT platform THEN l.domain ELSE '' END AS part
+      FROM l JOIN z USING (cluster) LEFT JOIN a USING (cluster) LEFT JOIN s ON s.cluster = l.cluster AND s.domain = l.domain) GROUP BY 1, 2""",
+    "domain_clusters": "SELECT part, count(*) AS records FROM (SELECT CASE WHEN page_id % 3 = 0 THEN '其他' ELSE regexp_replace(lower(regexp_extract(trim(url), '^[a-zA-Z]+://([^/?#]*)', 1)), ':[0-9]+$', '') END AS part FROM pages) GROUP BY 1",
     "tree_rollup": f"SELECT region, nation, segment, count(*) AS records, CAST(3 - grouping(region) - grouping(nation) - grouping(segment) AS INT) AS depth FROM ({PLACES_SQL}) GROUP BY ROLLUP (region, nation, segment)",
     "tree_depth_limit": f"SELECT region || '/' || nation AS path, count(*) AS records FROM ({PLACES_SQL}) GROUP BY 1",
     "tree_small_leaf_merge": f"""WITH c AS (SELECT nation, segment, count(*) AS n FROM ({PLACES_SQL}) GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY n DESC, segment) AS k, max(CASE WHEN n > 12 THEN 1 ELSE 0 END) OVER (PARTITION BY nation) AS big FROM c)
       SELECT nation, CASE WHEN n > 12 OR (big = 0 AND k = 1) THEN segment ELSE '' END AS leaf, CAST(sum(n) AS BIGINT) AS records FROM w GROUP BY 1, 2""",
-    "oversized_leaf_split": """WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2), w AS (SELECT *, sum(n) OVER (PARTITION BY p_brand) AS size, sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY p_brand) AS large FROM c)
-      SELECT p_brand, CASE WHEN NOT (size >= 40 AND large >= 2) THEN '' WHEN n >= 3 THEN p_type ELSE '其他' END AS part, CAST(sum(n) AS BIGINT) AS records FROM w GROUP BY 1, 2""",
+    "oversized_leaf_split": """WITH c AS (SELECT p_brand AS leaf, CASE WHEN p_type = 'ECONOMY' THEN '其他' ELSE p_type END AS kind, count(*) AS n FROM part GROUP BY 1, 2), w AS (SELECT *, sum(n) OVER (PARTITION BY leaf) AS size, sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY leaf) AS large FROM c)
+      SELECT leaf, CASE WHEN NOT (size >= 40 AND large >= 2) THEN '' WHEN n >= 3 THEN kind ELSE '其他' END AS part, CAST(sum(n) AS BIGINT) AS records FROM w GROUP BY 1, 2""",
     "tree_quality": f"""WITH t AS (SELECT count(*) AS records, CAST(3 - grouping(region) - grouping(nation) - grouping(segment) AS INT) AS depth FROM ({PLACES_SQL}) GROUP BY ROLLUP (region, nation, segment))
       SELECT count(*) AS folders, count_if(depth = 3) AS leaves, count_if(depth = 3 AND records = 1) AS singletons, max(depth) AS max_depth, max(CASE WHEN depth = 3 THEN records END) AS max_leaf, count_if(depth = 3 AND records >= 15) AS oversized FROM t""",
     "display_conservation": """WITH s AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 97 <> 0 UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 53 = 0), n AS (SELECT id, count(*) AS n FROM s GROUP BY id)
       SELECT count_if(n IS NULL) AS missing, CAST(sum(greatest(coalesce(n, 0) - 1, 0)) AS BIGINT) AS repeated, count(*) AS records, count_if(n IS NULL) = 0 AND sum(greatest(coalesce(n, 0) - 1, 0)) = 0 AS passed FROM customer LEFT JOIN n ON c_custkey = id""",
-    "tidy_bundles": f"""WITH t AS (SELECT id, lang AS root, regexp_extract_all(title, '{TOKEN_RE}') AS w FROM ({R})), x AS (SELECT id, root, unnest(w) AS label, generate_subscripts(w, 1) AS p FROM t),
+    "tidy_bundles": rf"""WITH t AS (SELECT doc_id AS id, lang AS root, regexp_extract_all(split_part(coalesce(text, ''), chr(10), 1), '[A-Za-z][A-Za-z0-9+#.-]{{2,}}|[\x{{4e00}}-\x{{9fff}}]{{2,}}') AS w FROM documents), x AS (SELECT id, root, unnest(w) AS label, generate_subscripts(w, 1) AS p FROM t),
       y AS (SELECT id, root, lower(label) AS label, min(p) AS p FROM x GROUP BY 1, 2, 3), f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS k FROM y), g AS (SELECT * FROM f WHERE k <= 5),
-      s AS (SELECT root, label FROM g GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3), b AS (SELECT id, root, arg_min(label, k) AS label FROM g JOIN s USING (root, label) GROUP BY 1, 2)
-      SELECT root, label, count(*) AS records FROM b GROUP BY 1, 2""",
-    "assignment_merge_max_confidence": """WITH a AS (SELECT doc_id AS id, 'first/' || lang AS category, 0.4::DOUBLE + (doc_id % 6) / 10.0::DOUBLE AS confidence, 0 AS o FROM documents WHERE doc_id % 3 = 0
-      UNION ALL SELECT doc_id, 'second/' || source, 0.75::DOUBLE, 1 FROM documents WHERE doc_id % 2 = 0)
-      SELECT id, category, round(confidence, 4) AS confidence FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence DESC, o DESC) = 1""",
-    "assignment_merge_all_documents": """WITH a AS (SELECT doc_id AS id, 'first/' || lang AS category, 0.4::DOUBLE + (doc_id % 6) / 10.0::DOUBLE AS confidence, 0 AS o FROM documents
+      s AS (SELECT root, label, CAST(max(6 - k) AS INT) AS priority FROM g GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3), b AS (SELECT id, root, arg_min(label, k) AS label FROM g JOIN s USING (root, label) GROUP BY 1, 2)
+      SELECT root, label, priority, count(*) AS records FROM b JOIN s USING (root, label) GROUP BY 1, 2, 3""",
+    "taxonomy_import": """SELECT lower(n_name) AS identity, CASE n_regionkey WHEN 2 THEN 'regions/asia' ELSE 'rest' END AS category, CASE n_regionkey WHEN 2 THEN 0.95::DOUBLE ELSE 0.75 END AS confidence, CASE n_regionkey WHEN 2 THEN 'high' ELSE 'medium' END AS confidence_label,
+      CASE n_regionkey WHEN 2 THEN 'region 2' ELSE 'all' END AS source_cluster_id FROM nation""",
+    "assignment_merge_max_confidence": """WITH a AS (SELECT doc_id AS id, 'first/' || lang AS category, 0.4::DOUBLE + (doc_id % 6) / 10.0::DOUBLE AS confidence, 0 AS o FROM documents
       UNION ALL SELECT doc_id, 'second/' || source, 0.75::DOUBLE, 1 FROM documents)
       SELECT id, category, round(confidence, 4) AS confidence FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY confidence DESC, o DESC) = 1""",
-    "followup_bundles": f"""SELECT lower(coalesce(regexp_extract_all(title, '{TOKEN_RE}')[1], '')) AS topic, bucket, lang, count(*) AS support, min(id) AS sample
-      FROM ({DECIDE_SQL.replace("coalesce(toxic = 1, false) AS review_required", "false AS review_required")}) JOIN ({R}) USING (id) WHERE category = '{lexicon.DEFAULT_CATEGORY}' GROUP BY 1, 2, 3 HAVING count(*) >= 2""",
+    "followup_bundles": f"""WITH l AS ({LINES_SQL}), r AS (SELECT * FROM l WHERE bucket <> 'fetch_blocked' AND NOT review), d AS (SELECT cluster, string_agg(domain || '=' || n, ',' ORDER BY n DESC, spot) AS domains FROM (SELECT cluster, domain, count(*) AS n, min(id) AS spot FROM r GROUP BY 1, 2) GROUP BY 1),
+      b AS (SELECT cluster, string_agg(bucket || '=' || n, ',' ORDER BY n DESC, spot) AS buckets FROM (SELECT cluster, bucket, count(*) AS n, min(id) AS spot FROM r GROUP BY 1, 2) GROUP BY 1)
+      SELECT cluster, support, generic_platform_share, domains, buckets FROM (SELECT cluster, count(*) AS support, CAST(round_even(count_if(platform) / count(*)::DOUBLE, 4) AS DOUBLE) AS generic_platform_share FROM r GROUP BY 1 HAVING count(*) >= 2) JOIN d USING (cluster) JOIN b USING (cluster)""",
+    "cluster_reasons": f"""WITH f AS MATERIALIZED ({SUPPLIERS_SQL}), c AS (SELECT id % 12 AS cluster, 'topic' AS kind, topic AS v FROM f UNION ALL SELECT id % 12, 'hint', hints[1] FROM f UNION ALL SELECT id % 12, 'root', root FROM f UNION ALL SELECT id % 12, 'kind', kind FROM f UNION ALL SELECT id % 12, 'site', registered FROM f),
+      k AS (SELECT *, row_number() OVER (PARTITION BY cluster, kind ORDER BY n DESC, regexp_replace(lower(v), '[^a-z0-9]+', '', 'g'), lower(v)) AS r FROM (SELECT cluster, kind, v, count(*) AS n FROM c GROUP BY ALL)),
+      s AS (SELECT cluster, string_agg(v, ', ' ORDER BY r) FILTER (kind = 'topic' AND r <= 2) AS t, string_agg(v, ', ' ORDER BY r) FILTER (kind = 'hint' AND r <= 3) AS h, string_agg(v, ', ' ORDER BY r) FILTER (kind = 'root' AND r <= 2) AS o, max(v) FILTER (kind = 'kind' AND r = 1) AS k, string_agg(v, ', ' ORDER BY r) FILTER (kind = 'site' AND r <= 2) AS d FROM k GROUP BY cluster)
+      SELECT cluster, concat_ws('；', '主题重合集中在 ' || t, '聚类线索来自 ' || h, '规则先验主要指向 ' || o, '资源类型以' || k || '为主', '站点分布参考 ' || d) AS reason FROM s""",
+    "incremental_foreach_batch": """WITH a AS (SELECT user_id, event_id, CASE event_id % 7 WHEN 0 THEN 'timeout' WHEN 1 THEN 'broken' WHEN 2 THEN 'skipped' WHEN 3 THEN 'error' ELSE 'success' END AS status FROM events)
+      SELECT user_id, arg_max(status, CASE status WHEN 'success' THEN 4 WHEN 'broken' THEN 2 ELSE 1 END * 1000000000000 + event_id) AS status, arg_max(event_id, CASE status WHEN 'success' THEN 4 WHEN 'broken' THEN 2 ELSE 1 END * 1000000000000 + event_id) AS ord FROM a GROUP BY user_id""",
 }

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.health import cache_priority
+from ..operators.skew import shared_folder, written
 
 
 def upsert(cache: DataFrame | None, batch: DataFrame, key: str = "user_id") -> DataFrame:
@@ -16,24 +15,33 @@ def upsert(cache: DataFrame | None, batch: DataFrame, key: str = "user_id") -> D
     return both.groupBy(key).agg(F.max(value).alias("v")).select(key, "v.status", "v.ord")
 
 
-def latest_cache(spark: SparkSession, path: str, *, files_per_batch: int = 1) -> DataFrame:
+def latest_cache(spark: SparkSession, path: str, *, files_per_batch: int = 1, buckets: int = 16) -> DataFrame:
     """The cache after a stream over the attempts at ``path`` has been read to its present end.
 
-    Each batch writes a new version named by its number; a batch that is run again overwrites its
-    own version and reads the one before, so a restart from the checkpoint gives the same cache.
+    The cache lies in buckets of its key.  A batch rewrites the buckets that it touches, each under the batch's number, and reads for each the
+    newest version of a batch before it; so a batch that is run again gives the same files, and a restart from the checkpoint the same cache.
     """
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/linkloom").rstrip("/") + f"/fetch-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "fetch")
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path if not path.endswith(".parquet") else path + "*")
     kind = F.col("event_id") % 7
     status = F.when(kind == 0, "timeout").when(kind == 1, "broken").when(kind == 2, "skipped").when(kind == 3, "error").otherwise("success")
     rows = stream.select("user_id", status.alias("status"), F.col("event_id").alias("ord"))
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int").alias("bucket")
+    newest: dict[int, int] = {}
+
+    def files(numbers: dict[int, int]) -> list[str]:
+        return [f"{base}/batch-{n}/bucket={b}" for b, n in sorted(numbers.items())]
 
     def store(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        before = session.read.parquet(f"{base}/version-{number - 1}") if number else None
-        upsert(before, batch).write.mode("overwrite").parquet(f"{base}/version-{number}")
+        best = written(upsert(None, batch))
+        touched = [r["bucket"] for r in best.select(bucket).distinct().collect()]  # as many as there are buckets
+        before = {b: newest[b] for b in touched if b in newest and newest[b] < number}
+        known = session.read.schema("user_id long, status string, ord long").parquet(*files(before)) if before else None
+        upsert(known, best).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/batch-{number}")
+        newest.update(dict.fromkeys(touched, number))
 
     query = rows.writeStream.foreachBatch(store).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/version-{query.lastProgress['batchId']}")
+    return spark.read.schema("user_id long, status string, ord long").parquet(*files(newest))
