@@ -7,7 +7,7 @@ follows from the similarity asked for, so that a pair exactly at it is missed in
 probability below ``MISS``.  Links are confirmed on the full shingle sets.
 
 1. Documents with equal shingle sets form a class with a number of its own; its smallest doc_id stands for it.
-2. Classes that share a band meet that bucket's first class, the pivot; the exact
+2. Classes that share a band meet the bucket's class that shares most bands with others, the pivot; the exact
    similarity to the pivot is computed for each.  Links give first components.  A pivot with many
    members is sent to as many groups of ``FAN`` members, so no task gets them all.
 3. What else shares a pivot can link only across components. Under one order of a pivot's
@@ -275,9 +275,13 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, words: int = WOR
     classes = signed.where(linkable).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     classes = common.persist_table(classes.withColumn("id", F.monotonically_increasing_id()))
 
-    entries = classes.select("id", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last")
-    star = common.persist_table(entries.join(buckets.select("band", "pivot"), "band").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    entries = classes.select("id", "doc_id", F.explode("bands").alias("band"))
+    sizes = entries.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band")
+    shared = common.persist_table(entries.join(sizes, "band", "left_semi"))
+    # the pivot shares more bands than any other of its bucket: what copies were made from is near to all of them
+    degrees = shared.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    pivots = shared.join(degrees, "id").groupBy("band").agg(F.max(F.struct("degree", -F.col("doc_id"), "id")).alias("most")).select("band", F.col("most.id").alias("pivot"))
+    star = common.persist_table(shared.join(pivots, "band").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
 
     members = star.select(F.col("a").alias("id")).unionByName(star.select(F.col("b").alias("id"))).distinct()
     members = common.persist_table(classes.select("id", "digest", "doc_id").join(members.hint("merge"), "id", "left_semi"))
