@@ -33,8 +33,8 @@ CAPACITY = 4096
 END_ID = 2
 #: The last class: shorter documents share its bins.
 CLASSES = 64
-#: Chunks that a worker remembers: about 130 MB.
-CACHED_CHUNKS = 600_000
+#: Chunks that a worker remembers: about 110 MB.
+CACHED_CHUNKS = 500_000
 _SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 

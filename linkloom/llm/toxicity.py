@@ -17,6 +17,7 @@ class 1, a third if nothing is labelled, so that a filter keeps texts of which n
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ RIDGE = 0.3
 THRESHOLD = 0.5
 #: Labelled rows to fit on, at most.
 SAMPLE_ROWS = 3000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 #: Longer "words" are read in pieces of this length, which bounds a cache entry, not the text.
 LONGEST_WORD = 64
 
@@ -62,52 +63,61 @@ class Model:
         return sum(get(g, 0.0) for g in ngrams(word))
 
 
+def gathered(index: np.ndarray, values: np.ndarray, source: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``values[source]`` by ``index``, a million entries at a time."""
+    out = np.zeros(size)
+    for low in range(0, len(index), 1 << 20):
+        part = slice(low, low + (1 << 20))
+        out += np.bincount(index[part], values[source[part]], size)
+    return out
+
+
 def fit(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels, np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1.5)
     prior = math.log(share / (1 - share))
     if not 0 < y.sum() < len(y):
         return Model(prior, {})
+    # plain 32-bit arrays and as few objects as can be: this runs on the driver
     word_ids: dict[str, int] = {}
-    doc_words, doc_at = [], [0]
+    doc_words, doc_at = array("i"), array("q", [0])
     for text in texts:
-        doc_words += [word_ids.setdefault(w, len(word_ids)) for w in sorted(words_of(text))]
+        doc_words.extend(word_ids.setdefault(w, len(word_ids)) for w in sorted(words_of(text)))
         doc_at.append(len(doc_words))
-    a_col, a_row = np.array(doc_words, np.int64), np.repeat(np.arange(len(texts)), np.diff(doc_at))
+    a_col, a_row = np.frombuffer(doc_words, np.int32), np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.frombuffer(doc_at, np.int64)))
     gram_ids: dict[str, int] = {}
-    grams, gram_at = [], [0]
+    grams, gram_at = array("i"), array("q", [0])
     for w in word_ids:
-        grams += [gram_ids.setdefault(g, len(gram_ids)) for g in set(ngrams(w))]
+        grams.extend(gram_ids.setdefault(g, len(gram_ids)) for g in set(ngrams(w)))
         gram_at.append(len(grams))
-    b_col, b_row = np.array(grams, np.int32), np.repeat(np.arange(len(word_ids), dtype=np.int32), np.diff(gram_at))
+    b_col, b_row = np.frombuffer(grams, np.int32), np.repeat(np.arange(len(word_ids), dtype=np.int32), np.diff(np.frombuffer(gram_at, np.int64)))
     n_words, n_grams = len(word_ids), len(gram_ids)
 
-    def per_gram(doc_values):
-        by_word = np.bincount(a_col, doc_values[a_row], n_words)
-        return np.bincount(b_col, by_word[b_row], n_grams)
+    def per_gram(doc_values, count):
+        return gathered(b_col, gathered(a_col, doc_values, a_row, n_words), b_row, count)
 
-    toxic, other = per_gram(y), per_gram(1 - y)
+    toxic, other = per_gram(y, n_grams), per_gram(1 - y, n_grams)
     ratio = np.log((toxic + SMOOTHING) / (toxic + SMOOTHING).sum()) - np.log((other + SMOOTHING) / (other + SMOOTHING).sum())
     ratio[toxic + other < LEAST_TEXTS] = 0.0
     kept = np.flatnonzero(ratio)
-    used = np.flatnonzero(ratio[b_col])
+    used = (ratio != 0)[b_col]
     place = np.zeros(n_grams, np.int32)
     place[kept] = np.arange(len(kept))
     b_col, b_row, ratio = place[b_col[used]], b_row[used], ratio[kept]
+    del used, place, toxic, other, grams
 
     def loss(p):
         weights = p[1:] * ratio
-        z = p[0] + np.bincount(a_row, np.bincount(b_row, weights[b_col], n_words)[a_col], len(y))
+        z = p[0] + gathered(a_row, gathered(b_row, weights, b_col, n_words), a_col, len(y))
         slope = sigmoid(z) - y
-        by_word = np.bincount(a_col, slope[a_row], n_words)
-        grad = np.bincount(b_col, by_word[b_row], len(kept)) * ratio + RIDGE * p[1:]
+        grad = per_gram(slope, len(kept)) * ratio + RIDGE * p[1:]
         return float((softplus(z) - y * z).sum() + RIDGE / 2 * (p[1:] @ p[1:])), np.concatenate([[slope.sum()], grad])
 
-    p = minimize(loss, np.concatenate([[prior], np.zeros(len(kept))]), steps=30)
+    p = minimize(loss, np.concatenate([[prior], np.zeros(len(kept))]), steps=30, memory=5)
     weights = p[1:] * ratio
-    names = np.array(list(gram_ids), object)[kept]
-    worth = np.flatnonzero(weights)
-    return Model(float(p[0]), dict(zip(names[worth].tolist(), weights[worth].tolist())))
+    of_gram = np.zeros(n_grams)
+    of_gram[kept] = weights
+    return Model(float(p[0]), {g: w for g, w in zip(gram_ids, of_gram.tolist()) if w})
 
 
 _cache: dict = {}
