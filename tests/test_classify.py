@@ -131,3 +131,30 @@ def test_counts_of_keywords_and_rounding(spark):
 
 def test_merge_of_documents():
     assert rules.merge_payload({"a": [1, {"x": 1}], "b": {"c": 1}}, {"a": [{"x": 1}, 2], "b": {"d": 2}, "e": 3}) == {"a": [1, {"x": 1}, 2], "b": {"c": 1, "d": 2}, "e": 3}
+
+
+def test_classification_carries_no_texts(spark, sf):
+    """What is decided of documents is written without their texts (several copies of each were), and the query's files stay below the input's size."""
+    import glob
+    import os
+
+    from linkloom.plans import classify
+
+    out = classify.classified(spark, sf)
+    assert not {"main_text", "main_text_preview", "semantic_text", "preferred_description", "description_candidates"} & set(out.columns) and not [x for x in out.columns if x.startswith("t_")]
+    assert out.count() == classify.table(spark, sf, "documents").count()
+    assert sum(os.path.getsize(f[len("file:"):] if f.startswith("file:") else f) for f in (x.replace("file://", "") for x in out.inputFiles())) < sum(map(os.path.getsize, glob.glob(f"{sf}/documents.parquet")))
+
+
+def test_words_are_found_across_the_parts_of_a_text(spark):
+    """Pieces are read once each, what is known of others counts, and a phrase may lie across two of them."""
+    from pyspark.sql import functions as F
+
+    from linkloom.functions import text
+
+    df = spark.createDataFrame([("we Start", "now C++ 教程", "Clown")], "a string, b string, d string")
+    words = ["we", "start now", "c++", "教程", "clown", "own", "ow"]
+    low = [F.lower("a"), F.lower("b"), F.lower("a")]
+    whole = F.concat_ws(" ", "a", "b", "d")
+    got = df.select(text.found_keywords(whole, words, low, [text.words_in(F.lower("d"), words)]), text.found_keywords(whole, words)).first()
+    assert set(got[0]) == set(got[1]) == {"we", "start now", "c++", "教程", "clown"}
