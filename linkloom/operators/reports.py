@@ -140,9 +140,12 @@ def outcome(classified: DataFrame, profiles: DataFrame) -> DataFrame:
     return by_root.unionByName(by_bucket).orderBy("kind", "value")
 
 
-def signal_audit(classified: DataFrame, features: DataFrame, by: str = "field") -> DataFrame:
-    """`signals.audit` of classified records and their features: what they have, what classification and clustering drew on."""
-    there = signals.fields(signals.nested(classified, "id"))
+def signal_audit(classified: DataFrame, features: DataFrame, by: str = "field", records: DataFrame | None = None) -> DataFrame:
+    """`signals.audit` of classified records and their features: what they have, what classification and clustering drew on.
+
+    ``records`` are those with signals, where classified ones come without them.
+    """
+    there = signals.fields(signals.nested(classified if records is None else records, "id"))
     features = features.withColumn("id", F.col("record")) if "record" in features.columns else features
 
     def used(rows: DataFrame, column: str, kind: str) -> DataFrame:

@@ -40,8 +40,9 @@ def signal_audit(spark, sf_dir) -> DataFrame:
 
 def full_signal_audit(spark, sf_dir) -> DataFrame:
     """Rows only: the same of documents that are classified and have features."""
-    classified = classify.classified(spark, sf_dir)
-    return reports.signal_audit(classified, features.feature_sets(classified))
+    classified, records = classify.classified(spark, sf_dir), classify.records(spark, sf_dir)
+    whole = records.join(classified.drop(*set(records.columns) - {"id"}), "id")  # features read sizes and marks here, so no text is shuffled
+    return reports.signal_audit(classified, features.feature_sets(whole), records=records)
 
 
 def site_types(spark, sf_dir) -> DataFrame:
