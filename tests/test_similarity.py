@@ -124,3 +124,12 @@ def test_split_by_strong_links(spark):
     assert got == {0: 0, 50: 0, 100: 100, 150: 100, 200: 200}
     firm = spark.createDataFrame([(0, 5, 0.9)], "cluster long, size long, consistency double")
     assert {r["cluster"] for r in clusters.split(members, scored, firm).collect()} == {0}
+
+
+def test_pairs_are_not_shuffled_to_make_them_distinct(spark):
+    """Records that share many keys meet once, from the first of them, also where a key's records lie in several parts."""
+    rows = spark.createDataFrame([(n, f"{k}{n % m}") for n in range(60) for k, m in (("x", 2), ("y", 3), ("z", 7))], "id long, key string")
+    pairs = skew.pairs_within(rows, "key", size=8)
+    assert "Aggregate [a" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    want = [(a, b) for a, b in combinations(range(60), 2) if any(a % m == b % m for m in (2, 3, 7))]
+    assert sorted(map(tuple, pairs.collect())) == want
