@@ -133,3 +133,12 @@ def test_pairs_are_not_shuffled_to_make_them_distinct(spark):
     assert "Aggregate [a" not in pairs._jdf.queryExecution().optimizedPlan().toString()
     want = [(a, b) for a, b in combinations(range(60), 2) if any(a % m == b % m for m in (2, 3, 7))]
     assert sorted(map(tuple, pairs.collect())) == want
+
+
+def test_pairs_that_carry_features_are_not_joined_again(spark):
+    f = skew.written(spark.createDataFrame(ROWS, SCHEMA).withColumn("platform", F.col("registered") == "github.com"))
+    pairs = clusters.candidate_pairs(f, clusters.COMPARED)
+    scored = clusters.similarity(pairs, f)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(scored) == joins(pairs)
+    assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, clusters.similarity(clusters.candidate_pairs(f), f).collect()))
