@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from ..shipping import ship as ship
+
 #: ASCII white space as the contracts spell it, for Java and RE2 regular expressions.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
@@ -37,25 +37,6 @@ def persist_table(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, once per application, through Spark's own file server."""
-    sc = spark.sparkContext
-    if getattr(sc, "_linkloom_shipped", False):
-        return
-    import tempfile
-
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    path = os.path.join(tempfile.mkdtemp(prefix="linkloom-"), "linkloom.zip")
-    with zipfile.ZipFile(path, "w") as archive:
-        for folder, _, names in os.walk(os.path.join(root, "linkloom")):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    archive.write(full, os.path.relpath(full, root))
-    sc.addPyFile(path)
-    sc._linkloom_shipped = True
-
-
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null text as empty, whatever else the input carries."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))

@@ -142,3 +142,44 @@ def test_pairs_that_carry_features_are_not_joined_again(spark):
     joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert joins(scored) == joins(pairs)
     assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, clusters.similarity(clusters.candidate_pairs(f), f).collect()))
+
+
+def test_blocks_give_all_pairs_and_what_they_link(spark, monkeypatch):
+    """Blocks compared as matrices against expressions: metrics, components at two floors, pairs in several parts and tiles."""
+    from linkloom.operators import kernel
+
+    f = skew.written(spark.createDataFrame([(r[0] + 10 * k, *r[1:]) for k in range(3) for r in ROWS], SCHEMA).withColumn("platform", F.col("registered") == "github.com"))
+    want = clusters.similarity(clusters.candidate_pairs(f), f)
+    assert sorted(map(tuple, clusters.scored_pairs(f).collect())) == sorted(map(tuple, want.collect()))
+    links = clusters.strong_links(f, clusters.LINK, clusters.SPLIT)
+    for floor in (clusters.LINK, clusters.SPLIT):
+        plain = clusters.components(f, want.where(F.col("score") >= floor))
+        assert sorted(clusters.components(f, links.where(F.col("floor") == floor)).collect()) == sorted(plain.collect())
+    weights = dict(clusters.WEIGHTS)
+    monkeypatch.setattr(kernel, "TILE", 40)
+    carry = f.select("id", *clusters.COMPARED).withColumns({"generic": F.col("registered") == "github.com", "plain": ~F.col("topic").isin("", "待整理")})
+    for size in (4, 100):
+        blocks = skew.blocks_within(clusters._keys(f), "key", carry, size).toArrow()
+        groups = {}
+        for n, cell in enumerate(zip(*(blocks[c].to_pylist() for c in ("number", "i", "j")))):
+            groups.setdefault(cell, []).append(n)
+        rows = [tuple(r.values()) for g in groups.values() for b in kernel.scored(iter(blocks.take(g).to_batches()), weights, ("score",)) for r in b.to_pylist()]
+        assert sorted(rows) == sorted(map(tuple, want.select("a", "b", "score").collect()))
+
+
+def test_consistency_makes_no_row_for_a_pair(spark):
+    """The mean overlap of a cluster's candidate pairs, each counted once, without rows of pairs: consistency takes records alone."""
+    f = skew.written(spark.createDataFrame(ROWS, SCHEMA).withColumn("platform", F.col("registered") == "github.com"))
+    members = f.select("id", (F.col("id") % 2).alias("cluster"))
+    words = {r[0]: set(r[8]) | set(r[9]) | set(r[10]) for r in ROWS}
+    jac = lambda p, q: len(p & q) / len(p | q) if p and q else 0.0
+    pairs = [tuple(r) for r in clusters.candidate_pairs(f).collect() if r["a"] % 2 == r["b"] % 2]
+    want = {k: [jac(words[a], words[b]) for a, b in pairs if a % 2 == k] for k in (0, 1)}
+    got = {r["cluster"]: r["overlap"] for r in clusters.consistency(members, f).collect()}
+    assert got == {k: pytest.approx(sum(v) / len(v)) for k, v in want.items()}
+
+
+def test_keys_within_a_larger_key_are_left_out(spark):
+    rows = spark.createDataFrame([(n, k) for n in range(12) for k in ("all", f"m{n % 3}")] + [(12, "m0"), (13, "x")], "id long, key string")
+    blocks = skew.blocks_within(rows, "key", rows.select("id").distinct(), 5).collect()
+    assert {r["number"] for r in blocks} == {r["number"] for r in blocks if r["before"] or r["id"] != 12} and len({r["number"] for r in blocks}) == 2
