@@ -1,9 +1,10 @@
 """Quality: Bradley-Terry scores learned from preference pairs, cut at a score quantile.
 
-A document's score is linear in surface features of its whole text.  Pairs of a better and a
-worse document of the labelled sample are drawn; the weights minimise the logistic loss of
-the feature differences, i.e. P(i over j) = 1 / (1 + exp(s_j - s_i)).  The cut is the quantile
-of the sample's scores at the share of documents labelled 0, in the middle of the gap it falls into.
+A document's score is linear in surface features of its whole text.  The weights minimise the
+logistic loss of feature differences over pairs of a better and a worse document, i.e.
+P(i over j) = 1 / (1 + exp(s_j - s_i)).  Every labelled row outside the held-out fold counts: up to
+``TOGETHER`` rows are fitted on pairs drawn from all of them, more are dealt into groups where each better row
+meets each worse one.  The cut is the quantile of all these rows' scores at the share labelled 0, in the middle of the gap it falls into.
 Scores are reported as a rising map to 0..1 in which the cut is ``THRESHOLD``.
 
 Defined results: null and empty texts have all features zero; with no labelled rows, or rows of
@@ -26,6 +27,12 @@ from .linear import minimize, sigmoid, softplus
 
 THRESHOLD = 0.3
 PAIRS = 40_000
+#: Labelled rows of which the features are fitted on the driver, at most; more are fitted where they lie.
+TOGETHER = 6000
+#: Rows of a group, and rows of the rarer class in it at least (rows of that class recur in several groups).
+GROUP, RARER = 512, 64
+#: Different scores that reach the driver at once when the cut is looked for.
+SCORES = 50_000
 RIDGE = 1e-3
 SEED = 7
 _UPPER = string.ascii_uppercase.encode()
@@ -73,7 +80,10 @@ class Model:
 
 
 def fit(texts: list[str], labels: list[int], pairs: int = PAIRS, seed: int = SEED) -> Model:
-    f = np.array([features(t) for t in texts], np.float64).reshape(len(texts), len(FEATURES))
+    return fit_features(np.array([features(t) for t in texts], np.float64).reshape(len(texts), len(FEATURES)), labels, pairs, seed)
+
+
+def fit_features(f: np.ndarray, labels: list[int], pairs: int = PAIRS, seed: int = SEED) -> Model:
     y = np.array(labels, np.int64)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     width = expand(np.zeros((1, len(FEATURES)))).shape[1]
@@ -135,9 +145,195 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
     return docs.where(score_column(docs["text"], model) >= THRESHOLD)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = labelled.SAMPLE_ROWS) -> Model:
-    """Fit on pairs from at most ``rows`` labelled rows outside the held-out fold."""
-    return fit(*labelled.sample(docs, labels, label, rows))
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.take_over("quality")
+    for batch in batches:
+        if batch.num_rows:
+            f = pa.array([list(map(float, features(t.as_py()))) for t in batch.column(1)], pa.list_(pa.float64()))
+            yield pa.record_batch([batch.column(0), f], names=["k", "f"])
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(k, f, y) of every labelled document outside the held-out fold; of several rows of an id the one with the smallest text.
+
+    Features are joined with labels, so no text is shuffled but those of repeated ids.
+    """
+    common.ship(docs.sparkSession)
+
+    def run(batches):
+        from linkloom.llm.quality import _featured
+
+        return _featured(batches)
+
+    rows = common.id_text(docs).where(F.col("doc_id").isNotNull() & ~labelled.held_out(F.col("doc_id")))
+    again = common.persist_table(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if not again.isEmpty():
+        repeated = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        rows = rows.join(again, "doc_id", "left_anti").unionByName(repeated)
+    return common.persist_table(rows.mapInArrow(run, "k long, f array<double>").join(labelled.marks(labels, label), "k"))
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+
+
+def _packed(table: pa.Table) -> pa.Table:
+    """A group's features of rows labelled 1 and 0, as bytes."""
+    f, y = _matrix(table["f"]), table["y"].to_numpy()
+    return pa.table({"good": [f[y == 1].tobytes()], "bad": [f[y == 0].tobytes()]})
+
+
+def _summed(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
+    """One row of a task: the sum of ``of`` (a vector) over its batches."""
+    total = None
+    for batch in batches:
+        if batch.num_rows:
+            now = of(batch)
+            total = now if total is None else total + now
+    if total is not None:
+        yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+
+def _total(rows: DataFrame, of) -> np.ndarray:
+    def run(batches):
+        from linkloom.llm.quality import _summed
+
+        return _summed(batches, of)
+
+    return np.sum([r["v"] for r in rows.mapInArrow(run, "v array<double>").collect()], axis=0)  # a vector for each task
+
+
+def _moments(batch: pa.RecordBatch) -> np.ndarray:
+    x = expand(_matrix(batch.column(0)))
+    return np.concatenate([x.sum(0), (x * x).sum(0)])
+
+
+def _pair_loss(batch: pa.RecordBatch, mean: np.ndarray, spread: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Pairs, loss, gradient and second derivatives of groups, all pairs of a group's better and worse rows."""
+    out, d = np.zeros(2 + len(w) + len(w) ** 2), len(w)
+    for cells in zip(*(batch.column(c) for c in (0, 1))):
+        x, y = ((expand(np.frombuffer(c.as_py(), np.float64).reshape(-1, len(FEATURES))) - mean) / spread for c in cells)
+        for lo in range(0, len(x), GROUP):
+            part = x[lo : lo + GROUP]
+            z = (part @ w)[:, None] - (y @ w)[None, :]
+            p = sigmoid(-z)
+            q = p * (1 - p)
+            cross = part.T @ q @ y
+            out[0] += z.size
+            out[1] += softplus(-z).sum()
+            out[2 : 2 + d] += p.sum(0) @ y - p.sum(1) @ part
+            out[2 + d :] += ((part.T * q.sum(1)) @ part + (y.T * q.sum(0)) @ y - cross - cross.T).ravel()
+    return out
+
+
+def _counts(s: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """How many values lie below each edge, and at or below the last."""
+    s = np.sort(s)
+    return np.concatenate([np.searchsorted(s, edges, "left"), np.searchsorted(s, edges[-1:], "right")]).astype(float)
+
+
+def _different(batches: Iterator[pa.RecordBatch], raw, lo: float, hi: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        s = raw(_matrix(batch.column(0)))
+        values, times = np.unique(s[(s >= lo) & (s <= hi)], return_counts=True)
+        yield pa.record_batch([pa.array(values), pa.array(times, pa.int64())], names=["s", "n"])
+
+
+def _ranked(rows: DataFrame, raw, lo: float, hi: float, rank: int) -> float:
+    """The value of that rank (from 0) among all rows' scores, exactly: ranges narrow until few different scores are left."""
+
+    def run(batches):
+        from linkloom.llm.quality import _different
+
+        return _different(batches, raw, lo, hi)
+
+    while True:
+        found = rows.mapInArrow(run, "s double, n long").groupBy("s").agg(F.sum("n").alias("n"))
+        edges = np.linspace(lo, hi, 1025)
+        below = _total(rows, lambda batch, edges=edges: _counts(raw(_matrix(batch.column(0))), edges))
+        if below[-1] - below[0] <= SCORES or hi - lo <= 1e-12 * (abs(lo) + abs(hi)):
+            at = below[0]
+            for s, n in sorted(map(tuple, found.collect())):  # at most SCORES, or what differs in the last digits alone
+                at += n
+                if at > rank:
+                    return s
+        spot = min(int(np.searchsorted(below[:-1], rank, "right")), len(edges) - 1)
+        lo, hi = float(edges[spot - 1]), float(edges[spot])
+
+
+def _extent(batches: Iterator[pa.RecordBatch], raw) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            s = raw(_matrix(batch.column(0)))
+            yield pa.record_batch([pa.array([v]) for v in (s.sum(), (s * s).sum(), s.min(), s.max())], names=["total", "squares", "low", "high"])
+
+
+def _spread(rows: DataFrame, raw) -> tuple[float, float, float, float]:
+    """Sum, sum of squares, smallest and largest of all rows' scores."""
+
+    def run(batches):
+        from linkloom.llm.quality import _extent
+
+        return _extent(batches, raw)
+
+    return tuple(rows.mapInArrow(run, "total double, squares double, low double, high double").agg(F.sum("total"), F.sum("squares"), F.min("low"), F.max("high")).first())
+
+
+def fit_rows(rows: DataFrame, good: int, bad: int) -> Model:
+    """The model of rows (k, f, y) of both classes, however many, fitted where they lie by Newton steps, each a job that gives the driver a sum for each task."""
+    n = good + bad
+    groups = -(-n // GROUP)
+    rare, fewer = (1, good) if good < bad else (0, bad)
+    times = min(groups, -(-RARER * groups // fewer))
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col("y") == rare, times - 1).otherwise(0)))
+    dealt = rows.select("k", "f", "y", copies.alias("copy")).select("f", "y", F.pmod(F.pmod(F.xxhash64("k"), F.lit(groups)) + F.col("copy"), F.lit(groups)).alias("g"))
+
+    def pack(table):
+        from linkloom.llm.quality import _packed
+
+        return _packed(table)
+
+    packed = common.persist_table(dealt.groupBy("g").applyInArrow(pack, "good binary, bad binary"))
+    only = rows.select("f")
+    sums = _total(only, _moments)
+    width = len(sums) // 2
+    mean = sums[:width] / n
+    spread = np.sqrt(np.maximum(sums[width:] / n - mean**2, 0)) + 1e-6
+
+    def loss(w):
+        got = _total(packed, lambda batch: _pair_loss(batch, mean, spread, w))
+        grad, bend = got[2 : 2 + width] / got[0], got[2 + width :].reshape(width, width) / got[0]
+        return got[1] / got[0] + RIDGE / 2 * (w @ w), grad + RIDGE * w, bend + RIDGE * np.eye(width)
+
+    w = np.zeros(width)
+    value, grad, bend = loss(w)
+    for _ in range(25):
+        way, size = np.linalg.solve(bend, grad), 1.0
+        if np.abs(grad).max() < 1e-6:
+            break
+        while (new := loss(w - size * way))[0] > value - 1e-4 * size * (grad @ way) and size > 1e-4:
+            size /= 2
+        if new[0] >= value:
+            break
+        w, (value, grad, bend) = w - size * way, new
+    raw = Model(mean, spread, w, 0.0, 1.0).raw
+
+    total, squares, low, high = _spread(only, raw)
+    k = min(n - 1, max(1, bad))
+    cut = (_ranked(only, raw, low, high, k - 1) + _ranked(only, raw, low, high, k)) / 2
+    return Model(mean, spread, w, float(cut), 4.0 / max(1e-6, float(np.sqrt(max(0.0, squares / n - (total / n) ** 2)))))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+    """Fit on all labelled rows outside the held-out fold."""
+    rows = labelled_features(docs, labels, label)
+    counts = dict(map(tuple, rows.groupBy((F.col("y") == 1).alias("good")).count().collect()))
+    good, bad = counts.get(True, 0), counts.get(False, 0)
+    if good + bad > TOGETHER and good and bad:
+        return fit_rows(rows.withColumn("y", (F.col("y") == 1).cast("int")), good, bad)
+    few = rows.orderBy("k").collect() if good + bad <= TOGETHER else rows.limit(1).collect()  # one class only: no weights, whatever the rows
+    return fit_features(np.array([r["f"] for r in few], np.float64).reshape(len(few), len(FEATURES)), [r["y"] for r in few])
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

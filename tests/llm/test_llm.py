@@ -648,3 +648,29 @@ def test_interrupted_batch_counts_once(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/broken/deltas/batch-1")  # left by a run that was broken off before its commit
     assert rollup.totals().count() == 0 and rollup.commit(1, rows)
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 1, 10)]
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """Beyond what the driver fits, all pairs of all labelled rows count, and the cut is the exact rank among all of them."""
+    from linkloom.llm import labelled
+
+    rng = np.random.default_rng(5)
+    rows = [(n, " ".join(rng.choice(["plain", "words", "Of", "prose,", "and", "more"], 30 + n % 40)) + (" ### %% 77 !!" * int(rng.integers(1, 9)) if rng.random() < (0.8 if n % 3 == 0 else 0.15) else "")) for n in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(n, int(n % 3 > 0)) for n, _ in rows], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "TOGETHER", 50)
+    monkeypatch.setattr(quality, "SCORES", 20)
+    model = quality.train(docs, labels)
+    kept = {r["k"] for r in labelled.marks(labels, "quality").collect()}
+    f = np.array([quality.features(t) for n, t in rows if n in kept])
+    y = np.array([int(n % 3 > 0) for n, _ in rows if n in kept])
+    assert 50 < len(f) <= quality.GROUP
+    x = (quality.expand(f) - model.mean) / model.spread
+    d = (x[y == 1][:, None] - x[y == 0][None]).reshape(-1, x.shape[1])
+    slope = -(linear.sigmoid(-(d @ model.weights)) @ d) / len(d) + quality.RIDGE * model.weights
+    assert np.abs(slope).max() < 1e-5 and np.allclose(x.mean(0), 0, atol=1e-9)
+    s, bad = np.sort(model.raw(f)), int((y == 0).sum())
+    assert model.cut == pytest.approx((s[bad - 1] + s[bad]) / 2, abs=1e-12)
+    monkeypatch.setattr(quality, "GROUP", 64)
+    parted = quality.train(docs, labels)
+    assert np.corrcoef(parted.raw(f), s[np.argsort(np.argsort(model.raw(f)))])[0, 1] > 0.98
