@@ -183,3 +183,39 @@ def test_keys_within_a_larger_key_are_left_out(spark):
     rows = spark.createDataFrame([(n, k) for n in range(12) for k in ("all", f"m{n % 3}")] + [(12, "m0"), (13, "x")], "id long, key string")
     blocks = skew.blocks_within(rows, "key", rows.select("id").distinct(), 5).collect()
     assert {r["number"] for r in blocks} == {r["number"] for r in blocks if r["before"] or r["id"] != 12} and len({r["number"] for r in blocks}) == 2
+
+
+def test_class_and_number_of_links_of_each_record(spark, monkeypatch):
+    """Every link is counted on both of its records and none is lost, also where a key's records lie in several parts; no row for a pair is made."""
+    f = skew.written(spark.createDataFrame([(r[0] + 10 * k, *r[1:]) for k in range(3) for r in ROWS], SCHEMA).withColumn("platform", F.col("registered") == "github.com"))
+    pairs = clusters.similarity(clusters.candidate_pairs(f), f).where(F.col("score") >= clusters.LINK)
+    whole = dict(clusters.components(f, pairs).collect())
+    want = {k: (c, 0) for k, c in whole.items()}
+    for a, b in pairs.select("a", "b").collect():
+        want[a], want[b] = (want[a][0], want[a][1] + 1), (want[b][0], want[b][1] + 1)
+    dealt = skew.blocks_within
+    for size in (4, 2000):
+        monkeypatch.setattr(clusters, "blocks_within", lambda rows, key, carry, size=size: dealt(rows, key, carry, size))
+        assert {r["id"]: (r["cluster"], r["links"]) for r in clusters.link_counts(f).collect()} == want
+
+
+def test_overlaps_are_read_where_they_decide(spark, monkeypatch):
+    """Inconsistent clusters and their parts are those of `consistency` and `split`; where the rest of the sum settles all clusters no record is compared."""
+    f = skew.written(spark.createDataFrame([(r[0] + 10 * k, *r[1:]) for k in range(3) for r in ROWS], SCHEMA).withColumn("platform", F.col("registered") == "github.com"))
+    members = skew.written(f.select("id", (F.col("id") % 4).alias("cluster")))
+    quality, pairs = skew.written(clusters.consistency(members, f)), skew.written(clusters.scored_pairs(f))
+    values = sorted(r["consistency"] for r in quality.collect())
+    for floor in (values[1], values[2] + 1e-9):
+        want = {r[0] for r in quality.where((F.col("size") >= 4) & (F.col("consistency") < floor)).select("cluster").collect()}
+        assert {r[0] for r in clusters.inconsistent(members, f, least=4, floor=floor).collect()} == want
+        parts = clusters.split(members, pairs, quality, floor=floor)
+        assert sorted(clusters.split_inconsistent(members, f, floor=floor).collect()) == sorted(parts.collect())
+    monkeypatch.setattr(clusters, "overlaps", None)
+    assert clusters.inconsistent(members, f, least=4, floor=0.0).isEmpty() and clusters.inconsistent(members, f, least=4, floor=2.0).count() == 4
+
+
+def test_edges_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    edge = F.udf(lambda n: made.add(1) or n + 1, "long")
+    edges = spark.range(5).select(F.col("id").alias("a"), edge("id").alias("b"))
+    assert {r["cluster"] for r in clusters.components(spark.range(6), edges).collect()} == {0} and made.value == 5
