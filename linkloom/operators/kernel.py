@@ -25,16 +25,26 @@ class Members:
     """Sets of all rows of a block as sorted (row, word) entries."""
 
     def __init__(self, rows: np.ndarray, words: np.ndarray, n: int, width: int):
-        flat = np.unique(rows * width + words)
+        flat = np.sort(rows * width + words)
+        flat = flat[np.concatenate([[True], flat[1:] != flat[:-1]])] if len(flat) else flat
         self.n, self.width = n, width
         self.rows, self.words = flat // width, flat % width
         self.sizes = np.bincount(self.rows, minlength=n)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.listed: tuple = (None,)
 
     def part(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.starts[lo], self.starts[hi]
         return self.rows[a:b] - lo, self.words[a:b]
 
+    def lists(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often each word is in these rows, where its list begins, and the lists' rows; kept for the tiles that follow."""
+        if self.listed[0] != (lo, hi):
+            rows, words = self.part(lo, hi)
+            often = np.bincount(words, minlength=self.width)
+            self.listed = ((lo, hi), often, np.concatenate([[0], np.cumsum(often)]), rows[np.argsort(words, kind="stable")])
+        return self.listed[1:]
+
     def __or__(self, other: Members) -> Members:
         return Members(np.concatenate([self.rows, other.rows]), np.concatenate([self.words, other.words]), self.n, self.width)
 
@@ -48,7 +58,8 @@ def shared(s: Members, x: tuple[int, int], y: tuple[int, int]) -> np.ndarray:
     """How many words each row of ``x`` has in common with each row of ``y``."""
     nx, ny = x[1] - x[0], y[1] - y[0]
     (xr, xw), (yr, yw) = s.part(*x), s.part(*y)
-    fx, fy = np.bincount(xw, minlength=s.width), np.bincount(yw, minlength=s.width)
+    fy, begin, listed = s.lists(*y)
+    fx = np.bincount(xw, minlength=s.width)
     often = fx * fy
     dense = np.flatnonzero(often > DENSE * nx * ny)
     out = np.zeros((nx, ny), np.float32)
@@ -62,12 +73,10 @@ def shared(s: Members, x: tuple[int, int], y: tuple[int, int]) -> np.ndarray:
         often[dense] = 0
     rare = often[xw] > 0
     if rare.any():
-        order = np.argsort(yw, kind="stable")
-        begin = np.concatenate([[0], np.cumsum(fy)])
         xr, xw = xr[rare], xw[rare]
         times = fy[xw]
         step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        met = yr[order][np.repeat(begin[xw], times) + step]
+        met = listed[np.repeat(begin[xw], times) + step]
         out += np.bincount(np.repeat(xr, times) * ny + met, minlength=nx * ny).reshape(nx, ny)
     return out
 
@@ -154,11 +163,11 @@ class Similarity:
         kinds = s.kinds()
         _, first = np.unique(kinds, return_index=True)
         if len(first) ** 2 > TILE:
-            return lambda x, y: how(s, x, y)
+            return lambda x, y, at: how(s, x, y) if at is None else how(s, x, y)[at]
         cells = [s.words[s.starts[r] : s.starts[r + 1]] for r in first]
         each = Members(np.repeat(np.arange(len(first)), [len(c) for c in cells]), np.concatenate(cells), len(first), s.width)
         values = how(each, (0, each.n), (0, each.n))
-        return lambda x, y: values[np.ix_(kinds[slice(*x)], kinds[slice(*y)])]
+        return lambda x, y, at: values[_sides(kinds, x, y, at)]
 
     def _roots(self, maps: list):
         """(likeness, no root in common) for tiles of rows with these maps of weights."""
@@ -179,30 +188,56 @@ class Similarity:
             return np.divide(least, most, out=np.zeros_like(least), where=most > 0), ~common
 
         if len(seen) ** 2 > TILE:
-            return lambda x, y: compare(own[slice(*x)], own[slice(*y)])
+            return lambda x, y, at: tuple(v if at is None else v[at] for v in compare(own[slice(*x)], own[slice(*y)]))
         every = np.arange(len(seen))
         values = compare(every, every)
-        return lambda x, y: tuple(v[np.ix_(own[slice(*x)], own[slice(*y)])] for v in values)
-
-    def of(self, x: tuple[int, int], y: tuple[int, int], weights: dict[str, float]) -> dict[str, np.ndarray]:
-        xs, ys = slice(*x), slice(*y)
-        equal = lambda c: (self.same[c][xs, None] == self.same[c][None, ys]) & (self.same[c][xs, None] >= 0)
-        j = {name: jaccard(self.block.sets[name], x, y) for name in ("topics", "hints")}
-        few = {name: get(x, y) for name, get in self.few.items()}
+        return lambda x, y, at: tuple(v[_sides(own, x, y, at)] for v in values)
+
+    def _texts(self, x: tuple[int, int], y: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Likeness of topics, hints (topics count as such) and texts."""
+        topic = jaccard(self.block.sets["topics"], x, y)
+        return topic, np.maximum(jaccard(self.block.sets["hints"], x, y), topic * 0.7), np.maximum(jaccard(self.texts[0], x, y), jaccard(self.texts[1], x, y))
+
+    def reached(self, x: tuple[int, int], y: tuple[int, int], weights: dict[str, float], asked: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, columns, scores) of the tile's pairs that are asked for and score at least ``floor``.
+
+        Most pairs are settled by words alone: with all other parts at their most, and no penalty, they stay below the floor.
+        """
+        topic, hint, text = texts = self._texts(x, y)
+        most = weights["text_score"] * text + weights["hint_score"] * hint
+        most += sum(weights[name] for name in ("domain_score", "root_score", "type_score", "quality_score")) + weights["time_score"] * bool(len(self.block.sets["times"].words))
+        for name, column, where in (("canonical_score", "canonical", None), ("bonus", "topic", topic >= 0.25)):
+            met = self._equal(column, x, y, None)
+            most += weights[name] * (met if where is None else met & where)
+        at = np.nonzero(asked & (np.where((hint < 0.2) & (text < 0.15), most * 0.6, most) >= floor - 1e-9))
+        score = self.of(x, y, weights, at, tuple(t[at] for t in texts))["score"]
+        found = score >= floor
+        return at[0][found], at[1][found], score[found]
+
+    def _equal(self, column: str, x: tuple[int, int], y: tuple[int, int], at) -> np.ndarray:
+        own, other = _sides(self.same[column], x, y, at)
+        return (own == other) & (own >= 0)
+
+    def of(self, x: tuple[int, int], y: tuple[int, int], weights: dict[str, float], at: tuple[np.ndarray, np.ndarray] | None = None, texts: tuple | None = None) -> dict[str, np.ndarray]:
+        """The metrics of all pairs of a tile as matrices, or of its pairs ``at`` (rows, columns) as lists; ``texts`` of these if they are known."""
+        topic, hint, text = self._texts(x, y) if texts is None else texts
+        sides = lambda values: _sides(values, x, y, at)
+        equal = lambda c: self._equal(c, x, y, at)
+        few = {name: get(x, y, at) for name, get in self.few.items()}
         site, parts, kind = few["site"], few["domain_tokens"], few["kinds"]
-        root, rootless = self.roots(x, y)
+        root, rootless = self.roots(x, y, at)
         registered, canonical = equal("registered"), equal("canonical").astype(np.float64)
-        platform = registered & self.platform[xs, None]
-        text = np.maximum(jaccard(self.texts[0], x, y), jaccard(self.texts[1], x, y))
-        topic, hint = j["topics"], np.maximum(j["hints"], j["topics"] * 0.7)
+        platform = registered & sides(self.platform)[0]
         domain = np.maximum(np.maximum(equal("low_domain").astype(np.float64), 0.85 * registered), np.maximum(site * 0.7, parts * 0.4))
         if platform.any():
             domain = np.where(platform, np.minimum(domain, np.maximum(np.maximum(site * 0.25, parts * 0.15), canonical)), domain)
-        r = self.same["registered"]
-        elsewhere = (r[xs, None] >= 0) & (r[None, ys] >= 0) & ~registered
+        r, s = sides(self.same["registered"])
+        elsewhere = (r >= 0) & (s >= 0) & ~registered
         bonus = (elsewhere & equal("topic") & (topic >= 0.25)).astype(np.float64)
-        sure = lambda least: (self.confidence[xs] >= least)[:, None] & (self.confidence[ys] >= least)[None, :]
-        apart = (self.topic[xs, None] != self.topic[None, ys]) & self.plain[xs, None] & self.plain[None, ys]
+        trust, trusted = sides(self.confidence)
+        sure = lambda least: (trust >= least) & (trusted >= least)
+        (told, named), (plain, bare) = sides(self.topic), sides(self.plain)
+        apart = (told != named) & plain & bare
         penalty = np.where(sure(0.8) & rootless & (hint < 0.15), 0.28, 0.0)
         penalty = np.maximum(penalty, np.where(registered & (kind == 0) & (text < 0.25) & (hint < 0.15), 0.18, 0.0))
         if platform.any():
@@ -220,84 +255,149 @@ class Similarity:
         return out | {"score": np.clip(raw, 0.0, 1.0)}
 
 
-def _block(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Block:
-    return Block(pa.Table.from_batches(list(batches)), columns)
+def _sides(values: np.ndarray, x: tuple[int, int], y: tuple[int, int], at) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a tile's rows and columns, or of both sides of its pairs ``at``."""
+    own, other = values[slice(*x)], values[slice(*y)]
+    return (own[:, None], other[None, :]) if at is None else (own[at[0]], other[at[1]])
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (number, chunk, parts, packed) for the rows of a chunk: their other columns, lists of words as codes of one list of words."""
+    table = pa.Table.from_batches(list(batches)).combine_chunks()
+    own = ("number", "chunk", "parts")
+    cells = {c: table[c].combine_chunks() for c in table.column_names if c not in own}
+    listed = [c for c, x in cells.items() if x.type in (pa.list_(pa.string()), pa.large_list(pa.string()))]
+    coded = pa.chunked_array([cells[c].flatten() for c in listed], pa.string()).combine_chunks().dictionary_encode()
+    at = 0
+    for c in listed:
+        sizes = pc.fill_null(pc.list_value_length(cells[c]), 0).to_numpy()
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        cells[c] = pa.ListArray.from_arrays(pa.array(offsets), coded.indices.slice(at, offsets[-1]))
+        at += int(offsets[-1])
+    sink = pa.BufferOutputStream()
+    for part in (pa.table({"word": coded.dictionary}), pa.table(cells, metadata={"listed": " ".join(listed)})):
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(part)
+    yield pa.record_batch([table[c].combine_chunks().slice(0, 1) for c in own] + [pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=[*own, "packed"])
+
+
+def _unpacked(cell: bytes) -> pa.Table:
+    source = pa.BufferReader(cell)
+    words = pa.ipc.open_stream(source).read_all()["word"].combine_chunks()
+    table = pa.ipc.open_stream(source).read_all()
+    for c in table.schema.metadata[b"listed"].decode().split():
+        cells = table[c].combine_chunks()
+        table = table.set_column(table.column_names.index(c), c, pa.ListArray.from_arrays(cells.offsets, words.take(cells.values)))
+    return table
+
+
+def blocks(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[Block]:
+    """The block of these rows, or one block for each two chunks of it that meet, if they are packed."""
+    table = pa.Table.from_batches(list(batches))
+    if "packed" not in table.column_names:
+        yield Block(table, columns)
+        return
+    cells = sorted(zip(table["part"].to_pylist(), table["chunk"].to_pylist(), table["packed"].to_pylist()), key=lambda c: c[:2])
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    placed = lambda t, part, last: t.append_column("i", pa.array(np.zeros(len(t), np.int32))).append_column("j", pa.array(np.full(len(t), last, np.int32))).append_column("part", pa.array(np.full(len(t), part, np.int32)))
+    for part, n, one in cells:
+        if part != i:
+            continue
+        own = _unpacked(one)
+        if i == j:
+            yield Block(placed(own, 0, 0), columns)
+        for other, m, cell in cells:
+            if other == j and (i < j or m > n):
+                yield Block(pa.concat_tables([placed(own, 0, 1), placed(_unpacked(cell), 1, 1)]), columns)
 
 
 def scored(batches: Iterator[pa.RecordBatch], weights: dict[str, float], names: tuple[str, ...], floor: float = 0.0) -> Iterator[pa.RecordBatch]:
     """A row for each pair of at least that score: its ids, the smaller first, and the metrics named."""
-    block = _block(batches, SETS)
-    similarity = Similarity(block)
-    for x, y, asked in block.tiles():
-        found = similarity.of(x, y, weights)
-        p, q = np.nonzero(asked & (found["score"] >= floor))
-        a, b = block.ids[p + x[0]], block.ids[q + y[0]]
-        whole = pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *[pa.array(found[n][p, q]) for n in names]], names=["a", "b", *names])
-        for at in range(0, whole.num_rows, 100_000):
-            yield whole.slice(at, 100_000)
-
-
-def forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (row, column) that join whatever the given matrix of links joins, at most one for each row and column."""
-    rows, columns = links.any(1), links.any(0)
-    p, q = [], []
-    while rows.any():
-        front = np.array([rows.argmax()])
-        rows[front] = False
-        while len(front):
-            new = np.flatnonzero(links[front].any(0) & columns)
-            columns[new] = False
-            if not len(new):
+    for block in blocks(batches, SETS):
+        similarity = Similarity(block)
+        for x, y, asked in block.tiles():
+            found = similarity.of(x, y, weights)
+            p, q = np.nonzero(asked & (found["score"] >= floor))
+            a, b = block.ids[p + x[0]], block.ids[q + y[0]]
+            whole = pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *[pa.array(found[n][p, q]) for n in names]], names=["a", "b", *names])
+            for at in range(0, whole.num_rows, 100_000):
+                yield whole.slice(at, 100_000)
+
+
+class Joined:
+    """What links join: the links that came in, reduced to one for each record that is not the first of its group."""
+
+    def __init__(self) -> None:
+        self.a, self.b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.more = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.more += len(a)
+        if self.more > TILE:
+            self.reduce()
+
+    def reduce(self) -> tuple[np.ndarray, np.ndarray]:
+        """(smallest id of the group, id) for each other id."""
+        ids, spots = np.unique(np.concatenate([*self.a, *self.b]), return_inverse=True)
+        p, q = np.split(spots, 2)
+        label = np.arange(len(ids))
+        while True:
+            low, high = np.minimum(label[p], label[q]), np.maximum(label[p], label[q])
+            apart = low < high
+            if not apart.any():
                 break
-            p.append(front[links[np.ix_(front, new)].argmax(0)])
-            q.append(new)
-            reached = links[:, new]
-            front = np.flatnonzero(reached.any(1) & rows)
-            rows[front] = False
-            p.append(front)
-            q.append(new[reached[front].argmax(1)])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(p), np.concatenate(q)) if p else (none, none)
+            p, q = p[apart], q[apart]
+            np.minimum.at(label, high[apart], low[apart])
+            while (label[label] != label).any():
+                label = label[label]
+        rest = label < np.arange(len(ids))
+        self.a, self.b, self.more = [ids[label[rest]]], [ids[rest]], 0
+        return self.a[0], self.b[0]
 
 
 def linked(batches: Iterator[pa.RecordBatch], weights: dict[str, float], floors: tuple[float, ...]) -> Iterator[pa.RecordBatch]:
-    """For each floor, enough of the block's pairs of at least that score to join all records that such pairs join."""
-    block = _block(batches, SETS)
-    similarity = Similarity(block)
-    for x, y, asked in block.tiles():
-        score = similarity.of(x, y, weights)["score"]
-        for floor in floors:
-            p, q = forest(asked & (score >= floor))
-            if len(p):
-                a, b = block.ids[p + x[0]], block.ids[q + y[0]]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(p), floor))], names=["a", "b", "floor"])
+    """For each floor, enough links to join all records that the block's pairs of at least that score join; at most one for each record."""
+    joined = {floor: Joined() for floor in floors}
+    for block in blocks(batches, SETS):
+        similarity = Similarity(block)
+        for x, y, asked in block.tiles():
+            p, q, score = similarity.reached(x, y, weights, asked, min(floors))
+            for floor in floors:
+                joined[floor].add(block.ids[p[score >= floor] + x[0]], block.ids[q[score >= floor] + y[0]])
+    for floor in floors:
+        a, b = joined[floor].reduce()
+        if len(a):
+            yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.full(len(a), floor))], names=["a", "b", "floor"])
 
 
 def counted(batches: Iterator[pa.RecordBatch], weights: dict[str, float], floor: float) -> Iterator[pa.RecordBatch]:
-    """(a, b, links): the forest of the block's pairs of at least that score, without counts; and each of its records as a, without b, and how many of these pairs it is in."""
-    block = _block(batches, SETS)
-    similarity = Similarity(block)
-    links = np.zeros(block.n, np.int64)
-    row = lambda a, b, n: pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "links"])
-    for x, y, asked in block.tiles():
-        found = asked & (similarity.of(x, y, weights)["score"] >= floor)
-        links[slice(*x)] += found.sum(1)
-        links[slice(*y)] += found.sum(0)
-        p, q = forest(found)
-        if len(p):
-            a, b = block.ids[p + x[0]], block.ids[q + y[0]]
-            yield row(np.minimum(a, b), np.maximum(a, b), [None] * len(p))
-    some = links > 0
-    if some.any():
-        yield row(block.ids[some], [None] * int(some.sum()), links[some])
+    """(a, b, links): what the block's pairs of at least that score join, as in `linked`, without counts; and each of its records as a, without b, and how many of these pairs it is in."""
+    joined, row = Joined(), lambda a, b, n: pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "links"])
+    counts: dict[int, int] = {}
+    for block in blocks(batches, SETS):
+        similarity = Similarity(block)
+        links = np.zeros(block.n, np.int64)
+        for x, y, asked in block.tiles():
+            p, q, _ = similarity.reached(x, y, weights, asked, floor)
+            links[slice(*x)] += np.bincount(p, minlength=x[1] - x[0])
+            links[slice(*y)] += np.bincount(q, minlength=y[1] - y[0])
+            joined.add(block.ids[p + x[0]], block.ids[q + y[0]])
+        for k in np.flatnonzero(links):
+            counts[int(block.ids[k])] = counts.get(int(block.ids[k]), 0) + int(links[k])
+    a, b = joined.reduce()
+    if len(a):
+        yield row(a, b, [None] * len(a))
+        yield row(list(counts), [None] * len(counts), list(counts.values()))
 
 
 def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The block's cluster, the sum of its pairs' word overlaps, and their number."""
-    block = _block(batches, ("words",))
-    total, n = 0.0, 0
-    for x, y, asked in block.tiles():
-        total += float(jaccard(block.sets["words"], x, y)[asked].sum())
-        n += int(asked.sum())
-    if n:
-        yield pa.record_batch([block.table["cluster"].combine_chunks().slice(0, 1), pa.array([total]), pa.array([n], pa.int64())], names=["cluster", "total", "n"])
+    for block in blocks(batches, ("words",)):
+        total, n = 0.0, 0
+        for x, y, asked in block.tiles():
+            total += float(jaccard(block.sets["words"], x, y)[asked].sum())
+            n += int(asked.sum())
+        if n:
+            yield pa.record_batch([block.table["cluster"].combine_chunks().slice(0, 1), pa.array([total]), pa.array([n], pa.int64())], names=["cluster", "total", "n"])

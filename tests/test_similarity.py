@@ -3,6 +3,7 @@
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,37 @@ def test_edges_are_made_once(spark):
     edge = F.udf(lambda n: made.add(1) or n + 1, "long")
     edges = spark.range(5).select(F.col("id").alias("a"), edge("id").alias("b"))
     assert {r["cluster"] for r in clusters.components(spark.range(6), edges).collect()} == {0} and made.value == 5
+
+
+def test_packed_chunks_give_what_rows_give(spark, monkeypatch):
+    """Keys of several parts are packed; parts of several chunks, chunks against themselves and others: every pair once, with its metrics."""
+    rows = [(r[0] + 10 * k, *r[1:]) for k in range(9) for r in ROWS]
+    f = skew.written(spark.createDataFrame(rows, SCHEMA).withColumn("platform", F.col("registered") == "github.com"))
+    want = sorted(map(tuple, clusters.similarity(clusters.candidate_pairs(f), f).collect()))
+    dealt = skew.compared
+    for chunk, strips in ((3, 2), (5, 100)):
+        monkeypatch.setattr(skew, "STRIPS", strips)
+        monkeypatch.setattr(clusters, "compared", lambda *given, chunk=chunk: dealt(*given, chunk))
+        assert sorted(map(tuple, clusters.scored_pairs(f).collect())) == want
+    plain = spark.createDataFrame([(a, b) for a, b, *m in want if m[-1] >= clusters.LINK], "a long, b long")
+    got = clusters.link_counts(f)
+    assert {r["id"]: r["links"] for r in got.collect()} == {r[0]: plain.where(f"a = {r[0]} or b = {r[0]}").count() for r in rows[:3]} | {r["id"]: r["links"] for r in got.where(~F.col("id").isin([r[0] for r in rows[:3]])).collect()}
+    assert sorted(got.select("id", "cluster").collect()) == sorted(clusters.components(f, plain).collect())
+
+
+def test_a_block_sends_one_link_for_a_record(monkeypatch):
+    from linkloom.operators import kernel
+
+    monkeypatch.setattr(kernel, "TILE", 4)
+    joined = kernel.Joined()
+    for a, b in ((9, 4), (4, 7), (7, 9), (20, 31), (31, 30), (2, 3), (30, 20), (3, 9)):
+        joined.add(np.array([a]), np.array([b]))
+    a, b = joined.reduce()
+    assert sorted(zip(b.tolist(), a.tolist())) == [(3, 2), (4, 2), (7, 2), (9, 2), (30, 20), (31, 20)]
+
+
+def test_pages_carry_no_texts_that_nothing_reads(spark):
+    from linkloom.plans import structure
+
+    texts = {"semantic_text", "main_text", "main_text_preview", "description_candidates", "t_description", "t_semantic_text", "t_content_preview"}
+    assert not texts & set(structure.page_features(spark, "/root/testdata/sf0.001").columns)
