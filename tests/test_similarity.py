@@ -249,6 +249,15 @@ def test_a_block_sends_one_link_for_a_record(monkeypatch):
     assert sorted(zip(b.tolist(), a.tolist())) == [(3, 2), (4, 2), (7, 2), (9, 2), (30, 20), (31, 20)]
 
 
+def test_pages_that_share_a_key_are_counted(spark, monkeypatch):
+    """As many as `candidate_pairs` has, without its rows: classes of several keys, of one, of none."""
+    keys = [(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b"), (3, "b"), (3, "c"), (4, "c"), (5, "c"), (6, "z"), (7, "a"), (7, "b"), (8, "y"), (9, "y"), (10, "a"), (11, "b"), (11, "c"), (11, "a")]
+    monkeypatch.setattr(clusters, "_keys", lambda f: spark.createDataFrame(keys, "id long, key string"))
+    of = {n: {k for m, k in keys if m == n} for n in range(1, 12)}
+    got = {r["id"]: (r["cluster"], r["links"]) for r in clusters.key_counts(spark.createDataFrame([(n,) for n in of], "id long")).collect()}
+    assert got == {n: (8 if n in (8, 9) else 6 if n == 6 else 1, sum(bool(of[n] & of[m]) for m in of if m != n)) for n in of}
+
+
 def test_pages_carry_no_texts_that_nothing_reads(spark):
     from linkloom.plans import structure
 
